@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, pieces
+from scanloom.llm import decontaminate, pieces, quality_classifier
 from scanloom.llm.near_dup import near_duplicates
 
 
@@ -14,6 +14,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(quality_classifier.in_training_fold())
+    scored = quality_classifier.score_quality(docs, quality_classifier.learn(docs, labels))
+    return scored.select(
+        "doc_id",
+        (~quality_classifier.in_training_fold()).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.judged(found).drop("spans")
@@ -35,6 +47,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
