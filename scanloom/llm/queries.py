@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, pieces, quality_classifier
+from scanloom.llm import decontaminate, pieces, quality_classifier, quality_rules, warc
 from scanloom.llm.near_dup import near_duplicates
 
 
@@ -26,6 +26,15 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.judged(found).drop("spans")
@@ -47,6 +56,8 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
+    "op5_quality_rules": op5_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
@@ -54,4 +65,37 @@ QUERIES = {
 }
 
 #: DuckDB's SQL for those queries that SQL can express at the size of whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+        d as (select page_id, octet_length(body) as n, sha256(body) as digest from p),
+        f as (select digest, min(page_id) as first from d where n >= 100 group by digest)
+        select d.page_id, cast(d.n as bigint) as payload_bytes, d.digest as payload_digest,
+               case when f.first is null or f.first = d.page_id then 'response' else 'revisit' end as record_type,
+               case when f.first <> d.page_id then f.first end as refers_to
+        from d left join f on d.n >= 100 and d.digest = f.digest""",
+    "op5_quality_rules": r"""
+        with t as (select doc_id, coalesce(text, '') as text from documents),
+        w as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+        g as (select doc_id, i, list_slice(words, i, i + 7) as gram
+              from (select doc_id, words, unnest(range(1, len(words) - 6)) as i from w where len(words) >= 8)),
+        r as (select doc_id, i from g qualify count(*) over (partition by doc_id, gram) >= 2),
+        c as (select doc_id, count(distinct i + k) as n from r, range(8) as s(k) group by doc_id),
+        b as (select w.doc_id, text, lines, cast(len(words) as bigint) as n_words,
+                     cast(length(array_to_string(words, '')) as bigint) as word_chars,
+                     cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+                     cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+                     cast(coalesce(c.n, 0) as bigint) as n_repeat_words
+              from w left join c on w.doc_id = c.doc_id),
+        f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               not (base_failed or word_chars < 2 * n_words or word_chars > 15 * n_words or 5 * n_symbols > n_words
+                    or 10 * n_dup_lines > 3 * len(lines)
+                    or 2 * len(regexp_extract_all(text, '[A-Z]')) > word_chars
+                    or 5 * len(regexp_extract_all(text, '!')) > n_words
+                    or 3 * len(regexp_extract_all(text, '[0-9]')) > word_chars
+                    or 10 * len(list_filter(lines, lambda x: ends_with(x, '...') or ends_with(x, '…'))) > 3 * len(lines)
+                    or 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^ *[-•]'))) > 9 * len(lines)) as kept
+        from f""",
+}
