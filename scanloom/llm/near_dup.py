@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,8 +210,8 @@ def near_duplicates(
     wanted = spark.sparkContext.broadcast(bloom_bits(roles.select("key"), "key"))
 
     def of_interest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, text) of the sets that some group holds or is queried with, once in a task."""
-        make, told = Shingler(words), set()
+        """(key, compressed text) of the sets that some group holds or is queried with, once in a task."""
+        make, told, pack = Shingler(words), set(), zstandard.ZstdCompressor(level=3)
         for b in batches:
             texts = texts_of(b)
             for at in range(0, len(texts), 500):
@@ -221,20 +222,21 @@ def near_duplicates(
                 if len(told) < 200_000:
                     told.update(keys[keep].tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[keep]), pa.array([part[i] for i in keep], pa.string())], ["key", "text"]
+                    [pa.array(keys[keep]), pa.array([pack.compress(part[i].encode("utf-8", "surrogatepass")) for i in keep], pa.binary())],
+                    ["key", "body"],
                 )
 
-    texts = src.select("text").mapInArrow(of_interest, "key long, text string").dropDuplicates(["key"])
+    texts = src.select("text").mapInArrow(of_interest, "key long, body binary").dropDuplicates(["key"])
     dealt = (
         roles.join(texts, "key")
         .repartition("grp", "blk")
         .sortWithinPartitions("grp", "blk", "role", "key")
-        .select("grp", "blk", "role", "key", "text")
+        .select("grp", "blk", "role", "key", "body")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Spanning links of each block, whose members come before the documents that query it."""
-        make = Shingler(words)
+        make, unpack = Shingler(words), zstandard.ZstdDecompressor()
         now, members, keys, asks, ask_keys = None, [], [], [], []
 
         def flush():
@@ -248,7 +250,9 @@ def near_duplicates(
 
         for b in batches:
             cols = [b.column(k).to_pylist() for k in ("grp", "blk", "role", "key")]
-            for grp, blk, role, key, x in zip(*cols, make.sets(texts_of(b))):
+            packed = b.column("body").to_pylist()
+            texts = (unpack.decompress(x).decode("utf-8", "surrogatepass") for x in packed)
+            for grp, blk, role, key, x in zip(*cols, (make.sets([t])[0] for t in texts)):
                 if (grp, blk) != now:
                     yield from flush()
                     now, members, keys, asks, ask_keys = (grp, blk), [], [], [], []
