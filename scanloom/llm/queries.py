@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, pieces, quality_classifier, quality_rules, warc
+from scanloom.llm import decontaminate, pieces, pii, quality_classifier, quality_rules, secret_scan, warc
 from scanloom.llm.near_dup import near_duplicates
 
 
@@ -35,6 +35,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(pii.find_pii(_table(spark, sf_dir, "documents")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.judged(found).drop("spans")
@@ -56,6 +64,8 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_secret_scans": op6_secret_scans,
+    "op10_pii": op10_pii,
     "op3_warc": op3_warc,
     "op5_quality_rules": op5_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
