@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, pieces, pii, quality_classifier, quality_rules, secret_scan, warc
+from scanloom.llm import decontaminate, pieces, pii, quality_classifier, quality_rules, secret_scan, token_files, warc
 from scanloom.llm.near_dup import near_duplicates
 
 
@@ -31,6 +31,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("failed_rule")
 
@@ -64,6 +69,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_token_output": op4_token_output,
     "op6_secret_scans": op6_secret_scans,
     "op10_pii": op10_pii,
     "op3_warc": op3_warc,
