@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, pieces, pii, quality_classifier, quality_rules, secret_scan, token_files, warc
+from scanloom.llm import decontaminate, line_dedup, pieces, pii, quality_classifier, quality_rules, secret_scan, token_files, warc
 from scanloom.llm.near_dup import near_duplicates
 
 
@@ -14,6 +14,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: numbers of lines and of removed lines, the removed lines, and the digest of the text that is left."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    out = line_dedup.dedup_lines(docs)
+    return out.select(
+        "doc_id",
+        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
+        F.size("removed_lines").cast("long").alias("n_removed"),
+        "removed_lines",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(quality_classifier.in_training_fold())
@@ -69,6 +82,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_token_output": op4_token_output,
     "op6_secret_scans": op6_secret_scans,
     "op10_pii": op10_pii,
