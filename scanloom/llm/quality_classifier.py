@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.llm.common import texts_of
 
@@ -167,19 +168,29 @@ def _model(rows, dictionary_bytes: int, block: int) -> Compressors:
     )
 
 
-def score_quality(docs: DataFrame, model: Compressors, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc id, score): likelihood of the good label for each whole text. Null texts score as empty ones do; repeated
-    and null ids stay rows of their own; other columns are ignored; no rows give no rows."""
+def score_quality(
+    docs: DataFrame, model: Compressors, text_col: str = "text", id_col: str = "doc_id", keep_columns: bool = False
+) -> DataFrame:
+    """(doc id, score): likelihood of the good label for each whole text; with keep_columns all columns of docs and score.
+
+    Null texts score as empty ones do; repeated and null ids stay rows of their own; other columns are ignored or, with
+    keep_columns, kept, but for one named score; no rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
+    if keep_columns:
+        src, text = docs.select(*[c for c in docs.columns if c != "score"]), text_col
+        kept = src.columns
+    else:
+        src, text = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text")), "__text"
+        kept = [id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = shared.value.measures()
         for b in batches:
-            scores = [measure.score(t) for t in texts_of(b)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores, pa.float64())], ["id", "score"])
+            scores = [measure.score(t) for t in texts_of(b, text)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, T.StructType([*(src.schema[c] for c in kept), T.StructField("score", T.DoubleType())]))
 
 
 def in_training_fold(id_col: str = "doc_id"):
