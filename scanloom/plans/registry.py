@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from scanloom.plans import catalog_queries, sample_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = catalog_queries.QUERIES | sample_queries.QUERIES
+ORACLE_SQL = catalog_queries.ORACLE_SQL | sample_queries.ORACLE_SQL
