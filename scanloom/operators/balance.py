@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.sources.catalog import with_position
+from scanloom.sources.catalog import ranged, with_position
 
 
 def round_robin(groups: DataFrame, n: int, *order: str) -> DataFrame:
@@ -26,12 +26,11 @@ def equal_buckets(groups: DataFrame, n: int, *order: str) -> DataFrame:
 def weight_buckets(groups: DataFrame, n: int, weight: str, *order: str) -> DataFrame:
     """n buckets of equal weight in the order given: a group goes where the weight before it falls.
 
-    The running sum is over ranges: each partition's total is added before its own running sum.
+    The running sum is over ranges: each range's total is added before its own running sum.
     """
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    dealt = ranged(groups, *order)
     sums = dealt.groupBy("__part").agg(F.sum(weight).alias("__w"))
-    edge = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    edge = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     sums = sums.select("__part", F.coalesce(F.sum("__w").over(edge), F.lit(0)).alias("__before"), F.sum("__w").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))
     own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = dealt.join(F.broadcast(sums), "__part")
@@ -43,7 +42,8 @@ def weight_buckets(groups: DataFrame, n: int, weight: str, *order: str) -> DataF
 def hit_maps(obs: DataFrame, by: list[str], y: tuple[Column, Column], x: tuple[Column, Column], nx: int, weight: Column) -> DataFrame:
     """Sums of `weight` over the pixel boxes [y0, y1) x [x0, x1) of the observations; x wraps at nx."""
     rows = obs.select(*by, weight.alias("__w"), x[0].alias("__x0"), x[1].alias("__x1"), F.explode(F.sequence(y[0], y[1] - 1)).alias("y"))
-    cells = rows.select(*by, "__w", "y", F.pmod(F.explode(F.sequence("__x0", F.col("__x1") - 1)), F.lit(nx)).alias("x"))
+    cells = rows.select(*by, "__w", "y", F.explode(F.sequence("__x0", F.col("__x1") - 1)).alias("x"))
+    cells = cells.withColumn("x", F.pmod("x", F.lit(nx)))
     return cells.groupBy(*by, "y", "x").agg(F.sum("__w").alias("hits"))
 
 

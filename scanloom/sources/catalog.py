@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scanloom.sources.shared import written
+
 #: Bands of each tube flavour (fixed values); DARK stands for detectors without a band.
 FLAVOR_BANDS = {"lf": ("f030", "f040", "DARK"), "mf": ("f090", "f150", "DARK"), "uhf": ("f220", "f280", "DARK")}
 #: Detectors of a sub-observation by flavour, for OPTC and DARK (fixed values).
@@ -70,18 +72,26 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("id <> '' and not startswith(id, '#')").groupBy("id").agg(F.min("line").alias("pos"))
 
 
+def ranged(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by ranges of `keys`, with the number of its range in __part. The ranges come from a sample, which
+    differs from one evaluation to the next; so the rows are written once and read by everything that follows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id()), "ranged")
+
+
 def with_position(df: DataFrame, *keys: str, name: str = "pos") -> DataFrame:
     """df with each row's place, from 0, in the order of `keys` (which must be unique together).
 
-    The rows are dealt out by range and sorted within partitions; only the partitions' counts meet, so no task sorts
-    the whole table as a window without partitions would.
+    The rows are dealt out by range and placed within ranges; only the ranges' counts meet, so no task sorts the
+    whole table as a window without partitions would.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id())
+    dealt = ranged(df, *keys)
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    edge = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(edge), F.lit(0)).alias("__before"))
     local = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1)
-    return local.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+    placed = local.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at"))
+    return placed.drop("__part", "__at", "__before")
 
 
 def positional_slice(df: DataFrame, keys: list[str], start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
