@@ -2,45 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_FALLBACK: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. A local master without that setting gets a temporary folder;
-    a cluster without it is an error, as executors would not see each other's files."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="spark-scanloom-")
-    return _FALLBACK[app]
-
+from scanloom.sources.shared import new_path, shared_dir, written
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/scanloom/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: its lineage ends there, so a lost executor
-    costs at most the tasks that read it."""
-    spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ASCII_LOWER", "bloom_bits", "bloom_has", "components", "counter_rows", "merged_counters", "mix64", "new_path", "shared_dir", "texts_of", "written"]
 
+ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 def merged_counters(parts: DataFrame, size: int, combine: str) -> np.ndarray:
     """One array of `size` counters from rows (chunk int, body binary): the chunks that the tasks made are
@@ -138,4 +112,3 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
