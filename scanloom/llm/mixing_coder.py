@@ -7,7 +7,8 @@ and the rest spread as order 0 says; the weights are learned for each state of t
 held before, and whether they agree). An id takes the interval of the highest order that predicted it.
 
 Blocks are independent, so a step of the model and of the coder works on one id of each of many blocks as arrays.
-All arithmetic is in integers: encoder and decoder agree on every machine.
+All arithmetic is in integers: encoder and decoder agree on every machine. A short last block is filled up with zeros,
+which cost next to nothing and are dropped.
 """
 
 from __future__ import annotations
@@ -16,151 +17,155 @@ import zlib
 
 import numpy as np
 
-BITS = 16  # of the coder's totals
+BITS = 16  # of the totals of the mixed distribution
 ONE = 1 << BITS
+LEFT = 1 << 13  # of the total that order 0 has at least
 SLOTS1, SLOTS2 = 256, 1024
-REFRESH = 64  # steps between two rebuilds of the order-0 tables
+REFRESH = 128  # steps between two rebuilds of the order-0 tables; the first ones come sooner
 TABLE_BITS = 15
 _U32, _U64 = np.uint32, np.uint64
-_TOP, _BOT, _32 = _U64(1 << 32), _U64(1 << 16), _U64(32)
+_TOP, _32, _LOW = _U64(1 << 32), _U64(32), _U64((1 << 32) - 1)
+_BITS, _TABLE = _U64(BITS), _U64(TABLE_BITS)
 
 
 class _Model:
     """Predictions and weights of `lanes` blocks."""
 
     def __init__(self, lanes: int):
-        self.n = lanes
-        self.lane = np.arange(lanes)
-        self.base1, self.base2, self.base_s, self.base_b = (self.lane * k for k in (SLOTS1, SLOTS2, 32, 257))
-        self.base_c = self.lane * 256
+        lane = np.arange(lanes)
+        self.base1, self.base2, self.base_s, self.base_b, self.base_c = (lane * k for k in (SLOTS1, SLOTS2, 32, 257, 256))
         self.slot1 = np.full(lanes * SLOTS1, 0xFFFFFFFC, _U32)  # id << 2 | confidence
         self.slot2 = np.full(lanes * SLOTS2, 0xFFFFFFFC, _U32)
-        start = np.repeat(np.array([2000, 8000, 16000, 24000], np.int32), 4)
-        self.weight2 = np.tile(np.concatenate((start, start + 8000)), lanes)
-        start = np.tile(np.array([2000, 6000, 12000, 20000], np.int32), 8)
-        self.weight1 = np.tile(start, lanes)
-        self.count_hi = np.ones((lanes, 256), np.int32)
-        self.count_lo = np.ones((lanes, 256), np.int32)
+        by_conf2 = np.repeat(np.array([2000, 8000, 16000, 24000], np.int64), 4)
+        self.weight2 = np.tile(np.concatenate((by_conf2, by_conf2 + 8000)), lanes)
+        self.weight1 = np.tile(np.array([2000, 6000, 12000, 20000], np.int64), 8 * lanes)
+        self.count_hi = np.ones(lanes * 256, np.int32)
+        self.count_lo = np.ones(lanes * 256, np.int32)
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
         self.steps = 0
 
     def predict(self) -> None:
-        if self.steps % REFRESH == 0:
+        n = self.steps
+        if n % REFRESH == 0 or n in (8, 24, 64):
             self.cum_hi, self.cum_lo = self._table(self.count_hi), self._table(self.count_lo)
-        self.at1 = self.base1 + ((self.last * 40503 >> 4) & (SLOTS1 - 1))
-        self.at2 = self.base2 + ((self.last * 40503 + self.before * 30011 >> 5) & (SLOTS2 - 1))
-        s1, s2 = self.slot1[self.at1], self.slot2[self.at2]
-        self.id1, self.id2 = s1 >> _U32(2), s2 >> _U32(2)
-        self.conf1, self.conf2 = s1 & _U32(3), s2 & _U32(3)
-        agree = self.id1 == self.id2
-        self.state = self.base_s + ((self.conf2 << _U32(2)) | self.conf1) + agree * 16
-        w2 = self.weight2[self.state]
-        w1 = self.weight1[self.state]
-        # of the total, 2^13 at least is left to order 0
-        self.mass2 = 1 + (w2 * 7 >> 3)
-        self.mass1 = np.where(agree, 0, 1 + (((ONE - (1 << 13) - self.mass2) >> 1) * (w1 >> 4) >> 12))
-        self.w2, self.w1, self.agree = w2, w1, agree
+        self.at1 = (self.last & (SLOTS1 - 1)) + self.base1
+        self.at2 = ((self.last * 37 + self.before) & (SLOTS2 - 1)) + self.base2
+        self.s1, self.s2 = self.slot1.take(self.at1), self.slot2.take(self.at2)
+        self.id1, self.id2 = self.s1 >> _U32(2), self.s2 >> _U32(2)
+        self.conf1, self.conf2 = self.s1 & _U32(3), self.s2 & _U32(3)
+        self.agree = self.id1 == self.id2
+        self.state = (self.conf2 << _U32(2)) + self.conf1 + (self.agree.view(np.uint8) << np.uint8(4)) + self.base_s
+        self.w2, self.w1 = self.weight2.take(self.state), self.weight1.take(self.state)
+        self.mass2 = (self.w2 * 7 >> 3) + 1
+        self.mass1 = (((ONE - LEFT) - self.mass2) * self.w1 >> BITS + 1) + 1
+        self.mass1 *= ~self.agree
         self.low0 = self.mass2 + self.mass1
         self.rest = ONE - self.low0
 
     @staticmethod
     def _table(count: np.ndarray) -> np.ndarray:
         """Cumulative frequencies that end at 2^15, at least 8 for each byte."""
-        total = count.sum(1, keepdims=True)
-        freq = 8 + count * ((1 << TABLE_BITS) - 8 * 256) // total
-        out = np.zeros((len(count), 257), np.int64)
-        np.cumsum(freq, axis=1, out=out[:, 1:])
+        grid = count.reshape(-1, 256)
+        scale = ((((1 << TABLE_BITS) - 8 * 256) << 16) // grid.sum(1)).astype(np.int64)
+        out = np.zeros((len(grid), 257), np.int64)
+        np.cumsum((grid * scale[:, None] >> 16) + 8, axis=1, out=out[:, 1:])
         out[:, 256] = 1 << TABLE_BITS
         return out.ravel()
 
+    def interval0(self, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of a high byte's share of what is left to order 0."""
+        at = hi + self.base_b
+        return self.cum_hi.take(at) * self.rest >> TABLE_BITS, self.cum_hi.take(at + 1) * self.rest >> TABLE_BITS
+
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        ids32 = ids.astype(_U32)
-        target = np.where(hit2, ONE - 64, 64)
-        self.weight2[self.state] += (target - self.w2) >> 5
-        learn1 = ~(hit2 | self.agree)
-        self.weight1[self.state] += np.where(learn1, (np.where(hit1, ONE - 64, 64) - self.w1) >> 5, 0).astype(np.int32)
-        for slot, at, known, conf in ((self.slot1, self.at1, self.id1, self.conf1), (self.slot2, self.at2, self.id2, self.conf2)):
-            same = known == ids32
-            up = (known << _U32(2)) | np.minimum(conf + _U32(1), _U32(3))
-            other = np.where(conf > 0, (known << _U32(2)) | (conf - (conf > 0)), ids32 << _U32(2))
-            slot[at] = np.where(same, up, other)
-        self.count_hi.ravel()[self.base_c + (ids >> 8)] += 24
-        self.count_lo.ravel()[self.base_c + (ids & 255)] += 24
+        self.weight2[self.state] = self.w2 + (hit2 * (ONE - 128) + 64 - self.w2 >> 5)
+        step1 = hit1 * (ONE - 128) + 64 - self.w1 >> 5
+        step1 *= ~(hit2 | self.agree)
+        self.weight1[self.state] = self.w1 + step1
+        packed = (ids << 2).astype(_U32)
+        for slot, at, s, known, conf in (
+            (self.slot1, self.at1, self.s1, self.id1, self.conf1),
+            (self.slot2, self.at2, self.s2, self.id2, self.conf2),
+        ):
+            sure = conf > 0
+            slot[at] = np.where(known == (packed >> _U32(2)), s + (conf < 3), np.where(sure, s - sure, packed))
+        at = (ids >> 8) + self.base_c
+        self.count_hi[at] = self.count_hi.take(at) + 24
+        at = (ids & 255) + self.base_c
+        self.count_lo[at] = self.count_lo.take(at) + 24
         self.before, self.last = self.last, ids
         self.steps += 1
 
 
-def _split(data: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids as an array of blocks by place, and the lengths of the blocks."""
-    n = -(-len(data) // block)
-    sizes = np.full(n, block, np.int64)
+def _blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids by place and block, filled up with zeros, and the lengths of the blocks."""
+    n = -(-len(ids) // block)
+    width = block if n > 1 else len(ids)
+    grid = np.zeros(n * width, np.int64)
+    grid[: len(ids)] = ids
+    sizes = np.full(n, width, np.int64)
     if n:
-        sizes[-1] = len(data) - (n - 1) * block
-    grid = np.zeros(n * block, np.int64)
-    grid[: len(data)] = data
-    return grid.reshape(n, block), sizes
+        sizes[-1] = len(ids) - (n - 1) * width
+    return np.ascontiguousarray(grid.reshape(n, width).T), sizes
+
+
+def _narrow(low: np.ndarray, width: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """low and width of the lanes `at`, whose widths are below 2^32, before their upper words leave: an interval that
+    two upper words share is cut to its part in the lower one."""
+    some, span = low[at], width[at]
+    apart = (some ^ (some + span)) >= _TOP
+    if apart.any():
+        span[apart] = (~some[apart] + _U64(1)) & _LOW
+    return some, span
 
 
 def encode_blocks(ids: np.ndarray, block: int) -> list[tuple[int, bytes]]:
     """(number of ids, code) of consecutive blocks of at most `block` ids; ids are below 2^16."""
     if len(ids) and int(ids.max()) >= ONE:
         raise ValueError("ids of 2^16 and more are not covered")
-    grid, sizes = _split(ids, block)
-    n = len(grid)
+    grid, sizes = _blocks(ids, block)
+    n = len(sizes)
     if not n:
         return []
     model = _Model(n)
     low, width = np.zeros(n, _U64), np.full(n, 2**64 - 1, _U64)
-    out = np.zeros((n, block + 4), _U32)
-    filled = np.zeros(n, np.int64)
-    alive_all = sizes.min() == sizes.max()
-
-    def put(start: np.ndarray, span: np.ndarray, bits: int, only: np.ndarray) -> None:
-        nonlocal low, width
-        part = width >> _U64(bits)
-        low = np.where(only, low + part * start.astype(_U64), low)
-        width = np.where(only, part * span.astype(_U64), width)
-        shift(only)
-
-    def shift(only: np.ndarray) -> None:
-        same = (low ^ (low + width)) < _TOP
-        if (narrow := ~same & (width < _BOT)).any():
-            width[narrow] = (-low[narrow].astype(np.int64)).astype(_U64) & (_BOT - _U64(1))
-            same |= narrow
-        at = np.flatnonzero(same & only)
-        out[at, filled[at]] = (low[at] >> _32).astype(_U32)
-        filled[at] += 1
-        low[at] <<= _32
-        width[at] <<= _32
-
+    room = len(grid) + 4
+    out = np.zeros(n * room, _U32)
+    spot = np.arange(n) * room
     with np.errstate(over="ignore"):
-        everyone = np.ones(n, bool)
-        for k in range(int(sizes.max())):
-            only = everyone if alive_all else sizes > k
-            x = grid[:, k]
+        for x in grid:
             model.predict()
             x32 = x.astype(_U32)
             hit2 = x32 == model.id2
-            hit1 = ~hit2 & (x32 == model.id1)
-            hi = model.base_b + (x >> 8)
-            a = model.cum_hi[hi] * model.rest >> TABLE_BITS
-            b = model.cum_hi[hi + 1] * model.rest >> TABLE_BITS
-            start = np.where(hit2, 0, np.where(hit1, model.mass2, model.low0 + a))
-            span = np.where(hit2, model.mass2, np.where(hit1, model.mass1, b - a))
-            put(start, span, BITS, only)
-            spelt = only & ~(hit2 | hit1)
-            lo = model.base_b + (x & 255)
-            a = model.cum_lo[lo]
-            put(a, model.cum_lo[lo + 1] - a, TABLE_BITS, spelt)
+            hit1 = (x32 == model.id1) & ~hit2
+            hit = hit1 | hit2
+            a, b = model.interval0(x >> 8)
+            start = np.where(hit, model.mass2 * hit1, model.low0 + a)
+            span = np.where(hit, np.where(hit2, model.mass2, model.mass1), b - a)
+            part = width >> _BITS
+            low += part * start.astype(_U64)
+            part *= span.astype(_U64)
+            part >>= _TABLE
+            # the low byte, if the id is spelt; else the whole interval
+            at = (x & 255) + model.base_b
+            a = model.cum_lo.take(at)
+            span = np.where(hit, 1 << TABLE_BITS, model.cum_lo.take(at + 1) - a)
+            a *= ~hit
+            low += part * a.astype(_U64)
+            width = part * span.astype(_U64)
+            at = np.flatnonzero(width < _TOP)
+            some, span = _narrow(low, width, at)
+            out[spot[at]] = (some >> _32).astype(_U32)
+            spot[at] += 1
+            low[at] = some << _32
+            width[at] = span << _32
             model.update(x, hit2, hit1)
-        # two words name a value inside the last interval
-        value = low + (width >> _U64(1))
-        at = np.arange(n)
-        out[at, filled] = (value >> _32).astype(_U32)
-        out[at, filled + 1] = value.astype(_U32)
-        filled += 2
-    return [(int(m), out[k, : filled[k]].astype("<u4").tobytes()) for k, m in enumerate(sizes)]
+        value = low + (width >> _U64(1))  # two words name a value inside the last interval
+        out[spot] = (value >> _32).astype(_U32)
+        out[spot + 1] = value.astype(_U32)
+    ends = spot + 2
+    return [(int(m), out[k * room : int(ends[k])].astype("<u4").tobytes()) for k, m in enumerate(sizes)]
 
 
 def decode_blocks(blocks: list[tuple[int, bytes]]) -> np.ndarray:
@@ -177,59 +182,50 @@ def decode_blocks(blocks: list[tuple[int, bytes]]) -> np.ndarray:
     model = _Model(n)
     low, width = np.zeros(n, _U64), np.full(n, 2**64 - 1, _U64)
     code = (flat[starts] << _32) | flat[starts + 1]
-    at = starts + 2
-    grid = np.zeros((n, int(sizes.max())), np.int64)
-    alive_all = sizes.min() == sizes.max()
-
-    def take(start: np.ndarray, span: np.ndarray, part: np.ndarray, only: np.ndarray) -> None:
-        nonlocal low, width, code, at
-        low = np.where(only, low + part * start.astype(_U64), low)
-        width = np.where(only, part * span.astype(_U64), width)
-        same = (low ^ (low + width)) < _TOP
-        if (narrow := ~same & (width < _BOT)).any():
-            width[narrow] = (-low[narrow].astype(np.int64)).astype(_U64) & (_BOT - _U64(1))
-            same |= narrow
-        go = np.flatnonzero(same & only)
-        low[go] <<= _32
-        width[go] <<= _32
-        code[go] = (code[go] << _32) | flat[at[go]]
-        at[go] += 1
+    spot = starts + 2
+    grid = np.zeros((int(sizes.max()), n), np.int64)
 
     def find(table: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The last entry of each lane's table that is not above the target."""
-        spot = model.base_b.copy()
+        at = model.base_b
         for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            spot += step * (table[spot + step] <= target)
-        return spot
+            more = at + step
+            at = np.where(table.take(more) <= target, more, at)
+        return at
 
     with np.errstate(over="ignore"):
-        everyone = np.ones(n, bool)
-        for k in range(grid.shape[1]):
-            only = everyone if alive_all else sizes > k
+        for k in range(len(grid)):
             model.predict()
-            part = width >> _U64(BITS)
+            part = width >> _BITS
             value = np.minimum((code - low) // part, _U64(ONE - 1)).astype(np.int64)
             hit2 = value < model.mass2
-            hit1 = ~hit2 & (value < model.low0)
-            # the last byte whose scaled start is not above the value
-            wanted = ((value - model.low0 + 1 << TABLE_BITS) - 1) // model.rest
-            hi = find(model.cum_hi, wanted)
-            a = model.cum_hi[hi] * model.rest >> TABLE_BITS
-            b = model.cum_hi[hi + 1] * model.rest >> TABLE_BITS
-            start = np.where(hit2, 0, np.where(hit1, model.mass2, model.low0 + a))
-            span = np.where(hit2, model.mass2, np.where(hit1, model.mass1, b - a))
-            take(start, span, part, only)
-            spelt = only & ~(hit2 | hit1)
-            part = width >> _U64(TABLE_BITS)
-            value = np.minimum((code - low) // np.maximum(part, _U64(1)), _U64((1 << TABLE_BITS) - 1)).astype(np.int64)
-            lo = find(model.cum_lo, value)
-            a = model.cum_lo[lo]
-            take(a, model.cum_lo[lo + 1] - a, part, spelt)
-            x = np.where(hit2, model.id2, np.where(hit1, model.id1, (hi - model.base_b << 8) | (lo - model.base_b))).astype(np.int64)
-            x = np.where(only, x, 0)
-            grid[:, k] = x
+            hit = value < model.low0
+            hit1 = hit & ~hit2
+            # the last byte whose share begins at or before the value
+            hi = find(model.cum_hi, ((value - model.low0 + 1 << TABLE_BITS) - 1) // model.rest) - model.base_b
+            a, b = model.interval0(hi)
+            start = np.where(hit, model.mass2 * hit1, model.low0 + a)
+            span = np.where(hit, np.where(hit2, model.mass2, model.mass1), b - a)
+            low += part * start.astype(_U64)
+            part *= span.astype(_U64)
+            part >>= _TABLE
+            value = np.minimum((code - low) // part, _U64((1 << TABLE_BITS) - 1)).astype(np.int64)
+            at = find(model.cum_lo, value)
+            a = model.cum_lo.take(at)
+            span = np.where(hit, 1 << TABLE_BITS, model.cum_lo.take(at + 1) - a)
+            a *= ~hit
+            low += part * a.astype(_U64)
+            width = part * span.astype(_U64)
+            x = np.where(hit, np.where(hit2, model.id2, model.id1), (hi << 8) + (at - model.base_b))
+            at = np.flatnonzero(width < _TOP)
+            some, span = _narrow(low, width, at)
+            low[at] = some << _32
+            width[at] = span << _32
+            code[at] = (code[at] << _32) | flat[spot[at]]
+            spot[at] += 1
+            grid[k] = x
             model.update(x, hit2, hit1)
-    return np.concatenate([grid[k, :m] for k, m in enumerate(sizes.tolist())])
+    return np.concatenate([grid[:m, k] for k, m in enumerate(sizes.tolist())])
 
 
 def checksum(ids: np.ndarray) -> int:
