@@ -127,15 +127,9 @@ def _links(lines: list[str], index: list[int], probe: list[int], edits: int) ->
                 root[max(p, q)] = min(p, q)
                 out.append((x, y))
 
-    small = len(index) * len(probe) <= 4096
-    batch: list[tuple[int, int]] = []
     for x in index:
         mine = find(x)
-        batch += [(x, y) for y in probe if x != y and find(y) != mine]
-        if not small:
-            join(batch)
-            batch = []
-    join(batch)
+        join([(x, y) for y in probe if x != y and find(y) != mine])
     return out
 
 
@@ -226,30 +220,49 @@ def line_classes(docs: DataFrame, edits: int, least_chars: int, block: int, text
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each block. The pairs of small blocks are verified together, some thousands at a time."""
         unpack = zstandard.ZstdDecompressor()
         now, ids, lines, index, probe, known = None, [], [], [], [], {}
-
-        def found() -> pa.RecordBatch:
-            links = _links(lines, index, probe, edits) if index and probe else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in links], pa.int64()), pa.array([ids[y] for _, y in links], pa.int64())], ["a", "b"])
+        waiting: dict[tuple[int, int], tuple[str, str]] = {}
+
+        def linked(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+
+        def verified() -> pa.RecordBatch:
+            pairs = list(waiting)
+            good = within(list(waiting.values()), edits)
+            waiting.clear()
+            return linked([p for p, g in zip(pairs, good) if g])
+
+        def block_done() -> Iterator[pa.RecordBatch]:
+            if len(index) * len(probe) > 1024:
+                yield linked([(ids[x], ids[y]) for x, y in _links(lines, index, probe, edits)])
+                return
+            for x in index:
+                for y in probe:
+                    if x != y:
+                        pair = (ids[x], ids[y]) if ids[x] < ids[y] else (ids[y], ids[x])
+                        waiting[pair] = (lines[x], lines[y])
+            if len(waiting) >= 4096:
+                yield verified()
 
         for b in batches:
             for key, blk, probing, line, body in zip(*(b.column(k).to_pylist() for k in ("key", "blk", "probing", "line", "body"))):
                 if (key, blk) != now:
-                    if probe:
-                        yield found()
+                    yield from block_done()
                     now, ids, lines, index, probe, known = (key, blk), [], [], [], [], {}
                 if len(probe) >= 4 * block:  # probing lines stream past the block's index lines
-                    yield found()
-                    n = len(index)
-                    ids, lines, index, probe, known = ids[:n], lines[:n], index, [], {x: k for k, x in enumerate(ids[:n])}
+                    yield from block_done()
+                    n = len(index)  # they come first
+                    ids, lines, probe = ids[:n], lines[:n], []
+                    known = {x: k for k, x in enumerate(ids)}
                 if line not in known:
                     known[line] = len(lines)
                     ids.append(line)
                     lines.append(unpack.decompress(body).decode("utf-8", "surrogatepass"))
                 (probe if probing else index).append(known[line])
-        if probe:
-            yield found()
+        yield from block_done()
+        yield verified()
 
     links = groups.mapInArrow(compare, "a long, b long").distinct()
     return occurrences, components(written(links, "line-links")).withColumnRenamed("node", "line")
