@@ -4,7 +4,8 @@ A file holds the ids of consecutive documents (by ascending id) in blocks of mix
 ids, its length and a CRC-32 of its ids, and ends with an index: document ids and numbers of tokens. Files lie in a
 folder that all executors share; a task writes under a name of its attempt and moves the finished file to its name.
 
-    file   = magic, block size (u32), block*, index, index length (u64), ids in the file (u64), magic
+    file   = magic, chunk*, index, index length (u64), ids in the file (u64), magic
+    chunk  = number of blocks (u32), block*: blocks of equal length but for the last, which are coded abreast
     block  = ids (u32), bytes (u32), crc32 (u32), code
     index  = zlib of: n (u64), n * id (i64), n * null flag (u8), n * tokens (u64)
 """
@@ -26,9 +27,10 @@ from scanloom.llm.common import new_path, texts_of, written
 from scanloom.llm.mixing_coder import checksum, decode_blocks, encode_blocks
 
 MAGIC = b"SCLTOK1\n"
-BLOCK = 2048
-#: Blocks that are coded abreast; this times BLOCK ids are held at a time.
-ABREAST = 2048
+#: Ids of a block, and blocks of a chunk, at most; one times the other ids are held at a time. A chunk with fewer ids
+#: has shorter blocks rather than fewer, as a step costs about the same for few blocks as for many.
+BLOCK = ABREAST = 2048
+LEAST_BLOCK = 128
 
 
 class WordTokenizer:
@@ -138,9 +140,11 @@ def write_tokens(
             full = len(data) if everything else len(data) // (BLOCK * ABREAST) * (BLOCK * ABREAST)
             for start in range(0, full, BLOCK * ABREAST):
                 part = data[start : min(full, start + BLOCK * ABREAST)].astype(np.int64)
-                for k, (m, code) in enumerate(encode_blocks(part, BLOCK)):
-                    crc = checksum(part[k * BLOCK : k * BLOCK + m])
-                    out.write(struct.pack("<III", m, len(code), crc) + code)
+                length = max(LEAST_BLOCK, -(-len(part) // ABREAST))
+                blocks = encode_blocks(part, length)
+                out.write(struct.pack("<I", len(blocks)))
+                for k, (m, code) in enumerate(blocks):
+                    out.write(struct.pack("<III", m, len(code), checksum(part[k * length : k * length + m])) + code)
                     n_bytes += 12 + len(code)
             held, n_held = ([data[full:]], len(data) - full) if full < len(data) else ([], 0)
 
@@ -148,7 +152,7 @@ def write_tokens(
             if b.num_rows and out is None:
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(draft := f"{base}/{name}.{at.taskAttemptId()}", compression=None)
-                out.write(MAGIC + struct.pack("<I", BLOCK))
+                out.write(MAGIC)
             texts = texts_of(b)
             ids_of += b.column("id").to_pylist()
             for k in range(0, len(texts), 300):
@@ -202,19 +206,19 @@ class TokenFile:
         self.tokens = np.frombuffer(index, "<u8", n, 8 + 9 * n).astype(np.int64)
 
     def chunks(self) -> Iterator[np.ndarray]:
-        """The ids, ABREAST blocks at a time; a block whose ids do not fit its checksum is an error."""
+        """The ids, a chunk at a time; a block whose ids do not fit its checksum is an error."""
         self.stream.seek(0)
         if self.stream.read(8) != MAGIC:
             raise ValueError("not a token file")
-        self.stream.read(4)
-        at = 12
+        at = 8
         while at < self.end:
             blocks, sums = [], []
-            while at < self.end and len(blocks) < ABREAST:
+            for _ in range(struct.unpack("<I", self.stream.read(4))[0]):
                 m, n, crc = struct.unpack("<III", self.stream.read(12))
                 blocks.append((m, self.stream.read(n)))
                 sums.append(crc)
                 at += 12 + n
+            at += 4
             ids = decode_blocks(blocks)
             start = 0
             for (m, _), crc in zip(blocks, sums):
