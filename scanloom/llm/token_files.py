@@ -12,6 +12,7 @@ folder that all executors share; a task writes under a name of its attempt and m
 
 from __future__ import annotations
 
+import os
 import struct
 import unicodedata
 import zlib
@@ -41,6 +42,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, table_words: int = 500_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -70,8 +72,9 @@ class WordTokenizer:
     def _learn(self, words: list[bytes]) -> None:
         split = [self._pieces(w.decode("utf-8", "surrogatepass")) for w in words]
         fresh = [p for p in dict.fromkeys(p for ps in split for p in ps) if p not in self.part]
-        plain = [p for p in fresh if p.isalpha() and p.lower().isalpha() and unicodedata.is_normalized("NFC", p)]
-        other = [p for p in fresh if p not in set(plain)] if len(plain) < len(fresh) else []
+        plain, other = [], []
+        for p in fresh:
+            (plain if p.isalpha() and p.lower().isalpha() and unicodedata.is_normalized("NFC", p) else other).append(p)
         for at in range(0, len(plain), 512 * 64):
             groups = [plain[k : k + 512] for k in range(at, min(at + 512 * 64, len(plain)), 512)]
             for group, code in zip(groups, self.lib.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
