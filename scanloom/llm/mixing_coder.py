@@ -169,7 +169,7 @@ def encode_blocks(ids: np.ndarray, block: int) -> list[tuple[int, bytes]]:
 
 
 def decode_blocks(blocks: list[tuple[int, bytes]]) -> np.ndarray:
-    """The ids of encode_blocks()'s blocks, one after the other."""
+    """The ids of encode_blocks()'s blocks, one after the other; damaged code gives some ids, which a checksum tells."""
     if not blocks:
         return np.empty(0, np.int64)
     n = len(blocks)
@@ -182,7 +182,7 @@ def decode_blocks(blocks: list[tuple[int, bytes]]) -> np.ndarray:
     model = _Model(n)
     low, width = np.zeros(n, _U64), np.full(n, 2**64 - 1, _U64)
     code = (flat[starts] << _32) | flat[starts + 1]
-    spot = starts + 2
+    spot, last = starts + 2, len(flat) - 1
     grid = np.zeros((int(sizes.max()), n), np.int64)
 
     def find(table: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -216,12 +216,12 @@ def decode_blocks(blocks: list[tuple[int, bytes]]) -> np.ndarray:
             a *= ~hit
             low += part * a.astype(_U64)
             width = part * span.astype(_U64)
-            x = np.where(hit, np.where(hit2, model.id2, model.id1), (hi << 8) + (at - model.base_b))
+            x = np.where(hit, np.where(hit2, model.id2, model.id1), (hi << 8) + (at - model.base_b)) & (ONE - 1)
             at = np.flatnonzero(width < _TOP)
             some, span = _narrow(low, width, at)
             low[at] = some << _32
             width[at] = span << _32
-            code[at] = (code[at] << _32) | flat[spot[at]]
+            code[at] = (code[at] << _32) | flat[np.minimum(spot[at], last)]
             spot[at] += 1
             grid[k] = x
             model.update(x, hit2, hit1)
