@@ -25,12 +25,11 @@ def united(cuts: DataFrame, det: str = "det") -> DataFrame:
 def inverted(cuts: DataFrame, dets: DataFrame, det: str = "det", nsamp: str = "nsamp") -> DataFrame:
     """What united cuts leave of [0, nsamp) of each detector of dets (det, nsamp); detectors without a cut are whole."""
     w = Window.partitionBy(det).orderBy("lo")
-    edges = cuts.select(det, "lo", "hi").join(dets, det)
-    gaps = edges.select(det, F.coalesce(F.lag("hi").over(w), F.lit(0)).alias("a"), F.col("lo").alias("b"))
-    tails = dets.join(edges.groupBy(det).agg(F.max("hi").alias("__end")), det, "left").select(
-        det, F.coalesce("__end", F.lit(0)).alias("a"), F.col(nsamp).cast("int").alias("b")
-    )
-    return gaps.unionByName(tails).where("b > a").select(det, F.col("a").alias("lo"), F.col("b").alias("hi"))
+    edges = dets.select(det, F.col(nsamp).cast("int").alias("__n")).join(cuts.select(det, "lo", "hi"), det, "left")
+    edges = edges.withColumns({"__before": F.coalesce(F.lag("hi").over(w), F.lit(0)), "__after": F.lead("lo").over(w)})
+    gap = F.struct(F.col("__before").alias("lo"), F.coalesce("lo", "__n").alias("hi"))
+    tail = F.when(F.col("__after").isNull() & F.col("hi").isNotNull(), F.struct(F.col("hi").alias("lo"), F.col("__n").alias("hi")))
+    return edges.select(det, F.explode(F.array(gap, tail)).alias("g")).where("g.hi > g.lo").select(det, "g.lo", "g.hi")
 
 
 def clipped(cuts: DataFrame, start: int, stop: int) -> DataFrame:
