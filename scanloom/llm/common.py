@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from scanloom.sources.shared import new_path, shared_dir, written
 
-__all__ = ["ASCII_LOWER", "bloom_bits", "bloom_has", "components", "counter_rows", "merged_counters", "mix64", "new_path", "shared_dir", "texts_of", "written"]
+__all__ = ["ASCII_LOWER", "bloom_bits", "bloom_has", "components", "counter_rows", "merged_counters", "mix64", "new_path", "shared_dir", "slices", "texts_of", "written"]
 
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+
 def merged_counters(parts: DataFrame, size: int, combine: str) -> np.ndarray:
     """One array of `size` counters from rows (chunk int, body binary): the chunks that the tasks made are
     added ("sum") or united ("or") by chunk on the executors; the driver gets `size` counters, however large
@@ -112,3 +113,8 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows, so that a task holds few texts as Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

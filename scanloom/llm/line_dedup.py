@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.llm.common import bloom_bits, bloom_has, components, texts_of, written
+from scanloom.llm.common import bloom_bits, bloom_has, components, slices, texts_of, written
 
 _NULL_ID = -(2**63)
 
@@ -139,7 +139,7 @@ def line_classes(docs: DataFrame, edits: int, least_chars: int, block: int, text
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, nos, keys = [], [], []
             for i, t in zip(b.column("id").to_pylist(), texts_of(b)):
                 for k, line in enumerate(t.split("\n")):
@@ -147,28 +147,25 @@ def line_classes(docs: DataFrame, edits: int, least_chars: int, block: int, text
                         ids.append(i)
                         nos.append(k)
                         keys.append(_line_id(line))
-                if len(ids) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(keys, pa.int64())], ["id", "line_no", "line"])
-                    ids, nos, keys = [], [], []
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(keys, pa.int64())], ["id", "line_no", "line"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             key, line_of, probing = [], [], []
             for t in texts_of(b):
                 for line in t.split("\n"):
                     if len(line) < least_chars or (me := _line_id(line)) in told:
                         continue
-                    if len(told) < 500_000:
+                    if len(told) < 200_000:
                         told.add(me)
                     index, probes = segment_keys(line, edits)
                     key += index
                     key += probes
                     line_of += [me] * (len(index) + len(probes))
                     probing += [False] * len(index) + [True] * len(probes)
-                if len(key) > 200_000:
+                if len(key) > 100_000:  # a document with very many lines
                     yield batch(key, line_of, probing)
                     key, line_of, probing = [], [], []
             if key:
@@ -204,15 +201,14 @@ def line_classes(docs: DataFrame, edits: int, least_chars: int, block: int, text
     def of_interest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         pack = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                lines = [x for t in texts_of(b.slice(at, 500)) for x in t.split("\n") if len(x) >= least_chars]
-                ids = np.array([_line_id(x) for x in lines], np.int64)
-                keep = {int(ids[i]): i for i in np.flatnonzero(bloom_has(wanted.value, ids)).tolist() if ids[i] not in told}
-                if len(told) < 500_000:
-                    told.update(keep)
-                bodies = [pack.compress(lines[i].encode("utf-8", "surrogatepass")) for i in keep.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(keep), pa.int64()), pa.array(bodies, pa.binary())], ["line", "body"])
+        for b in slices(batches):
+            lines = [x for t in texts_of(b) for x in t.split("\n") if len(x) >= least_chars]
+            ids = np.array([_line_id(x) for x in lines], np.int64)
+            keep = {int(ids[i]): i for i in np.flatnonzero(bloom_has(wanted.value, ids)).tolist() if ids[i] not in told}
+            if len(told) < 200_000:
+                told.update(keep)
+            bodies = [pack.compress(lines[i].encode("utf-8", "surrogatepass")) for i in keep.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(keep), pa.int64()), pa.array(bodies, pa.binary())], ["line", "body"])
 
     texts = src.select("text").mapInArrow(of_interest, "line long, body binary").dropDuplicates(["line"])
     groups = (
@@ -292,7 +288,7 @@ def dedup_lines(
     kind = T.StructType([*docs.select(*columns).schema, T.StructField("removed_lines", T.ArrayType(T.IntegerType()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, removed = [], []
             for t, gone in zip(b.column(text_col).to_pylist(), b.column("__gone").to_pylist()):
                 drop = {(g["line_no"], g["line"]) for g in gone or ()}

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import bloom_bits, bloom_has, components, counter_rows, merged_counters, mix64, texts_of, written
+from scanloom.llm.common import bloom_bits, bloom_has, components, counter_rows, merged_counters, slices, texts_of, written
 from scanloom.llm.shingles import Shingler
 
 SKETCH_LOG2, SKETCH_CHUNKS = 22, 64
@@ -105,27 +105,25 @@ def near_duplicates(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Set keys of the documents, then this task's part of the token-frequency sketch."""
         make, total, buffered, held = Shingler(words), np.zeros(size, np.uint32), [], 0
-        for b in batches:
-            ids, texts = b.column("id"), texts_of(b)
-            for at in range(0, len(texts), 500):
-                sets = make.sets(texts[at : at + 500])
-                n = len(sets)
-                buffered += sets
-                held += sum(map(len, sets))
-                if held > 2_000_000:
-                    total += np.bincount((np.concatenate(buffered) & mask).astype(np.int64), minlength=size).astype(np.uint32)
-                    buffered, held = [], 0
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(at, n),
-                        pa.array([len(x) for x in sets], pa.int64()),
-                        pa.array([_set_key(x) for x in sets], pa.int64()),
-                        pa.array([int(x[0].view(np.int64)) if len(x) else None for x in sets], pa.int64()),
-                        pa.nulls(n, pa.int32()),
-                        pa.nulls(n, pa.binary()),
-                    ],
-                    ["id", "n", "key", "grp", "chunk", "body"],
-                )
+        for b in slices(batches):
+            sets = make.sets(texts_of(b))
+            n = len(sets)
+            buffered += sets
+            held += sum(map(len, sets))
+            if held > 2_000_000:
+                total += np.bincount((np.concatenate(buffered) & mask).astype(np.int64), minlength=size).astype(np.uint32)
+                buffered, held = [], 0
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("id"),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([_set_key(x) for x in sets], pa.int64()),
+                    pa.array([int(x[0].view(np.int64)) if len(x) else None for x in sets], pa.int64()),
+                    pa.nulls(n, pa.int32()),
+                    pa.nulls(n, pa.binary()),
+                ],
+                ["id", "n", "key", "grp", "chunk", "body"],
+            )
         if buffered:
             total += np.bincount((np.concatenate(buffered) & mask).astype(np.int64), minlength=size).astype(np.uint32)
         rows = counter_rows(total, SKETCH_CHUNKS)
@@ -143,25 +141,23 @@ def near_duplicates(
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(token, key, group) of every set's rarest tokens: as many as any similar set must share one of."""
         make, freq, told = Shingler(words), sketch.value, set()
-        for b in batches:
-            texts = texts_of(b)
-            for at in range(0, len(texts), 500):
-                token, key, grp = [], [], []
-                for x in make.sets(texts[at : at + 500]):
-                    if not len(x) or (k := _set_key(x)) in told:
-                        continue
-                    if len(told) < 200_000:
-                        told.add(k)
-                    p = len(x) - (num * len(x) + den - 1) // den + 1
-                    few = x[np.lexsort((x, freq[(x & mask).astype(np.int64)]))[:p]]
-                    token.append(few)
-                    key.append(np.full(len(few), k, np.int64))
-                    grp.append(np.full(len(few), x[0].view(np.int64), np.int64))
-                if token:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(grp))],
-                        ["token", "key", "grp"],
-                    )
+        for b in slices(batches):
+            token, key, grp = [], [], []
+            for x in make.sets(texts_of(b)):
+                if not len(x) or (k := _set_key(x)) in told:
+                    continue
+                if len(told) < 200_000:
+                    told.add(k)
+                p = len(x) - (num * len(x) + den - 1) // den + 1
+                few = x[np.lexsort((x, freq[(x & mask).astype(np.int64)]))[:p]]
+                token.append(few)
+                key.append(np.full(len(few), k, np.int64))
+                grp.append(np.full(len(few), x[0].view(np.int64), np.int64))
+            if token:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(grp))],
+                    ["token", "key", "grp"],
+                )
 
     probes = src.select("text").mapInArrow(rarest, "token long, key long, grp long")
     by_token = Window.partitionBy("token")
@@ -212,10 +208,8 @@ def near_duplicates(
     def of_interest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, compressed text) of the sets that some group holds or is queried with, once in a task."""
         make, told, pack = Shingler(words), set(), zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            texts = texts_of(b)
-            for at in range(0, len(texts), 500):
-                part = texts[at : at + 500]
+        for b in slices(batches):
+            if part := texts_of(b):
                 keys = np.array([_set_key(x) if len(x) else 0 for x in make.sets(part)], np.int64)
                 keep = [i for i in np.flatnonzero(bloom_has(wanted.value, keys)).tolist() if keys[i] and keys[i] not in told]
                 keep = list({int(keys[i]): i for i in keep}.values())

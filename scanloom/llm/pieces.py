@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import texts_of
+from scanloom.llm.common import slices, texts_of
 
 SPACE = "▁"
 _WORDS = re.compile(r"\n| *[^ \n]+| +")
@@ -205,7 +205,7 @@ class PieceVocabulary:
 class PieceEncoder:
     """Encodes texts word by word; words met before come from a bounded table."""
 
-    def __init__(self, vocabulary: PieceVocabulary, table_words: int = 400_000):
+    def __init__(self, vocabulary: PieceVocabulary, table_words: int = 200_000):
         self.v, self.limit = vocabulary, table_words
         self._clear()
 
@@ -249,11 +249,11 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(PieceVocabulary(model))
-        for b in batches:
-            texts, at, n = texts_of(b), 0, 0
+        for b in slices(batches, 300):
+            texts, at = texts_of(b), 0
             while at < len(texts):
                 n, size = 0, 0
-                while at + n < len(texts) and (n == 0 or n < 400 and size < 4_000_000):
+                while at + n < len(texts) and (n == 0 or size < 4_000_000):
                     size += len(texts[at + n])
                     n += 1
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(at, n), encoder.encode(texts[at : at + n])], ["id", "ids"])

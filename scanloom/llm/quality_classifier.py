@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.llm.common import texts_of
+from scanloom.llm.common import slices, texts_of
 
 
 @dataclass(frozen=True)
@@ -186,7 +186,7 @@ def score_quality(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = shared.value.measures()
-        for b in batches:
+        for b in slices(batches):
             scores = [measure.score(t) for t in texts_of(b, text)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
 

@@ -27,7 +27,7 @@ class _Hashes(dict):
 class Shingler:
     """Sets of w-word shingles of texts: A-Z in lower case, words `[^\\x20\\x09-\\x0D]+`."""
 
-    def __init__(self, words: int = 5, table: int = 400_000):
+    def __init__(self, words: int = 5, table: int = 200_000):
         self.w, self.hashes = words, _Hashes(table)
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
