@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import new_path, texts_of, written
+from scanloom.llm.common import new_path, slices, texts_of, written
 from scanloom.llm.mixing_coder import checksum, decode_blocks, encode_blocks
 
 MAGIC = b"SCLTOK1\n"
@@ -37,79 +38,93 @@ LEAST_BLOCK = 128
 class WordTokenizer:
     """A tokenizers-library vocabulary whose words do not reach over white space, applied word by word.
 
-    Words met before come from a bounded table. Words of letters alone (with other marks behind them) are given to
-    the library many at a time and told apart by the word-end mark of their last token; all others one by one.
+    The distinct words of some texts are found with Arrow and cut into letters and plain marks behind them, which the
+    vocabulary treats apart. Parts met before come from a bounded table. New parts of letters alone are given to the
+    library many at a time and told apart by the word-end mark of their last token; all others one by one.
     """
 
-    def __init__(self, path: str, table_words: int = 500_000):
+    #: Marks that stay together behind letters and start neither a contraction nor a special token.
+    MARKS = ".,;:!?*$%&#"
+
+    def __init__(self, path: str, table_parts: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.limit = table_words
+        self.limit = table_parts
         self.ends = np.zeros(self.lib.get_vocab_size(), bool)
         for token, i in self.lib.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.part: dict[str, np.ndarray] = {}
-        self.flat, self.start, self.n = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    @staticmethod
-    def _pieces(word: str) -> list[str]:
-        """A word as parts that the vocabulary treats apart: letters, and plain marks behind them; else the word itself."""
-        body = word.rstrip(".,;:!?*$%&#")
-        marks = word[len(body) :]
-        if body.isascii():
-            if body.isalpha():
-                return [body.lower(), marks] if marks else [body.lower()]
-        elif body.isalpha() and body.lower().isalpha() and unicodedata.is_normalized("NFC", body):
-            return [body, marks] if marks else [body]
-        return [word]
-
-    def _learn(self, words: list[bytes]) -> None:
-        split = [self._pieces(w.decode("utf-8", "surrogatepass")) for w in words]
-        fresh = [p for p in dict.fromkeys(p for ps in split for p in ps) if p not in self.part]
+        self.slot: dict[str, int] = {"": 0}
+        self.flat, self.start, self.n = np.empty(0, np.uint16), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _learn(self, parts: list[str]) -> None:
         plain, other = [], []
-        for p in fresh:
+        for p in parts:
             (plain if p.isalpha() and p.lower().isalpha() and unicodedata.is_normalized("NFC", p) else other).append(p)
-        for at in range(0, len(plain), 512 * 64):
-            groups = [plain[k : k + 512] for k in range(at, min(at + 512 * 64, len(plain)), 512)]
-            for group, code in zip(groups, self.lib.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-                ids = np.array(code.ids, np.uint16)
-                cuts = np.flatnonzero(self.ends[ids])[:-1] + 1
-                if len(cuts) + 1 == len(group):
-                    self.part.update(zip(group, np.split(ids, cuts)))
-                else:
-                    other += group
+        names, flats, counts = [], [], []
+        groups = [plain[k : k + 512] for k in range(0, len(plain), 512)]
+        for group, code in zip(groups, self.lib.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(code.ids, np.uint16)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(group):
+                names += group
+                flats.append(ids)
+                counts.append(np.diff(stops, prepend=0))
+            else:
+                other += group
         for p, code in zip(other, self.lib.encode_batch(other, add_special_tokens=False)):
-            self.part[p] = np.array(code.ids, np.uint16)
-        found = [[self.part[p] for p in ps] for ps in split]
-        n = np.array([sum(map(len, x)) for x in found], np.int64)
-        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words))))
+            names.append(p)
+            flats.append(np.array(code.ids, np.uint16))
+            counts.append(np.array([len(code.ids)]))
+        n = np.concatenate(counts)
+        self.slot.update(zip(names, range(len(self.slot), len(self.slot) + len(names))))
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(n) - n))
         self.n = np.concatenate((self.n, n))
-        self.flat = np.concatenate([self.flat, *(x for xs in found for x in xs)])
+        self.flat = np.concatenate((self.flat, *flats))
+
+    def _parts(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each distinct word as two parts: letters and marks, or the word and nothing."""
+        body = pc.utf8_rtrim(words, self.MARKS)
+        ascii_ = pc.string_is_ascii(body)
+        alpha = pc.utf8_is_alpha(body).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(alpha & ~ascii_.to_numpy(zero_copy_only=False)).tolist():
+            b = body[k].as_py()
+            alpha[k] = b.isalpha() and b.lower().isalpha() and unicodedata.is_normalized("NFC", b)
+        alpha = pa.array(alpha)
+        low = pc.if_else(ascii_, pc.ascii_lower(body), body)
+        marked = pc.and_(alpha, pc.not_equal(pc.binary_length(words), pc.binary_length(body)))
+        at = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        marks = np.full(len(words), "", object)
+        cut = pa.array(at)
+        marks[at] = [w[len(b) :] for w, b in zip(words.take(cut).to_pylist(), body.take(cut).to_pylist())]
+        return pc.if_else(alpha, low, words), pa.array(marks, pa.string())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and the number of ids of each."""
         if len(self.slot) > self.limit:
             self._clear()
-        words, counts = [], []
-        for t in texts:
-            own = t.encode("utf-8", "surrogatepass").split()  # at ASCII white space, which the vocabulary drops
-            counts.append(len(own))
-            words += own
-        slot = self.slot
-        if fresh := [w for w in dict.fromkeys(words) if w not in slot]:
-            self._learn(fresh)
-        at = np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
-        width = self.n[at]
+        # at ASCII white space, which the vocabulary drops; the empty words at the ends of a text have no ids
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            return np.empty(0, np.uint16), np.zeros(len(texts), np.int64)
+        head, tail = (x.dictionary_encode() for x in self._parts(coded.dictionary))
+        slots = []
+        for x in (head, tail):
+            names = x.dictionary.to_pylist()
+            if fresh := [p for p in names if p not in self.slot]:
+                self._learn(fresh)
+            slots.append(np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))[x.indices.to_numpy()])
+        pair = np.stack(slots, 1)[coded.indices.to_numpy()].ravel()  # head and tail of every word
+        width = self.n[pair]
         ends = np.cumsum(width)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + width, width)]
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[pair] - ends + width, width)]
+        bounds = np.concatenate(([0], ends))[2 * np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
         return ids, np.diff(bounds)
 
 
@@ -151,21 +166,20 @@ def write_tokens(
                     n_bytes += 12 + len(code)
             held, n_held = ([data[full:]], len(data) - full) if full < len(data) else ([], 0)
 
-        for b in batches:
-            if b.num_rows and out is None:
+        for b in slices(batches, 300):
+            if out is None:
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(draft := f"{base}/{name}.{at.taskAttemptId()}", compression=None)
                 out.write(MAGIC)
             texts = texts_of(b)
             ids_of += b.column("id").to_pylist()
-            for k in range(0, len(texts), 300):
-                ids, counts = words.encode(texts[k : k + 300])
-                held.append(np.insert(ids, np.cumsum(counts), end_id))
-                tokens_of += (counts + 1).tolist()
-                n_held += len(held[-1])
-                n_ids += len(held[-1])
-                if n_held >= BLOCK * ABREAST:
-                    flush(False)
+            ids, counts = words.encode(texts)
+            held.append(np.insert(ids, np.cumsum(counts), end_id))
+            tokens_of += (counts + 1).tolist()
+            n_held += len(held[-1])
+            n_ids += len(held[-1])
+            if n_held >= BLOCK * ABREAST:
+                flush(False)
         if out is None:
             return
         flush(True)
