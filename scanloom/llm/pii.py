@@ -114,11 +114,11 @@ def find_pii(
     corpus = written(
         src.select(F.explode(words).alias("term")).groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("n_t")), "pii-corpus"
     )
-    total = F.broadcast(corpus.agg(F.sum("n_t").alias("n_all")))  # one row
-    p_e = F.least(F.lit(1.0), F.col("n_e") / F.col("n_all"))
+    total = corpus.agg(F.sum("n_t")).first()[0] or 1
+    p_e = F.least(F.lit(1.0), F.col("n_e") / F.lit(float(total)))
     p_e_t = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
     content = -F.log2(p_e)
-    strong = pairs.join(corpus, "term").crossJoin(total).where(content + F.log2(p_e_t) >= disclosure * content)
+    strong = pairs.join(corpus, "term").where(content + F.log2(p_e_t) >= disclosure * content)
     spans = terms.join(strong.select("kind", "value", "term"), ["kind", "value", "term"], "left_semi")
     spans = (
         spans.select("k1", "k2", F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value")).alias("s"))
