@@ -133,10 +133,10 @@ def scan_secrets(
     asked = [(k, n, t) for k, q in enumerate(queries) if q != _ANY for n, c in enumerate(sorted(q, key=sorted)) for t in sorted(c)]
     if asked:
         trigrams = sorted({t for _, _, t in asked})
-        low = F.lower("text")
-        found = F.filter(F.array(*[F.when(low.contains(t), F.lit(t)) for t in trigrams]), lambda x: x.isNotNull())
+        low = src.select("key", F.lower("text").alias("low"))
+        found = F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in trigrams]))
         # equal texts have equal postings; a key that two texts share only adds candidates
-        postings = src.select("key", F.explode(found).alias("trigram")).distinct()
+        postings = low.select("key", F.explode(found).alias("trigram")).distinct()
         terms = spark.createDataFrame(
             [(k, n, t, sum(1 for a, b, _ in asked if (a, b) == (k, n))) for k, n, t in asked], "rule int, part int, trigram string, size int"
         )
