@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scanloom.sources.shared import new_path, shared_dir, written
 
-__all__ = ["ASCII_LOWER", "bloom_bits", "bloom_has", "components", "counter_rows", "merged_counters", "mix64", "new_path", "shared_dir", "slices", "texts_of", "written"]
+__all__ = ["ASCII_LOWER", "bloom_bits", "bloom_has", "components", "counter_rows", "merged_counters", "mix64", "new_path", "shared_dir", "slices", "spread", "texts_of", "written"]
 
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -114,7 +114,15 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most `rows` rows, so that a task holds few texts as Python objects at a time."""
+    """The batches in parts of at most `rows` rows, so that a task holds few texts as Python objects at a time; what
+    Arrow's pool no longer uses goes back to the system after each batch."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
+def spread(files: DataFrame, key: str) -> DataFrame:
+    """A table of files, one to a partition: the number is given, as partitions of a few bytes would be put together
+    again, and one task would read all files."""
+    return files.repartitionByRange(max(1, files.count()), key)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import new_path, slices, texts_of, written
+from scanloom.llm.common import new_path, slices, spread, texts_of, written
 from scanloom.llm.mixing_coder import checksum, decode_blocks, encode_blocks
 
 MAGIC = b"SCLTOK1\n"
@@ -266,7 +266,8 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False, id_col: str = "doc_
     documents before, over the files in order; ids are null unless asked for."""
     # a row for each file: their number is that of the writing tasks
     before = F.sum("n_ids").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("path", F.coalesce(before, F.lit(0)).alias("base")).repartition("path")
+    files = manifest.select("file_no", "path", F.coalesce(before, F.lit(0)).alias("base"))
+    files = spread(files, "file_no").select("path", "base")
     kinds = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

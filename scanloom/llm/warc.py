@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import new_path, written
+from scanloom.llm.common import new_path, spread, written
 
 PIECE = 1 << 16
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -225,4 +225,4 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
 
     ddl = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     # an archive is read by one task: its size is what a writing task was dealt
-    return manifest.select("path").repartition("path").mapInArrow(run, ddl)
+    return spread(manifest.select("path"), "path").mapInArrow(run, ddl)
