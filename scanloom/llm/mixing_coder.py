@@ -68,7 +68,7 @@ class _Model:
         """Cumulative frequencies that end at 2^15, at least 8 for each byte."""
         grid = count.reshape(-1, 256)
         scale = ((((1 << TABLE_BITS) - 8 * 256) << 16) // grid.sum(1)).astype(np.int64)
-        out = np.zeros((len(grid), 257), np.int64)
+        out = np.zeros((len(grid), 257), np.int32)
         np.cumsum((grid * scale[:, None] >> 16) + 8, axis=1, out=out[:, 1:])
         out[:, 256] = 1 << TABLE_BITS
         return out.ravel()
@@ -187,10 +187,9 @@ def decode_blocks(blocks: list[tuple[int, bytes]]) -> np.ndarray:
 
     def find(table: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The last entry of each lane's table that is not above the target."""
-        at = model.base_b
+        at, target = model.base_b, target.astype(np.int32)
         for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            more = at + step
-            at = np.where(table.take(more) <= target, more, at)
+            at = at + (table.take(at + step) <= target) * step
         return at
 
     with np.errstate(over="ignore"):
