@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import texts_of, written
+from scanloom.llm.common import slices, texts_of, written
 
 #: Bytes of words as they are: 0-9, a-z (A-Z in lower case) and all bytes of characters from U+0080 on; others part words.
 _WORD_BYTES = bytes(
@@ -201,24 +201,21 @@ def contamination(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = SuffixAutomaton(shared.value, window)
-            for b in batches:
-                texts = texts_of(b)
-                for at in range(0, len(texts), 300):
-                    part = texts[at : at + 300]
-                    words = [words_of(t) for t in part]
-                    found = automaton.scan(words)
-                    keep = [i for i in range(len(part)) if all_rows or found[i][0]]
-                    ids = b.column("id").slice(at, len(part))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(keep, pa.int64())),
-                            pa.array([xxhash.xxh3_128_hexdigest(part[i].encode("utf-8", "surrogatepass")) for i in keep], pa.string()),
-                            pa.array([len(words[i]) for i in keep], pa.int64()),
-                            pa.array([[{"start": s, "end": e} for s, e in found[i][0]] for i in keep], spans_type),
-                            pa.array([sorted({automaton.names[k] for k in found[i][1]}) for i in keep], pa.list_(pa.string())),
-                        ],
-                        ["id", "digest", "n_words", "spans", "items"],
-                    )
+            for b in slices(batches, 300):
+                part = texts_of(b)
+                words = [words_of(t) for t in part]
+                found = automaton.scan(words)
+                keep = [i for i in range(len(part)) if all_rows or found[i][0]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("id").take(pa.array(keep, pa.int64())),
+                        pa.array([xxhash.xxh3_128_hexdigest(part[i].encode("utf-8", "surrogatepass")) for i in keep], pa.string()),
+                        pa.array([len(words[i]) for i in keep], pa.int64()),
+                        pa.array([[{"start": s, "end": e} for s, e in found[i][0]] for i in keep], spans_type),
+                        pa.array([sorted({automaton.names[k] for k in found[i][1]}) for i in keep], pa.list_(pa.string())),
+                    ],
+                    ["id", "digest", "n_words", "spans", "items"],
+                )
 
         return src.mapInArrow(run, kind)
 

@@ -104,15 +104,11 @@ def near_duplicates(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Set keys of the documents, then this task's part of the token-frequency sketch."""
-        make, total, buffered, held = Shingler(words), np.zeros(size, np.uint32), [], 0
+        make, total = Shingler(words), np.zeros(size, np.uint32)
         for b in slices(batches):
             sets = make.sets(texts_of(b))
             n = len(sets)
-            buffered += sets
-            held += sum(map(len, sets))
-            if held > 2_000_000:
-                total += np.bincount((np.concatenate(buffered) & mask).astype(np.int64), minlength=size).astype(np.uint32)
-                buffered, held = [], 0
+            np.add.at(total, (np.concatenate(sets) & mask).astype(np.int64), np.uint32(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("id"),
@@ -124,8 +120,6 @@ def near_duplicates(
                 ],
                 ["id", "n", "key", "grp", "chunk", "body"],
             )
-        if buffered:
-            total += np.bincount((np.concatenate(buffered) & mask).astype(np.int64), minlength=size).astype(np.uint32)
         rows = counter_rows(total, SKETCH_CHUNKS)
         k = rows.num_rows
         yield pa.RecordBatch.from_arrays(
