@@ -35,6 +35,12 @@ BLOCK = ABREAST = 2048
 LEAST_BLOCK = 128
 
 
+def _ragged(start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of width[0] places, and so on."""
+    ends = np.cumsum(width)
+    return np.arange(ends[-1]) + np.repeat(start - ends + width, width)
+
+
 class WordTokenizer:
     """A tokenizers-library vocabulary whose words do not reach over white space, applied word by word.
 
@@ -120,11 +126,13 @@ class WordTokenizer:
             if fresh := [p for p in names if p not in self.slot]:
                 self._learn(fresh)
             slots.append(np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))[x.indices.to_numpy()])
-        pair = np.stack(slots, 1)[coded.indices.to_numpy()].ravel()  # head and tail of every word
-        width = self.n[pair]
-        ends = np.cumsum(width)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[pair] - ends + width, width)]
-        bounds = np.concatenate(([0], ends))[2 * np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
+        pair = np.stack(slots, 1).ravel()  # head and tail of every distinct word
+        flat = self.flat[_ragged(self.start[pair], self.n[pair])]
+        n = self.n[pair].reshape(-1, 2).sum(1)
+        at = coded.indices.to_numpy()
+        width = n[at]
+        ids = flat[_ragged((np.cumsum(n) - n)[at], width)]
+        bounds = np.concatenate(([0], np.cumsum(width)))[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
         return ids, np.diff(bounds)
 
 
@@ -166,7 +174,7 @@ def write_tokens(
                     n_bytes += 12 + len(code)
             held, n_held = ([data[full:]], len(data) - full) if full < len(data) else ([], 0)
 
-        for b in slices(batches, 300):
+        for b in slices(batches, 1000):
             if out is None:
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(draft := f"{base}/{name}.{at.taskAttemptId()}", compression=None)
