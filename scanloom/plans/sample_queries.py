@@ -165,8 +165,7 @@ def find_scanning(spark, d):
 
 
 def common_mode(spark, d):
-    s = _samples(spark, d).where("samp < 40")
-    return _rounded(blocks.common_mode(s, 8), "value")
+    return _rounded(blocks.common_mode(_samples(spark, d), 8), "value")
 
 
 def pair_rotate(spark, d):
@@ -307,7 +306,7 @@ def _matrix(spark, d):
 
 
 def measure_cov(spark, d):
-    s = _samples(spark, d).where("samp < 60").select("det", "samp", "value", (F.col("det") % 25).alias("grp"))
+    s = _samples(spark, d).select("det", "samp", "value", (F.col("det") % 25).alias("grp"))
     return _rounded(noise.covariance(s, "det", "samp", "value", ["grp"]), "cov", digits=2, nudge=1.23e-5)
 
 
