@@ -93,12 +93,12 @@ def depth1_maps(spark, d):
 
 def pixel_bounds(spark, d):
     """The box of the pixels of a strip that wraps around the map's edge."""
-    obs = catalog.observations(spark, d).where("obs_key % 50 = 0 and (baz >= 290 or baz < 45)")
+    obs = catalog.observations(spark, d).where("baz >= 290 or baz < 45")
     return calibration.pixel_bounds(obs.select(((F.col("bel") - 30) / 5).cast("int").alias("y"), (F.col("baz") / 5).cast("int").alias("x")).distinct(), 72)
 
 
 def box_tiles(spark, d):
-    obs = catalog.observations(spark, d).where("obs_key % 5 = 0")
+    obs = catalog.observations(spark, d)
     y0, x0 = ((F.col("bel") - 35)).cast("int"), F.col("baz").cast("int")
     boxes = obs.select("flavor", y0.alias("y0"), (y0 + 6).alias("y1"), x0.alias("x0"), (x0 + 20).alias("x1"))
     return calibration.box_tiles(boxes, 16, 24, 352)

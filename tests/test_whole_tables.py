@@ -1,5 +1,7 @@
 """Queries read whole tables: fixtures whose rows lie where prefixes and modulo filters would not look."""
 
+import collections
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -45,3 +47,36 @@ def test_covariance_of_all_samples(spark, events):
     want = {(a, b): (N, value[a] @ value[b]) for a in value for b in value if a <= b and a % 25 == b % 25}
     assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
     assert {k: c for k, (_, c) in got.items()} == pytest.approx({k: c for k, (_, c) in want.items()}, abs=0.006)
+
+
+@pytest.fixture(scope="module")
+def orders(tmp_path_factory):
+    """Observations whose keys no modulo filter keeps: (folder, rows of azimuth, elevation, samples)."""
+    d = tmp_path_factory.mktemp("orders")
+    rows = [(1, 300), (3, 355), (7, 20), (9, 120), (11, 44)]
+    df = pd.DataFrame([(k, c, "O", 1.0, pd.Timestamp("2024-01-02"), "1-URGENT") for k, c in rows], columns=["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
+    df.to_parquet(f"{d}/orders.parquet", coerce_timestamps="us")
+    return str(d), [(c % 360, 30 + c % 6 * 5, 1000 + k % 11 * 100) for k, c in rows]
+
+
+def test_hits_of_all_observations(spark, orders):
+    d, rows = orders
+    want = collections.Counter()
+    for az, el, n in rows:
+        for y in range((el - 30) // 5, (el - 30) // 5 + 2):
+            for x in range(az // 10, az // 10 + 5):
+                want["lf", y, x % 36] += n
+    assert {(r["flavor"], r["y"], r["x"]): r["hits"] for r in registry.QUERIES["hitmap_wrap"](spark, d).collect()} == want
+
+
+def test_tiles_of_all_observations(spark, orders):
+    d, rows = orders
+    want = {("lf", y // 16, x // 16 % 22) for az, el, _ in rows for y in range(max(0, el - 35), min(24, el - 29)) for x in range(az, az + 20)}
+    assert {(r["flavor"], r["ty"], r["tx"]) for r in registry.QUERIES["box_tiles"](spark, d).collect()} == want
+
+
+def test_bounds_of_all_observations(spark, orders):
+    d, rows = orders
+    y = [(el - 30) // 5 for az, el, _ in rows if az >= 290 or az < 45]
+    (got,) = registry.QUERIES["pixel_bounds"](spark, d).collect()
+    assert (got["y0"], got["y1"], got["x0"], got["width"]) == (min(y), max(y) + 1, 60, 72 - 60 + 9)
