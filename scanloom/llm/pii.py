@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation of personal data, with native columns only.
 
 Patterns find the protected entities: addresses, numbers, cards and phones. A term reveals an entity as far as their
-pointwise mutual information reaches the entity's own information content: PMI(t; e) = IC(e) + log2 p(e | t). The terms
-around every entity are counted over distinct contexts, terms as such over the whole corpus; a term whose PMI is at
-least `disclosure` times IC(e) is a span too, wherever it stands near that entity, and is generalised like the entity.
+pointwise mutual information reaches the entity's own information content: PMI(t; e) = IC(e) + log2 p(e | t). Both are
+counted in the same contexts, the lines of all texts; a term whose PMI is at least `disclosure` times IC(e) is a span
+too, wherever it stands in any text, and is generalised like the entity.
 """
 
 from __future__ import annotations
@@ -26,6 +26,14 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}(?![\p{L}\p{N}@_%+-]|\.\p{L})"
 
 
+#: Slots of the filter of disclosing terms.
+_SLOTS = 1 << 16
+
+
+def _slot(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(_SLOTS)).cast("int")
+
+
 def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
@@ -64,68 +72,51 @@ def find_pii(
     docs: DataFrame,
     disclosure: float = 0.9,
     contexts: int = 3,
-    window: int = 160,
     text_col: str = "text",
     id_col: str = "doc_id",
 ) -> DataFrame:
     """(doc id, spans array<struct<start,kind,end,value>>, k1, k2): entities (kinds 0 to 3) and disclosing terms (kind 4).
 
-    A context is the part of an entity's line within `window` characters on each side; equal contexts count once, so
-    copies of a document prove nothing. Terms need `contexts` distinct contexts with the entity. Null texts are empty
+    A context is a line with an entity; equal contexts count once, so copies of a document prove nothing. Terms need
+    `contexts` distinct contexts with the entity, and are marked at all their places in all texts. Null texts are empty
     and hold nothing. Repeated and null ids stay rows of their own; other columns are ignored; no rows give no rows.
     (k1, k2) is a 128-bit key of the text.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     src = src.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("second"), "text")})
-    src = src.withColumn("base", base_spans(F.col("text")))
-    near = src.where(F.size("base") > 0).select("k1", "k2", "text", F.explode("base").alias("s"))
-    left = F.substring_index(F.substring("text", F.lit(1), F.col("s.start")), "\n", -1)
-    right = F.substring_index(F.substring("text", F.col("s.end") + 1, F.length("text")), "\n", 1)
-    near = near.select("k1", "k2", "s", left.alias("left"), right.alias("right"))
-    cut_left = F.regexp_replace(F.substring("left", F.lit(-window), F.lit(window)), "^[^ ]*", "")
-    cut_right = F.regexp_replace(F.substring("right", F.lit(1), F.lit(window)), "[^ ]*$", "")
-    near = near.select(
-        "k1",
-        "k2",
-        F.col("s.kind").alias("kind"),
-        F.lower("s.value").alias("value"),
-        F.col("s.start").alias("start"),
-        F.col("s.end").alias("end"),
-        F.when(F.length("left") <= window, F.col("left")).otherwise(cut_left).alias("left"),
-        F.when(F.length("right") <= window, F.col("right")).otherwise(cut_right).alias("right"),
-    )
-    near = written(near.withColumn("context", F.xxhash64("left", "right")).dropDuplicates(["k1", "k2", "kind", "start"]), "pii-contexts")
-    entities = (
-        near.groupBy("kind", "value")
-        .agg(F.countDistinct("context").alias("n_e"), F.count("*").alias("times"))
-        .where(F.col("n_e") >= contexts)
-    )
-    often = near.join(entities, ["kind", "value"])
-    moved = lambda col, off: F.transform(
-        spans_of(F.col(col), _TERM, 4),
-        lambda x: F.struct((x["start"] + off).alias("start"), (x["end"] + off).alias("end"), F.lower(x["value"]).alias("term")),
-    )
-    around = F.concat(moved("left", F.col("start") - F.length("left")), moved("right", F.col("end")))
-    terms = often.select("k1", "k2", "kind", "value", "n_e", "context", F.explode(around).alias("t"))
-    terms = written(terms.select("k1", "k2", "kind", "value", "n_e", "context", "t.*"), "pii-terms")
-    pairs = terms.groupBy("kind", "value", "term").agg(F.countDistinct("context").alias("n_te"), F.first("n_e").alias("n_e"))
-    pairs = pairs.where(F.col("n_te") >= contexts)
-    words = F.regexp_extract_all("text", F.lit(_TERM), F.lit(0))
-    corpus = written(
-        src.select(F.explode(words).alias("term")).groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("n_t")), "pii-corpus"
-    )
-    total = corpus.agg(F.sum("n_t")).first()[0] or 1
+    lines = src.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    words = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_TERM), F.lit(0)), F.lower))
+    # no entity reaches over a line feed, so those of a line are those of the text there
+    near = lines.select("line", base_spans(F.col("line")).alias("base")).where(F.size("base") > 0)
+    near = near.select(F.xxhash64("line").alias("c1"), F.xxhash64(F.lit("second"), "line").alias("c2"), "base", words.alias("words"))
+    near = written(near.dropDuplicates(["c1", "c2"]), "pii-contexts")
+    seen = near.select("c1", "c2", F.explode("base").alias("s")).select("c1", "c2", F.col("s.kind").alias("kind"), F.lower("s.value").alias("value")).distinct()
+    entities = seen.groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= contexts)
+    often = seen.join(entities, ["kind", "value"])
+    pairs = often.join(near.select("c1", "c2", "words"), ["c1", "c2"]).select("kind", "value", "n_e", F.explode("words").alias("term"))
+    pairs = pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= contexts)
+    every = F.concat(F.array(F.lit("")), words)  # the empty term stands in every line
+    corpus = written(lines.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "pii-corpus")
+    total = (corpus.where("term = ''").first() or (None, 1))[1]
     p_e = F.least(F.lit(1.0), F.col("n_e") / F.lit(float(total)))
     p_e_t = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
     content = -F.log2(p_e)
     strong = pairs.join(corpus, "term").where(content + F.log2(p_e_t) >= disclosure * content)
-    spans = terms.join(strong.select("kind", "value", "term"), ["kind", "value", "term"], "left_semi")
+    strong = written(strong.select("term").distinct(), "pii-strong")
+    # a byte for each of a fixed number of hashes thins the places out ahead of the exact join
+    held = bytearray(_SLOTS)
+    for r in strong.select(_slot(F.col("term")).alias("slot")).distinct().collect():  # at most _SLOTS
+        held[r["slot"]] = 1
+    may = lambda hit: F.substring(F.lit(held), _slot(F.lower(hit)) + 1, F.lit(1)) == F.lit(b"\x01")
+    places = src.select("k1", "k2", F.explode(spans_of(F.col("text"), _TERM, 4, may)).alias("s"))
+    places = places.select("k1", "k2", "s.start", "s.end", F.lower("s.value").alias("term")).distinct()
+    spans = places.join(strong, "term", "left_semi")
     spans = (
         spans.select("k1", "k2", F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value")).alias("s"))
-        .distinct()
         .groupBy("k1", "k2")
         .agg(F.collect_list("s").cast(NO_SPANS).alias("more"))  # of one text
     )
+    src = src.withColumn("base", base_spans(F.col("text")))
     overlaps = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     out = src.select("id", "k1", "k2", "base").join(spans, ["k1", "k2"], "left")
     more = F.coalesce(F.filter("more", lambda x: ~overlaps(x)), no_spans())
