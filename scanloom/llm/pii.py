@@ -2,8 +2,8 @@
 
 Patterns find the protected entities: addresses, numbers, cards and phones. A term reveals an entity as far as their
 pointwise mutual information reaches the entity's own information content: PMI(t; e) = IC(e) + log2 p(e | t). Both are
-counted in the same contexts, the lines of all texts; a term whose PMI is at least `disclosure` times IC(e) is a span
-too, wherever it stands in any text, and is generalised like the entity.
+counted in the same contexts, the distinct lines of all texts; a term whose PMI is at least `disclosure` times IC(e) is
+a span too, wherever it stands in any text, and is generalised like the entity.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def find_pii(
     pairs = often.join(near.select("c1", "c2", "words"), ["c1", "c2"]).select("kind", "value", "n_e", F.explode("words").alias("term"))
     pairs = pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= contexts)
     every = F.concat(F.array(F.lit("")), words)  # the empty term stands in every line
-    corpus = written(lines.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "pii-corpus")
+    corpus = written(lines.distinct().select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "pii-corpus")
     total = (corpus.where("term = ''").first() or (None, 1))[1]
     p_e = F.least(F.lit(1.0), F.col("n_e") / F.lit(float(total)))
     p_e_t = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))

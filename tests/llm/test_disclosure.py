@@ -26,3 +26,13 @@ def test_terms_count_and_are_marked_beyond_a_window(docs_of):
         assert spans[i] == [(at, term) for at in range(len(low)) if low.startswith(term, at)]
         assert clean[i].count("[TERM]") == low.count(term) and term not in clean[i].lower()
     assert sum(map(len, spans.values())) == 8
+
+
+def test_copies_count_once_for_terms_too(docs_of):
+    rows = [(k, filler(k, 30)) for k in range(60)]
+    rows += [(100 + k, f"jane@mail.example {filler(k, 20)} Zorblat") for k in range(5)]
+    rows += [(200 + k, rows[-1][1]) for k in range(90)]
+    spans, clean = marked(docs_of, rows)
+    for i, _ in rows:
+        assert [v for _, v in spans[i]] == ["zorblat"] * (i >= 100)
+        assert ("[TERM]" in clean[i]) == (i >= 100)
