@@ -133,7 +133,13 @@ def _links(lines: list[str], index: list[int], probe: list[int], edits: int) ->
     return out
 
 
-def line_classes(docs: DataFrame, edits: int, least_chars: int, block: int, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+def _takes_part(line: str, least_chars: int, short_lines: bool) -> bool:
+    return len(line) >= least_chars or (short_lines and line != "" and not line.isspace())
+
+
+def line_classes(
+    docs: DataFrame, edits: int, least_chars: int, block: int, text_col: str, id_col: str, short_lines: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Occurrences (id, line_no, line) of the lines that take part, and (line, label) of lines linked with another."""
     spark = docs.sparkSession
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
@@ -143,7 +149,7 @@ def line_classes(docs: DataFrame, edits: int, least_chars: int, block: int, text
             ids, nos, keys = [], [], []
             for i, t in zip(b.column("id").to_pylist(), texts_of(b)):
                 for k, line in enumerate(t.split("\n")):
-                    if len(line) >= least_chars:
+                    if _takes_part(line, least_chars, short_lines):
                         ids.append(i)
                         nos.append(k)
                         keys.append(_line_id(line))
@@ -265,17 +271,24 @@ def line_classes(docs: DataFrame, edits: int, least_chars: int, block: int, text
 
 
 def dedup_lines(
-    docs: DataFrame, edits: int = 2, least_chars: int = 24, block: int = 1000, text_col: str = "text", id_col: str = "doc_id"
+    docs: DataFrame,
+    edits: int = 2,
+    least_chars: int = 24,
+    block: int = 1000,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    short_lines: bool = False,
 ) -> DataFrame:
     """docs with repeated lines taken out of the texts, and removed_lines array<int> (numbers from 0, in order).
 
-    Lines are what stands between line feeds; those of fewer than least_chars characters always stay. Of each class of
-    equal or near lines the one of the smallest document id, then line number, stays. Null texts stay null, texts whose
-    lines all go are empty. A null id is below all others; rows of one id are one document for the order, and equal
+    Lines are what stands between line feeds; those of fewer than least_chars characters always stay, or with short_lines,
+    if they are not blank, take part with no edits: equal ones are one class. Of each class of equal or near lines the
+    one of the smallest document id, then line number, stays. Null texts stay null, texts whose lines all go are empty.
+    A null id is below all others; rows of one id are one document for the order, and equal
     lines at one place of them all stay. Other columns are kept, but a column named removed_lines is replaced; no rows
     give no rows.
     """
-    occurrences, classes = line_classes(docs, edits, least_chars, block, text_col, id_col)
+    occurrences, classes = line_classes(docs, edits, least_chars, block, text_col, id_col, short_lines)
     occurrences = written(occurrences, "lines")
     labelled = occurrences.join(classes, "line", "left").withColumn("label", F.coalesce("label", "line"))
     place = F.struct("id", "line_no")
@@ -297,7 +310,7 @@ def dedup_lines(
                     removed.append([])
                     continue
                 lines = t.split("\n")
-                out = [k for k, x in enumerate(lines) if len(x) >= least_chars and (k, _line_id(x)) in drop]
+                out = [k for k, x in enumerate(lines) if _takes_part(x, least_chars, short_lines) and (k, _line_id(x)) in drop]
                 away = set(out)
                 texts.append("\n".join(x for k, x in enumerate(lines) if k not in away))
                 removed.append(out)

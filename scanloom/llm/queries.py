@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: numbers of lines and of removed lines, the removed lines, and the digest of the text that is left."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, short_lines=True)
     return out.select(
         "doc_id",
         F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
