@@ -1,10 +1,14 @@
-"""Dense noise models of one observation: spectra, eigenmodes and the low-rank inverse, in grouped Arrow functions.
+"""Dense noise models: spectra, eigenmodes and the low-rank inverse.
 
-A group is one observation's [detector, sample] matrix, whose size the time splits bound.
+The functions of arrays take one observation's [detector, sample] matrix. Those of DataFrames take rows (grp, det, value
+array) of any number in a group: modes come from the dual matrix, samples x samples, which is summed over the rows with
+partial sums and holds as much whatever the number of detectors; each row is then projected where it lies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -95,30 +99,105 @@ def filtered(matrix: DataFrame, knee: float) -> DataFrame:
     return matrix.withColumn("value", run("value"))
 
 
-def group_modes(matrix: DataFrame) -> DataFrame:
-    """(grp, det, weight, share): each group's strongest common mode, from rows (grp, det, value array)."""
+def _grams(matrix: DataFrame, parts: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """(grp, part, n, gram array): x' x summed over a group's rows, for each of the arrays x that parts() makes of rows."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("det")
-        tod = np.array([np.asarray(v, float) for v in pdf["value"]])
-        mode, share = principal(tod - tod.mean(1, keepdims=True))
-        return pd.DataFrame({"grp": pdf["grp"], "det": pdf["det"], "weight": mode, "share": share})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for grp, rows in pdf.groupby("grp"):
+                for k, x in enumerate(parts(np.stack(rows["value"].to_numpy()).astype(float))):
+                    out.append((grp, k, len(x), (x.T @ x).ravel()))
+            yield pd.DataFrame(out, columns=["grp", "part", "n", "gram"])
 
-    return matrix.groupBy("grp").applyInPandas(run, "grp int, det long, weight double, share double")
+    some = matrix.select("grp", "value").mapInPandas(run, "grp int, part int, n long, gram array<double>")
+    cells = some.select("grp", "part", "n", F.posexplode("gram").alias("at", "x"))
+    cells = cells.groupBy("grp", "part", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    gram = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda c: c["x"])  # a cell for each two samples
+    return cells.groupBy("grp", "part").agg(F.max("n").alias("n"), gram.alias("gram"))
 
 
-def noise_weights(matrix: DataFrame, bins: list[float]) -> DataFrame:
-    """(grp, det, ivar, nmode): the white level of each detector under its group's low-rank model."""
+def _dual_modes(gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues from the largest, as many as the detectors' matrix of n rows can have, and their vectors as rows."""
+    size = int(round(len(gram) ** 0.5))
+    e, v = np.linalg.eigh(np.asarray(gram).reshape(size, size))
+    most = min(n, size)
+    return np.maximum(e[::-1][:most], 0.0), v.T[::-1][:most]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("det")
-        tod = np.array([np.asarray(v, float) for v in pdf["value"]])
-        ft = np.fft.rfft(tod - tod.mean(1, keepdims=True), axis=1)[:, 1:]
-        model = low_rank_model(ft, freq_bins(bins, 1.0, ft.shape[1], 4))
-        ivar = np.mean([m["inverse_d"] for m in model], 0) * tod.shape[1]
-        return pd.DataFrame({"grp": pdf["grp"], "det": pdf["det"], "ivar": ivar, "nmode": sum(m["v"].shape[1] for m in model)})
 
-    return matrix.groupBy("grp").applyInPandas(run, "grp int, det long, ivar double, nmode int")
+def group_modes(matrix: DataFrame) -> DataFrame:
+    """(grp, det, weight, share): each group's strongest common mode (unit length, largest element positive), from rows
+    (grp, det, value array), all arrays of one length; weights are 0 where the rows do not vary."""
+    centred = lambda tod: [tod - tod.mean(1, keepdims=True)]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for grp, gram, n in zip(pdf["grp"], pdf["gram"], pdf["n"]):
+                e, v = _dual_modes(gram, n)
+                scale = e[0] ** 0.5
+                out.append((grp, v[0] / scale if scale else v[0] * 0, float(e[0] / max(e.sum(), 1e-300))))
+            yield pd.DataFrame(out, columns=["grp", "mode", "share"])
+
+    modes = _grams(matrix, centred).select("grp", "n", "gram").mapInPandas(solve, "grp int, mode array<double>, share double")
+    mean = F.aggregate("value", F.lit(0.0), lambda a, x: a + x) / F.size("value")
+    rows = matrix.select("grp", "det", F.transform("value", lambda x: x - mean).alias("value")).join(modes, "grp")
+    dot = F.aggregate(F.zip_with("value", "mode", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    rows = rows.select("grp", "det", dot.alias("weight"), "share")
+    turn = rows.groupBy("grp").agg(F.max_by(F.signum("weight"), F.struct(F.abs("weight"), -F.col("det"))).alias("turn"))
+    return rows.join(turn, "grp").select("grp", "det", (F.col("weight") * F.col("turn")).alias("weight"), "share")
+
+
+def noise_weights(matrix: DataFrame, bins: list[float], limit: float = 16.0, single: float = 0.55, share: float = 0.1) -> DataFrame:
+    """(grp, det, ivar, nmode): the white level of each detector under its group's low-rank model.
+
+    In each frequency bin modes of at least `limit` times the median eigenvalue (of those that the number of detectors
+    and of frequencies allow), which no detector holds `single` of, at most `share` of the detectors and one at least,
+    are taken out; what is left of a row, at least a thousandth of the rows' median, is its variance.
+    """
+
+    def parts(tod: np.ndarray) -> list[np.ndarray]:
+        ft = np.fft.rfft(tod - tod.mean(1, keepdims=True), axis=1)[:, 1:]
+        cut = [ft[:, a:b] for a, b in freq_bins(bins, 1.0, ft.shape[1], 4)]
+        return [np.concatenate((x.real, x.imag), axis=1) for x in cut]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for grp, part, n, gram in zip(pdf["grp"], pdf["part"], pdf["n"], pdf["gram"]):
+                e, v = _dual_modes(gram, n)
+                strong = (e > 0) & (e >= limit * np.median(e))
+                out.append((grp, part, n, e[strong].tolist(), v[strong].ravel()))
+            yield pd.DataFrame(out, columns=["grp", "part", "n", "e", "modes"])
+
+    kind = "grp int, part int, n long, e array<double>, modes array<double>"
+    found = _grams(matrix, parts).mapInPandas(solve, kind)
+    by_group = found.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("part", "n", "e", "modes"))).alias("found"))  # a row for each bin
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Squares of each row in each bin, all and along the strong modes."""
+        for pdf in batches:
+            out = []
+            for grp, det, value, modes in zip(pdf["grp"], pdf["det"], pdf["value"], pdf["found"]):
+                for x, m in zip(parts(np.asarray(value, float)[None]), modes):
+                    along = np.asarray(m["modes"]).reshape(len(m["e"]), -1) @ x[0] if len(m["e"]) else np.empty(0)
+                    out.append((grp, det, m["part"], x.shape[1] // 2, float(x[0] @ x[0]), along**2, along**2 / np.asarray(m["e"])))
+            yield pd.DataFrame(out, columns=["grp", "det", "part", "width", "power", "along", "own"])
+
+    kind = "grp int, det long, part int, width int, power double, along array<double>, own array<double>"
+    rows = matrix.select("grp", "det", "value").join(by_group, "grp").mapInPandas(project, kind)
+    peak = rows.select("grp", "part", F.posexplode("own").alias("k", "own")).groupBy("grp", "part", "k").agg(F.max("own").alias("peak"))
+    good = peak.where(F.col("peak") < single**2).groupBy("grp", "part").agg(F.array_sort(F.collect_list("k")).alias("good"))
+    most = F.greatest(F.lit(1), F.floor(F.col("n") * share).cast("int"))
+    picked = found.join(good, ["grp", "part"], "left").select("grp", "part", F.coalesce(F.slice("good", F.lit(1), most), F.array().cast("array<int>")).alias("picked"))
+    picked = picked.withColumn("modes", F.size("picked"))
+    taken = F.aggregate("picked", F.lit(0.0), lambda a, k: a + F.get("along", k))
+    left = rows.join(picked, ["grp", "part"]).withColumn("rest", (F.col("power") - taken) / F.col("width"))
+    floor = left.groupBy("grp", "part").agg((F.percentile_approx("rest", 0.5) * 1e-3 + 1e-30).alias("floor"))
+    level = left.join(floor, ["grp", "part"]).withColumn("inverse", 1 / F.greatest("rest", "floor"))
+    size = matrix.groupBy("grp").agg(F.max(F.size("value")).alias("size"))
+    out = level.groupBy("grp", "det").agg(F.avg("inverse").alias("mean"), F.sum("modes").cast("int").alias("nmode")).join(size, "grp")
+    return out.select("grp", "det", (F.col("mean") * F.col("size")).alias("ivar"), "nmode")
 
 
 def covariance(samples: DataFrame, det: str, samp: str, value: str, by: list[str]) -> DataFrame:

@@ -119,7 +119,7 @@ ORACLE_SQL = {
     "el_response": q(SAMP, BLOCK_FIT, select="select det, block, round(slope + 1.23e-9, 6) as slope, round(v - slope * m + 1.23e-9, 6) as offset from bl"),
     "el_gains": q(SAMP, BLOCK_FIT, "o as (select det, det % 3 as band, median(slope) as response from bl where slope is not null group by det having abs(median(slope)) > 0.5), m as (select band, median(response) as mid from o group by band)",
         select="select det, band, round(response + 1.23e-9, 6) as response, round(mid / response + 1.23e-9, 6) as gain from o join m using (band)"),
-    "common_mode_gains": q(SAMP, """g as (select samp, median(value) as m from samp where samp < 40 group by samp, det // 8), c as (select samp, median(m) as m from g group by samp),
+    "common_mode_gains": q(SAMP, """g as (select samp, median(value) as m from samp group by samp, det // 8), c as (select samp, median(m) as m from g group by samp),
         o as (select det, det % 3 as band, sum(value * m) / sum(m * m) as response from samp join c using (samp) group by det), k as (select band, median(response) as mid from o where abs(response) > 0 group by band)""",
         select="select det, band, round(response + 1.23e-9, 6) as response, round(mid / response + 1.23e-9, 6) as gain from o join k using (band) where abs(response) > 0"),
     "object_cut": q(SAMP, """tr as (select n, k, case n when 'a' then k * 0.2 else 6.0 - k * 0.15 end::double as lon, case n when 'a' then k * 0.04 - 0.6 else 0.5 - k * 0.03 end::double as lat from (select cast(range as double) as k from range(32)) cross join (values ('a'), ('b')) as o(n)),
@@ -137,10 +137,10 @@ ORACLE_SQL = {
         min(ctime + dur * 40) > max(ctime) and max(dur * 40) - min(dur * 40) <= 36000 as ok from obs group by 1"""),
     "depth1_maps": q(OBS, PERIODS.format(ttol=7200, atol=400), select="""select p.bel, session, cast(floor(baz / 60) as integer) as px, count(*) as n, cast(sum(nsamp) as bigint) as hits from obs o
         join periods p on p.bel = o.bel and ctime + dur / 2 >= t0 and ctime + dur / 2 < t1 group by 1, 2, 3"""),
-    "pixel_bounds": q(OBS, "h as (select distinct cast((bel - 30) / 5 as integer) as y, cast(floor(baz / 5) as integer) as x from obs where obs_key % 50 = 0 and (baz >= 290 or baz < 45))",
+    "pixel_bounds": q(OBS, "h as (select distinct cast((bel - 30) / 5 as integer) as y, cast(floor(baz / 5) as integer) as x from obs where baz >= 290 or baz < 45)",
         "c as (select distinct x from h), g as (select x, coalesce(lead(x) over (order by x), (select min(x) from c) + 72) - x as gap, coalesce(lead(x) over (order by x), (select min(x) from c)) as after from c)",
         select="select (select min(y) from h) as y0, (select max(y) + 1 from h) as y1, after as x0, 72 - gap + 1 as width from g order by gap desc, x desc limit 1"),
-    "box_tiles": q(OBS, "b as (select flavor, cast(bel - 35 as integer) as y0, cast(baz as integer) as x0 from obs where obs_key % 5 = 0)",
+    "box_tiles": q(OBS, "b as (select flavor, cast(bel - 35 as integer) as y0, cast(baz as integer) as x0 from obs)",
         "t as (select flavor, unnest(range(cast(greatest(y0, 0) // 16 as bigint), cast((least(y0 + 6, 24) - 1) // 16 + 1 as bigint))) as ty, x0 from b where y0 + 6 > 0 and y0 < 24)",
         select="select distinct flavor, ty, tx % 22 as tx from (select flavor, ty, unnest(range(cast(x0 // 16 as bigint), cast((x0 + 19) // 16 + 1 as bigint))) as tx from t)"),
 }

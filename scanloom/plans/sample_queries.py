@@ -403,7 +403,7 @@ ORACLE_SQL = {
     "find_scanning": q(SAMP, """b as (select det, samp // 4 as block, avg(value) as v from samp group by 1, 2 having count(*) = 4),
         s as (select det, block, abs(lead(v) over w - lag(v) over w) / 2 as speed from b window w as (partition by det order by block)),
         m as (select *, avg(speed) over (partition by det) as mean from s)""", select="select det, min(block) as first, max(block) as last from m where speed > 0.5 * mean group by det"),
-    "common_mode": q(SAMP, "g as (select samp, median(value) as m from samp where samp < 40 group by samp, det // 8)", select="select samp, round(median(m), 6) as value from g group by samp"),
+    "common_mode": q(SAMP, "g as (select samp, median(value) as m from samp group by samp, det // 8)", select="select samp, round(median(m), 6) as value from g group by samp"),
     "pair_rotate": q(SAMP, select="""select a.det // 2 as pair, a.samp, round((a.value + b.value) / sqrt(2), 6) as plus, round((a.value - b.value) / sqrt(2), 6) as minus
         from samp a join samp b on a.det % 2 = 0 and b.det = a.det + 1 and a.samp = b.samp"""),
     "detwise_adjoint": q(SAMP, select="select det, round(sum(value * (samp / 100)), 4) as a, round(sum(value), 4) as b from samp group by det"),
@@ -430,10 +430,10 @@ ORACLE_SQL = {
     "distribute_plain": q(OBS, select="select obs_key, cast((row_number() over (order by baz, obs_key) - 1) * 7 // count(*) over () as integer) as owner from obs"),
     "distribute_ra": q(OBS, "c as (select obs_key, coalesce(sum(nsamp) over (order by baz, obs_key rows between unbounded preceding and 1 preceding), 0) as b, sum(nsamp) over () as a from obs)",
         select="select obs_key, cast(least(b * 5 // a, 4) as integer) as owner from c"),
-    "hitmap_wrap": q(OBS, "o as (select flavor, nsamp, cast((bel - 30) / 5 as integer) as y0, cast(floor(baz / 10) as integer) as x0 from obs where obs_key % 4 = 0)",
+    "hitmap_wrap": q(OBS, "o as (select flavor, nsamp, cast((bel - 30) / 5 as integer) as y0, cast(floor(baz / 10) as integer) as x0 from obs)",
         select="select flavor, y0 + dy as y, (x0 + dx) % 36 as x, cast(sum(nsamp) as bigint) as hits from o cross join (select cast(range as integer) as dy from range(2)) cross join (select cast(range as integer) as dx from range(5)) group by all"),
     "overpole_rewind": q(OBS, "o as (select obs_id, case when bel * 3 > 90 then baz + 180 else baz end as a, case when bel * 3 > 90 then 180 - bel * 3 else bel * 3 end as el from obs)",
         select="select obs_id, (a + 180) % 360 - 180 as az, el from o"),
-    "measure_cov": q(SAMP, "s as (select *, det % 25 as grp from samp where samp < 60)",
+    "measure_cov": q(SAMP, "s as (select *, det % 25 as grp from samp)",
         select="select a.grp, a.det as d1, b.det as d2, round(sum(a.value * b.value) + 1.23e-5, 2) as cov, count(*) as n from s a join s b on a.grp = b.grp and a.samp = b.samp and b.det >= a.det group by all"),
 }
