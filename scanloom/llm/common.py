@@ -7,12 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.sources.shared import new_path, shared_dir, written
 
-__all__ = ["ASCII_LOWER", "bloom_bits", "bloom_has", "components", "counter_rows", "merged_counters", "mix64", "new_path", "shared_dir", "slices", "spread", "texts_of", "written"]
+__all__ = ["ASCII_LOWER", "bloom_bits", "HEAVY", "bloom_has", "components", "counter_rows", "heavy_join", "merged_counters", "mix64", "new_path", "shared_dir", "slices", "spread", "texts_of", "written"]
+
+#: A key that holds a larger share of all rows than one in HEAVY is not dealt out by its value: at most HEAVY keys do.
+HEAVY = 1000
 
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -88,24 +91,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label) for every node of `edges` (a bigint, b bigint): label is the smallest node reachable.
+def heavy_join(rows: DataFrame, table: DataFrame, key: str, heavy: Column) -> DataFrame:
+    """rows left-joined with table, which is unique by key. `heavy` marks the at most HEAVY rows of table whose keys
+    stand in more than one in HEAVY of all rows: these are broadcast, so no task gets all rows of such a key."""
+    few = F.broadcast(table.where(heavy))
+    rest = rows.join(F.broadcast(table.where(heavy).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(table.where(~heavy), key, "left"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for every node of `edges` (a, b of one sortable type): label is the smallest node reachable.
 
-    Min-label propagation with pointer jumping; each round is written to the shared folder. The rounds needed
-    grow with the logarithm of the longest path. Self-loops keep a node; empty edges give an empty result.
+    Min-label propagation with pointer jumping; each round is written to the shared folder, and they go on until no
+    label changes. The rounds needed grow with the logarithm of the longest path. Self-loops keep a node; empty edges
+    give an empty result. Joins by a hub or by a common label are followed by no other use of that key, so adaptive
+    execution splits them.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, "cc-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "cc")
-    for _ in range(rounds):
+    changed = not labels.isEmpty()
+    while changed:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label")
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         new = written(step.join(jump, "next").select("node", F.least("next", "far").alias("label"), F.col("label").alias("old")), "cc")
         labels = new.select("node", "label")
-        if new.where("label <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        changed = not new.where("label <> old").isEmpty()
+    return labels
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

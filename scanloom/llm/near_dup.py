@@ -1,45 +1,77 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents become sets of word shingles. Documents that share their smallest shingle hash form a group, which
-brings most similar documents together; each group's token union is a row of the token-group matrix, held as
-(token, group) rows of the members' rarest tokens. A document queries the groups other than its own: a group is a
-candidate if the two share one of those rarest tokens (two sets of Jaccard similarity t always do), it is opened
-only if the overlap of the document with the group's token union allows t, and only opened groups compare sets.
-Nothing is approximate: token frequencies, which come from a fixed-size sketch over all documents, decide only
-the order in which tokens are tried, and every order gives the same links.
-
-Groups larger than a block are dealt out as pairs of blocks, so no task holds an unbounded group; the tasks return
-spanning links instead of all pairs, and connected components run as joins.
+Documents become sets of word shingles, and sets that share their smallest shingle hash a group; a group that is larger
+than a block is split by the sets' keys, as groups only need to bring similar sets together, and pairs of different
+groups are found through the matrix.
+
+The token-group matrix holds each group's token union, as rows (token, group), over every set's rarest tokens: as many
+that two sets of Jaccard similarity t, whatever else they hold, share `least_shared` of them. The number of a query's
+tokens that stand in a group's row bounds its overlap with every member: below that number no member can be similar, so
+only groups that reach it are opened, and only opened groups compare sets. Nothing is approximate: token frequencies,
+which come from a fixed-size sketch over all documents, decide only which tokens count as rare, and every order gives
+the same links.
+
+The work goes in three steps, each of which spares the next one. Groups are compared inside, which leaves a root for
+each class of similar members. Then the roots of such classes query the other groups' roots, so that the blocks of one
+large group of near copies meet through a set each and not through all of theirs. Last, all sets query the groups that
+do not belong whole to their own component. A task holds a block and a block of queries at most.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import bloom_bits, bloom_has, components, counter_rows, merged_counters, slices, texts_of, written
+from scanloom.llm.common import HEAVY, bloom_bits, bloom_has, components, counter_rows, heavy_join, merged_counters, slices, texts_of, written
 from scanloom.llm.shingles import Shingler
 
 SKETCH_LOG2, SKETCH_CHUNKS = 22, 64
 
 
-def _set_key(x: np.ndarray) -> int:
-    """Signed 64-bit key of a token set; equal sets have equal keys."""
-    return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(x: bytes) -> bytes:
+    """128-bit key of a token set or a text: equal ones have equal keys."""
+    return xxhash.xxh3_128_digest(x)
+
+
+def _short(key: bytes) -> int:
+    """The first half of a key, which stands for it where candidates are looked for; whoever shares it is compared."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+class _Members:
+    """Sets of a group under one index of their tokens."""
 
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.num, self.den = num, den
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
 
-def _spanning(sets: list[np.ndarray], n_own: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Links (i, j) that span all similar pairs of sets[:n_own] and those of sets[n_own:] with sets[:n_own].
+    def similar(self, x: np.ndarray) -> np.ndarray:
+        """Members whose similarity with the set x reaches the threshold."""
+        lo, hi = np.searchsorted(self.flat, x, "left"), np.searchsorted(self.flat, x, "right")
+        n = hi - lo
+        if self.num * len(x) > self.den * np.count_nonzero(n):  # the union of all members bounds the overlap with each
+            return np.empty(0, np.int64)
+        at = np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero(self.den * both >= self.num * (len(x) + self.sizes - both))
+
+
+def _roots(sets: list[np.ndarray], num: int, den: int) -> list[int]:
+    """For each set the first one that similar pairs reach.
 
     Sets that the widest of a few pivots reaches need no further count; all others are counted against all.
     """
-    sizes = np.array([len(x) for x in sets], np.int64)
+    index = _Members(sets, num, den)
     root = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -48,216 +80,241 @@ def _spanning(sets: list[np.ndarray], n_own: int, num: int, den: int) -> list[tu
             i = root[i]
         return i
 
-    out: list[tuple[int, int]] = []
-
-    def join(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((i, j))
-
-    flat = np.concatenate(sets[:n_own])
-    owner = np.repeat(np.arange(n_own), sizes[:n_own])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-
-    def similar(i: int) -> np.ndarray:
-        """Members whose similarity with set i reaches the threshold."""
-        lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-        n = hi - lo
-        if num * sizes[i] > den * np.count_nonzero(n):  # the union of all members bounds the overlap with each
-            return np.empty(0, np.int64)
-        at = np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        both = np.bincount(owner[at], minlength=n_own)
-        return np.flatnonzero(den * both >= num * (sizes[i] + sizes[:n_own] - both))
-
     # every member but those of one home, which the first pivots find, is counted against all members: of two
     # linked members one at least is, or both belong to the home
-    home = 0
-    for i in range(n_own):
+    home, most = 0, (0, 0)
+    for i in range(len(sets)):
         if i >= 8 and find(i) == find(home):
             continue
-        near = similar(i).tolist()
+        near = index.similar(sets[i]).tolist()
         for j in near:
-            join(i, j)
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
         if i < 8:
-            most = max(most, (len(near), i)) if i else (len(near), i)
+            most = max(most, (len(near), i))
             home = most[1]
-    for i in range(n_own, len(sets)):
-        for j in similar(i).tolist():
-            join(i, j)
-    return out
+    return [find(i) for i in range(len(sets))]
 
 
 def near_duplicates(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, num: int = 75, den: int = 100, block: int = 1500
+    docs: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    words: int = 5,
+    num: int = 75,
+    den: int = 100,
+    block: int = 1500,
+    least_shared: int = 4,
 ) -> DataFrame:
     """(doc id, n_shingles, component_id): documents are linked when den * intersection >= num * union of their
     shingle sets; component_id is the smallest id that links reach.
 
     Nulls and empty texts: an empty set, linked with nothing, component_id is the own id. Repeated ids stay
     repeated rows. Null ids: a row with null id; its component_id is the smallest id of its component, null if
-    there is none. Other columns of docs are ignored; no rows give no rows.
+    there is none. Other columns of docs are ignored; no rows give no rows. Neither block nor least_shared changes a
+    result.
     """
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size, mask = 1 << SKETCH_LOG2, np.uint64((1 << SKETCH_LOG2) - 1)
+    names = ["id", "n", "key", "short", "low", "body_key", "chunk", "body"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Set keys of the documents, then this task's part of the token-frequency sketch."""
+        """Set and text keys of the documents, then this task's part of the token-frequency sketch."""
         make, total = Shingler(words), np.zeros(size, np.uint32)
         for b in slices(batches):
-            sets = make.sets(texts_of(b))
-            n = len(sets)
+            part = texts_of(b)
+            sets = make.sets(part)
             np.add.at(total, (np.concatenate(sets) & mask).astype(np.int64), np.uint32(1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("id"),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([_set_key(x) for x in sets], pa.int64()),
-                    pa.array([int(x[0].view(np.int64)) if len(x) else None for x in sets], pa.int64()),
-                    pa.nulls(n, pa.int32()),
-                    pa.nulls(n, pa.binary()),
-                ],
-                ["id", "n", "key", "grp", "chunk", "body"],
-            )
+            keys = [_digest(x.tobytes()) if len(x) else None for x in sets]
+            cols = [
+                b.column("id"),
+                [len(x) for x in sets],
+                keys,
+                [k and _short(k) for k in keys],
+                [int(x[0].view(np.int64)) if len(x) else None for x in sets],
+                [_digest(t.encode("utf-8", "surrogatepass")) for t in part],
+                *([None] * len(sets),) * 2,
+            ]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names)
         rows = counter_rows(total, SKETCH_CHUNKS)
-        k = rows.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64())] * 4 + [rows.column(0), rows.column(1)], ["id", "n", "key", "grp", "chunk", "body"]
-        )
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(rows.num_rows, k) for k in kinds[:6]), *rows.columns], names)
 
-    scanned = written(src.mapInArrow(scan, "id long, n long, key long, grp long, chunk int, body binary"), "jaccard-scan")
-    counts = merged_counters(scanned.where("chunk is not null").select("chunk", "body"), size, "sum")
-    seen = scanned.where("chunk is null").select("id", "n", "key", "grp")
-    spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(counts)  # 4 bytes for each of 2^22 counters, whatever the input
+    scanned = src.mapInArrow(scan, "id long, n long, key binary, short long, low long, body_key binary, chunk int, body binary")
+    scanned = written(scanned, "jaccard-scan")
+    sketch = spark.sparkContext.broadcast(  # 4 bytes for each of 2^22 counters, whatever the input
+        merged_counters(scanned.where("chunk is not null").select("chunk", "body"), size, "sum")
+    )
+    seen = scanned.where("chunk is null").select("id", "n", "key", "short", "low", "body_key")
+    n_docs = seen.count()
+
+    sets = seen.where("key is not null").groupBy("key")
+    sets = sets.agg(*(F.min(c).alias(c) for c in ("id", "short", "low", "n", "body_key")), F.count("*").alias("copies"))
+    sets = written(sets, "jaccard-distinct")
+    large = sets.groupBy("low").agg(F.ceil(F.count("*") / block).alias("parts")).where("parts > 1")
+    large = written(large, "jaccard-large")  # small, or else joined by a shuffle: that is left to its measured size
+
+    def grouped(df: DataFrame) -> DataFrame:
+        """df (short, low, ...) with the group of each row."""
+        part = F.xxhash64("low", F.pmod("short", "parts"))
+        return df.join(large, "low", "left").withColumn("grp", F.when(F.col("parts").isNull(), F.col("low")).otherwise(part)).drop("low", "parts")
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(token, key, group) of every set's rarest tokens: as many as any similar set must share one of."""
+        """(token, short, low, often) of every set's rarest tokens: least_shared more than two similar sets must share
+        one of. `often`: the token may be held by a share of all documents that no task should get alone."""
         make, freq, told = Shingler(words), sketch.value, set()
         for b in slices(batches):
-            token, key, grp = [], [], []
+            token, short, low, often = [], [], [], []
             for x in make.sets(texts_of(b)):
-                if not len(x) or (k := _set_key(x)) in told:
+                if not len(x) or (k := _short(_digest(x.tobytes()))) in told:
                     continue
                 if len(told) < 200_000:
                     told.add(k)
-                p = len(x) - (num * len(x) + den - 1) // den + 1
-                few = x[np.lexsort((x, freq[(x & mask).astype(np.int64)]))[:p]]
-                token.append(few)
-                key.append(np.full(len(few), k, np.int64))
-                grp.append(np.full(len(few), x[0].view(np.int64), np.int64))
+                both = (num * len(x) + den - 1) // den  # what a similar set shares at least
+                p = len(x) - both + min(least_shared, both)
+                held = freq[(x & mask).astype(np.int64)]
+                few = np.lexsort((x, held))[:p]
+                token.append(x[few])
+                short.append(np.full(len(few), k, np.int64))
+                low.append(np.full(len(few), x[0].view(np.int64), np.int64))
+                often.append(held[few].astype(np.int64) * HEAVY >= n_docs)
             if token:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(grp))],
-                    ["token", "key", "grp"],
-                )
+                cols = (np.concatenate(c) for c in (token, short, low, often))
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], ["token", "short", "low", "often"])
 
-    probes = src.select("text").mapInArrow(rarest, "token long, key long, grp long")
+    probes = grouped(src.select("text").mapInArrow(rarest, "token long, short long, low long, often boolean"))
     by_token = Window.partitionBy("token")
-    shared = written(
-        probes.withColumns({"lo": F.min("grp").over(by_token), "hi": F.max("grp").over(by_token)})
-        .where("lo <> hi")
-        .select("token", "key", "grp")
-        .distinct(),
-        "jaccard-tokens",
-    )
-    sets = written(
-        seen.where("grp is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("grp").alias("grp"), F.first("n").alias("n")),
-        "jaccard-sets",
-    )
-    groups = sets.groupBy("grp").agg(
-        F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most")
-    )
-    groups = written(groups, "jaccard-groups")
-    # a document queries the larger groups (of two as large, the one of the smaller key) that hold one of its tokens
-    matrix = shared.select("token", "grp").distinct().join(groups, "grp")
-    asking = shared.join(sets.select("key", "n"), "key").join(groups.select("grp", F.col("members").alias("own")), "grp")
-    asked = (
-        asking.withColumnRenamed("grp", "home")
-        .join(matrix, "token")
-        .where("home <> grp and (own < members or own = members and home > grp)")
-        .where(f"{den} * n >= {num} * least and {num} * n <= {den} * most")
-        .select("key", "grp", "members")
-        .distinct()
-    )
-    n_blocks = F.ceil(F.col("members") / block).cast("int")
-    own_block = F.pmod(F.col("key"), F.col("nb")).cast("int")
-    own = sets.join(groups.where("members > 1").select("grp", "members"), "grp").withColumn("nb", n_blocks)
-    own = own.withColumn("at", own_block)
-    opened = asked.select("grp").distinct()
-    single = sets.join(opened, "grp").join(groups.where("members = 1").select("grp"), "grp", "left_semi")
-    roles = (
-        own.select("key", "grp", F.col("at").alias("blk"), F.lit(0).alias("role"))
-        .union(single.select("key", "grp", F.lit(0), F.lit(0)))
-        # of two blocks of one group, the members of the later one query the earlier one
-        .union(own.where("at > 0").select("key", "grp", F.explode(F.sequence(F.lit(0), F.col("at") - 1)), F.lit(1)))
-        .union(
-            asked.withColumn("nb", n_blocks).select("key", "grp", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)), F.lit(1))
-        )
-    )
-    roles = written(roles.join(sets.select("key"), "key"), "jaccard-roles")
-    wanted = spark.sparkContext.broadcast(bloom_bits(roles.select("key"), "key"))
+    seldom = probes.where("not often").withColumns({"lo": F.min("grp").over(by_token), "hi": F.max("grp").over(by_token)}).where("lo <> hi")
+    often = probes.where("often")  # taken to stand in two groups
+    matrix = written(seldom.select("token", "short", "grp").union(often.select("token", "short", "grp")).distinct(), "jaccard-matrix")
+
+    sets = written(grouped(sets), "jaccard-sets")
+    in_matrix = matrix.select("short").distinct()
+    several = sets.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1").select("grp")
+    within = sets.join(several, "grp", "left_semi")
+    wanted = within.select("key", "body_key").union(sets.join(in_matrix, "short", "left_semi").select("key", "body_key")).distinct()
+    wanted = written(wanted, "jaccard-wanted")
+    bits = spark.sparkContext.broadcast(bloom_bits(wanted.select(F.xxhash64("body_key").alias("h")), "h"))
 
     def of_interest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, compressed text) of the sets that some group holds or is queried with, once in a task."""
-        make, told, pack = Shingler(words), set(), zstandard.ZstdCompressor(level=3)
+        """(body_key, compressed text) of the texts that some group holds or is queried with, once in a task."""
+        told, pack = set(), zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            keep = np.flatnonzero(bloom_has(bits.value, b.column("h").to_numpy()))
+            keys, bodies = [], []
+            for i in keep.tolist():
+                if (k := b.column("body_key")[i].as_py()) not in told:
+                    if len(told) < 200_000:
+                        told.add(k)
+                    keys.append(k)
+                    bodies.append(pack.compress((b.column("text")[i].as_py() or "").encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], ["body_key", "body"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            if part := texts_of(b):
-                keys = np.array([_set_key(x) if len(x) else 0 for x in make.sets(part)], np.int64)
-                keep = [i for i in np.flatnonzero(bloom_has(wanted.value, keys)).tolist() if keys[i] and keys[i] not in told]
-                keep = list({int(keys[i]): i for i in keep}.values())
-                if len(told) < 200_000:
-                    told.update(keys[keep].tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[keep]), pa.array([pack.compress(part[i].encode("utf-8", "surrogatepass")) for i in keep], pa.binary())],
-                    ["key", "body"],
-                )
-
-    texts = src.select("text").mapInArrow(of_interest, "key long, body binary").dropDuplicates(["key"])
-    dealt = (
-        roles.join(texts, "key")
-        .repartition("grp", "blk")
-        .sortWithinPartitions("grp", "blk", "role", "key")
-        .select("grp", "blk", "role", "key", "body")
-    )
+            keys = pa.array([_digest(t.encode("utf-8", "surrogatepass")) for t in texts_of(b)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("text"), keys], ["text", "body_key"])
+
+    texts = src.select("text").mapInArrow(keyed, "text string, body_key binary").withColumn("h", F.xxhash64("body_key"))
+    texts = texts.mapInArrow(of_interest, "body_key binary, body binary").dropDuplicates(["body_key"])
+    texts = written(wanted.join(texts, "body_key").select("key", "body"), "jaccard-texts")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spanning links of each block, whose members come before the documents that query it."""
+    def blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, tuple[np.ndarray, ...]]]:
+        """(values of columns, set) of each row."""
         make, unpack = Shingler(words), zstandard.ZstdDecompressor()
-        now, members, keys, asks, ask_keys = None, [], [], [], []
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in columns))
+            for row, body in zip(rows, b.column("body").to_pylist()):
+                yield row, make.sets([unpack.decompress(body).decode("utf-8", "surrogatepass")])[0]
 
-        def flush():
-            if members and (len(members) > 1 or asks):
-                all_keys = keys + ask_keys
-                found = _spanning(members + asks, len(members), num, den)
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([all_keys[i] for i, _ in found], pa.int64()), pa.array([all_keys[j] for _, j in found], pa.int64())], ["a", "b"]
-                    )
+    def compare_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, root) of the members of a group that are similar to another one."""
+        now, keys, members = None, [], []
 
-        for b in batches:
-            cols = [b.column(k).to_pylist() for k in ("grp", "blk", "role", "key")]
-            packed = b.column("body").to_pylist()
-            texts = (unpack.decompress(x).decode("utf-8", "surrogatepass") for x in packed)
-            for grp, blk, role, key, x in zip(*cols, (make.sets([t])[0] for t in texts)):
-                if (grp, blk) != now:
-                    yield from flush()
-                    now, members, keys, asks, ask_keys = (grp, blk), [], [], [], []
-                (asks if role else members).append(x)
-                (ask_keys if role else keys).append(key)
-                if len(asks) >= block:  # queries stream past the block's members
-                    yield from flush()
-                    asks, ask_keys = [], []
-        yield from flush()
-
-    links = dealt.mapInArrow(compare, "a long, b long")
-    classes = components(written(links.distinct(), "jaccard-links"))
-    labelled = seen.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "label", F.when(F.col("grp").isNotNull(), F.coalesce("label", "key"))
-    )
-    labelled = labelled.select("id", "n", "label")
-    least = labelled.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
-    return labelled.join(least, "label", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
-    )
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(members) > 1:
+                found = _roots(members, num, den)
+                classes = {r for i, r in enumerate(found) if i != r}
+                rows = [(keys[i], keys[r]) for i, r in enumerate(found) if r in classes]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["key", "root"])
+
+        for (grp, key), x in blocks(batches, ["grp", "key"]):
+            if grp != now:
+                yield from done()
+                now, keys, members = grp, [], []
+            keys.append(key)
+            members.append(x)
+        yield from done()
+
+    dealt = within.select("key", "grp").join(texts, "key").repartition("grp").sortWithinPartitions("grp", "key")
+    classes = written(dealt.mapInArrow(compare_within, "key binary, root binary"), "jaccard-classes")
+
+    def compare_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of queries with members of a block, which come first; one for each component of the members."""
+        now, keys, labels, members, index = None, [], [], [], None
+        a, b = [], []
+        for (grp, blk, role, key, label), x in blocks(batches, ["grp", "blk", "role", "key", "label"]):
+            if (grp, blk) != now:
+                now, keys, labels, members, index = (grp, blk), [], [], [], None
+            if role == 0:
+                keys.append(key)
+                labels.append(label)
+                members.append(x)
+                continue
+            index = index or _Members(members, num, den)
+            met = {labels[j]: keys[j] for j in index.similar(x).tolist()}
+            met.pop(label, None)
+            a += [key] * len(met)
+            b += met.values()
+            if len(a) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (a, b)], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (a, b)], ["a", "b"])
+
+    def across(some: DataFrame, name: str) -> DataFrame:
+        """Links (a, b) between sets of different groups and labels; some is (key, short, grp, n, label)."""
+        rows = matrix.select("token", "short").join(some, "short")
+        mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+        rows = written(rows.join(mixed, "token", "left_semi").select("token", "key", "grp", "n", "label"), f"jaccard-{name}")
+        taking = rows.select("key", "grp", "n", "label").distinct()
+        groups = taking.groupBy("grp").agg(
+            F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi")
+        )
+        groups = written(groups, f"jaccard-{name}-groups")
+        unions = rows.select("token", "grp").distinct().join(groups, "grp")
+        asking = rows.join(groups.select(F.col("grp"), F.col("members").alias("own")), "grp").withColumnRenamed("grp", "home")
+        # a set queries the larger groups (of two as large, the one of the smaller number) that are not all of its label
+        pairs = asking.join(unions, "token").where("home <> grp and (own < members or own = members and home > grp)")
+        pairs = pairs.where(f"{den} * n >= {num} * least and {num} * n <= {den} * most and not (lo = hi and lo = label)")
+        shared = pairs.groupBy("key", "grp").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("n", "least", "label")))
+        both = lambda c: F.ceil(F.col(c) * num / den)
+        asked = shared.where(F.col("shared") >= F.least(F.lit(least_shared), both("n"), both("least"))).select("key", "grp", "label")
+        asked = written(asked, f"jaccard-{name}-asked")
+        # a group's queries are dealt out in blocks, each with all members
+        parts = asked.groupBy("grp").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("parts"))
+        queries = asked.join(parts, "grp").select("grp", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("blk"), F.lit(1).alias("role"), "key", "label")
+        members = taking.join(parts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("blk"), F.lit(0).alias("role"), "key", "label")
+        dealt = queries.unionByName(members).join(texts, "key").repartition("grp", "blk").sortWithinPartitions("grp", "blk", "role", "key")
+        return written(dealt.mapInArrow(compare_across, "a binary, b binary"), f"jaccard-{name}-links")
+
+    # roots of classes first, then all sets; a group, and so a root, holds a block at most
+    rooted = sets.join(classes, "key", "left").select("key", "short", "grp", "n", "id", "copies", F.coalesce("root", "key").alias("root"))
+    rooted = written(rooted, "jaccard-rooted")
+    reps = rooted.join(classes.where("key = root").select("key"), "key", "left_semi")
+    first = across(reps.select("key", "short", "grp", "n", F.col("key").alias("label")), "roots")
+    joined = components(first).withColumnRenamed("node", "root")
+    labelled = rooted.join(joined, "root", "left").select("key", "short", "grp", "n", F.coalesce("label", "root").alias("label"))
+    second = across(labelled.join(in_matrix, "short", "left_semi"), "sets")
+    root_of = rooted.select("key", "root")
+    second = second.join(root_of.toDF("a", "ra"), "a").join(root_of.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    # a root is known by the smallest id of its class, so the smallest root of a component holds the component's
+    nodes = rooted.groupBy("root").agg(F.min("id").alias("id"))
+    nodes = written(nodes.select("root", F.struct(F.col("id").isNull().alias("none"), "id", "root").alias("node")), "jaccard-nodes")
+    links = first.union(second).where("a <> b").distinct().withColumnsRenamed({"a": "x", "b": "y"})
+    links = links.join(nodes.toDF("x", "a"), "x").join(nodes.toDF("y", "b"), "y").select("a", "b")
+    found = nodes.join(components(written(links, "jaccard-links")), "node", "left")
+    found = found.select("root", F.coalesce("label.id", "node.id").alias("component_id"))
+    by_set = written(rooted.select("key", "root", "copies").join(found, "root").select("key", "copies", "component_id"), "jaccard-components")
+    out = heavy_join(seen.select("id", "n", "key"), by_set, "key", F.col("copies") * HEAVY >= n_docs)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -1,6 +1,6 @@
 import random
 
-from scanloom.llm.near_dup import _spanning, near_duplicates
+from scanloom.llm.near_dup import _roots, near_duplicates
 from scanloom.llm.shingles import Shingler
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -62,21 +62,40 @@ def test_families_and_common_passage(docs_of):
     assert got(near_duplicates(docs_of(rows), block=4)) == want  # groups over many blocks
 
 
-def test_spanning_links_connect_what_all_pairs_do():
+def test_roots_are_those_of_all_pairs():
     rnd = random.Random(2)
     for _ in range(30):
         texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(8, 16))) for _ in range(40)]
         sets = Shingler(2).sets(texts)
-        links = _spanning(sets, 25, 75, 100)
         real = [
             (i, j)
             for i in range(40)
-            for j in range(25)
-            if i != j and 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))
+            for j in range(i)
+            if 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))
         ]
-        label = lambda pairs: _labels(40, pairs)
-        assert label(links) == label(real)
-        assert all((i, j) in real or (j, i) in real for i, j in links)
+        assert _roots(sets, 75, 100) == _labels(40, real)
+
+
+def test_two_large_groups_and_bridges(docs_of):
+    """Two groups of many near copies, a common passage in both, and chains from one copy to the next."""
+    rnd = random.Random(4)
+    words = [f"v{k}" for k in range(5000)]
+    passage = [rnd.choice(words) for _ in range(30)]
+    rows = []
+    for base in ([rnd.choice(words) for _ in range(90)] for _ in range(2)):
+        for k in range(60):
+            text = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                text[rnd.randrange(len(text))] = rnd.choice(words)
+            rows.append((len(rows) + 500, " ".join(text + passage)))
+    chain = [rnd.choice(words) for _ in range(80)]
+    for k in range(25):
+        chain[3 * k % 80] = rnd.choice(words)
+        rows.append((1000 - k, " ".join(chain)))
+    rows += [(None, rows[3][1]), (2, rows[70][1]), (2, rows[70][1])]
+    want = brute(rows)
+    for block, least_shared in ((1500, 4), (7, 1), (1, 9)):
+        assert got(near_duplicates(docs_of(rows), block=block, least_shared=least_shared)) == want
 
 
 def _labels(n, pairs):
