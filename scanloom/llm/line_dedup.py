@@ -16,18 +16,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.llm.common import bloom_bits, bloom_has, components, slices, texts_of, written
+from scanloom.llm.common import HEAVY, bloom_bits, bloom_has, components, heavy_join, slices, texts_of, written
 
 _NULL_ID = -(2**63)
 
 
-def _line_id(line: str) -> int:
-    h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+def _line_key(line: str) -> bytes:
+    """128 bits: what equal lines share."""
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+
+
+def _short(key: bytes) -> int:
+    """The first half of a key, which stands for the line in the index; lines that share it are all compared."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def _segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -140,32 +145,36 @@ def _takes_part(line: str, least_chars: int, short_lines: bool) -> bool:
 def line_classes(
     docs: DataFrame, edits: int, least_chars: int, block: int, text_col: str, id_col: str, short_lines: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (id, line_no, line) of the lines that take part, and (line, label) of lines linked with another."""
+    """Occurrences (id, doc, line_no, line) of the lines that take part, and links (a, b) of near lines; doc is a digest
+    of the text, which with the id tells rows apart."""
     spark = docs.sparkSession
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(_place_id(id_col), F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids, nos, keys = [], [], []
-            for i, t in zip(b.column("id").to_pylist(), texts_of(b)):
+            row, nos, keys = [], [], []
+            for i, t in enumerate(texts_of(b)):
                 for k, line in enumerate(t.split("\n")):
                     if _takes_part(line, least_chars, short_lines):
-                        ids.append(i)
+                        row.append(i)
                         nos.append(k)
-                        keys.append(_line_id(line))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(keys, pa.int64())], ["id", "line_no", "line"])
+                        keys.append(_line_key(line))
+            if row:
+                at = pa.array(row)
+                cols = [b.column("id").take(at), b.column("doc").take(at), pa.array(nos, pa.int32()), pa.array(keys, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "doc", "line_no", "line"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[int] = set()
+        told: set[bytes] = set()
         for b in slices(batches):
             key, line_of, probing = [], [], []
             for t in texts_of(b):
                 for line in t.split("\n"):
-                    if len(line) < least_chars or (me := _line_id(line)) in told:
+                    if len(line) < least_chars or (whole := _line_key(line)) in told:
                         continue
                     if len(told) < 200_000:
-                        told.add(me)
+                        told.add(whole)
+                    me = _short(whole)
                     index, probes = segment_keys(line, edits)
                     key += index
                     key += probes
@@ -181,7 +190,7 @@ def line_classes(
         keys = np.array(key, np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(line_of, pa.int64()), pa.array(probing)], ["key", "line", "probing"])
 
-    occurrences = src.mapInArrow(split, "id long, line_no int, line long")
+    occurrences = src.mapInArrow(split, "id long, doc long, line_no int, line binary")
     keys = src.select("text").mapInArrow(keyed, "key long, line long, probing boolean")
     by_key = Window.partitionBy("key")
     met = keys.withColumns(
@@ -205,30 +214,32 @@ def line_classes(
     wanted = spark.sparkContext.broadcast(bloom_bits(met.select("line"), "line"))
 
     def of_interest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[int] = set()
+        told: set[bytes] = set()
         pack = zstandard.ZstdCompressor(level=3)
         for b in slices(batches):
             lines = [x for t in texts_of(b) for x in t.split("\n") if len(x) >= least_chars]
-            ids = np.array([_line_id(x) for x in lines], np.int64)
-            keep = {int(ids[i]): i for i in np.flatnonzero(bloom_has(wanted.value, ids)).tolist() if ids[i] not in told}
+            keys = [_line_key(x) for x in lines]
+            short = np.array([_short(k) for k in keys], np.int64)
+            keep = {keys[i]: i for i in np.flatnonzero(bloom_has(wanted.value, short)).tolist() if keys[i] not in told}
             if len(told) < 200_000:
                 told.update(keep)
             bodies = [pack.compress(lines[i].encode("utf-8", "surrogatepass")) for i in keep.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(keep), pa.int64()), pa.array(bodies, pa.binary())], ["line", "body"])
+            cols = [pa.array(short[list(keep.values())], pa.int64()), pa.array(list(keep), pa.binary()), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["short", "line", "body"])
 
-    texts = src.select("text").mapInArrow(of_interest, "line long, body binary").dropDuplicates(["line"])
+    texts = src.select("text").mapInArrow(of_interest, "short long, line binary, body binary").dropDuplicates(["line"])
     groups = (
-        dealt.join(texts, "line").repartition("key", "blk").sortWithinPartitions("key", "blk", "probing", "line").select("key", "blk", "probing", "line", "body")
+        dealt.withColumnRenamed("line", "short").join(texts, "short").repartition("key", "blk").sortWithinPartitions("key", "blk", "probing", "line").select("key", "blk", "probing", "line", "body")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of each block. The pairs of small blocks are verified together, some thousands at a time."""
         unpack = zstandard.ZstdDecompressor()
         now, ids, lines, index, probe, known = None, [], [], [], [], {}
-        waiting: dict[tuple[int, int], tuple[str, str]] = {}
+        waiting: dict[tuple[bytes, bytes], tuple[str, str]] = {}
 
-        def linked(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+        def linked(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         def verified() -> pa.RecordBatch:
             pairs = list(waiting)
@@ -266,8 +277,12 @@ def line_classes(
         yield from block_done()
         yield verified()
 
-    links = groups.mapInArrow(compare, "a long, b long").distinct()
-    return occurrences, components(written(links, "line-links")).withColumnRenamed("node", "line")
+    links = groups.mapInArrow(compare, "a binary, b binary").distinct()
+    return written(occurrences, "lines"), written(links, "line-links")
+
+
+def _place_id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id")
 
 
 def dedup_lines(
@@ -288,29 +303,35 @@ def dedup_lines(
     lines at one place of them all stay. Other columns are kept, but a column named removed_lines is replaced; no rows
     give no rows.
     """
-    occurrences, classes = line_classes(docs, edits, least_chars, block, text_col, id_col, short_lines)
-    occurrences = written(occurrences, "lines")
-    labelled = occurrences.join(classes, "line", "left").withColumn("label", F.coalesce("label", "line"))
-    place = F.struct("id", "line_no")
-    first = labelled.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first")
-    gone = labelled.join(first, "label").where(place != F.col("first"))
-    gone = gone.groupBy("id").agg(F.collect_set(F.struct("line_no", "line")).alias("__gone"))  # of one document
+    occurrences, links = line_classes(docs, edits, least_chars, block, text_col, id_col, short_lines)
+    lines = occurrences.groupBy("line").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n"))
+    lines = written(lines, "lines-distinct")
+    # a line is known by its first place, so the smallest line of a class holds the class's first place
+    nodes = lines.select("line", F.struct("first.id", "first.line_no", "line").alias("node"))
+    ends = links.join(nodes.toDF("a", "x"), "a").join(nodes.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    classes = components(written(ends, "line-nodes"))
+    classes = classes.select(F.col("node.line").alias("line"), F.struct("label.id", "label.line_no").alias("label"))
+    kept = lines.join(classes, "line", "left").select("line", "n", "first", F.coalesce("label", "first").alias("kept"))
+    kept = written(kept.where("n > 1 or kept <> first").select("line", "n", "kept"), "lines-kept")
+    heavy = F.col("n") * HEAVY >= occurrences.count()
+    gone = heavy_join(occurrences, kept, "line", heavy).where(F.struct("id", "line_no") != F.col("kept"))
+    gone = gone.groupBy("id", "doc").agg(F.collect_set(F.struct("line_no", "line")).alias("__gone"))  # of one text
     columns = [c for c in docs.columns if c != "removed_lines"]
-    rows = docs.select(*columns, F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("__id"))
-    rows = rows.join(gone.withColumnRenamed("id", "__id"), "__id", "left").drop("__id")
+    rows = docs.select(*columns, _place_id(id_col).alias("__id"), F.xxhash64(text_col).alias("__doc"))
+    rows = rows.join(gone.toDF("__id", "__doc", "__gone"), ["__id", "__doc"], "left").drop("__id", "__doc")
     kind = T.StructType([*docs.select(*columns).schema, T.StructField("removed_lines", T.ArrayType(T.IntegerType()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts, removed = [], []
             for t, gone in zip(b.column(text_col).to_pylist(), b.column("__gone").to_pylist()):
-                drop = {(g["line_no"], g["line"]) for g in gone or ()}
+                drop = {(g["line_no"], bytes(g["line"])) for g in gone or ()}
                 if not t or not drop:
                     texts.append(t)
                     removed.append([])
                     continue
                 lines = t.split("\n")
-                out = [k for k, x in enumerate(lines) if _takes_part(x, least_chars, short_lines) and (k, _line_id(x)) in drop]
+                out = [k for k, x in enumerate(lines) if _takes_part(x, least_chars, short_lines) and (k, _line_key(x)) in drop]
                 away = set(out)
                 texts.append("\n".join(x for k, x in enumerate(lines) if k not in away))
                 removed.append(out)
