@@ -1,8 +1,8 @@
 """Compression classifier: zstandard dictionaries built from good and bad labelled text.
 
 A text is cut into blocks of bytes that are compressed twice, with the dictionary of good and with that of bad
-text. The difference of the two compressed sizes over their sum says which sort of text the blocks resemble; a
-logistic curve, fitted on labelled rows that the dictionaries have not seen, turns it into a score.
+text. The difference of the two compressed sizes, normalised by the size of the text, says which sort of text the
+blocks resemble; a logistic curve, fitted on labelled rows that the dictionaries have not seen, turns it into a score.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ class Compressors:
         return Measure(self)
 
 
-#: Bytes of compressed size that stand for the doubt about short texts.
-WEIGHT = 16
+#: What short texts are drawn to: they count as if SHRINK more bytes, of which the good dictionary saves DOUBT more than
+#: the bad one, stood before them.
+SHRINK, DOUBT = 128, 4
 
 
 class Measure:
@@ -53,30 +54,23 @@ class Measure:
             for d in (_dictionary(model.good), _dictionary(model.bad))
         ]
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """The normalised size difference, how little text it rests on (1: none), and the better size over the raw size."""
+    def difference(self, text: str) -> float:
+        """The normalised size difference: what the good dictionary saves over the bad one, by bytes of text."""
         raw, n = text.encode("utf-8", "surrogatepass"), self.model.block
-        if not raw:
-            return 0.0, 1.0, 1.0
         # blocks of nearly equal size, so that no short rest is left
         parts = max(1, round(len(raw) / n))
         cuts = [len(raw) * k // parts for k in range(parts + 1)]
-        good = bad = best = 0
-        for a, b in zip(cuts, cuts[1:]):
-            g, w = (len(c.compress(raw[a:b])) for c in self.by)
-            good, bad, best = good + g, bad + w, best + min(g, w)
-        total = bad + good + 2 * WEIGHT
-        return (bad - good) / total, 2 * WEIGHT / total, min(1.0, (best + WEIGHT) / (len(raw) + WEIGHT))
+        good, bad = (sum(len(c.compress(raw[a:b])) for a, b in zip(cuts, cuts[1:])) if raw else 0 for c in self.by)
+        return (bad - good + DOUBT) / (len(raw) + SHRINK)
 
     def score(self, text: str) -> float:
-        x = sum(c * v for c, v in zip(self.model.curve, _inputs(*self.features(text))))
+        x = sum(c * v for c, v in zip(self.model.curve, _inputs(self.difference(text))))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
-def _inputs(difference: float, little: float, density: float) -> tuple[float, ...]:
-    """What the logistic curve takes: the difference, steeper or flatter above 0, and what text that is very short or
-    compresses to almost nothing with either dictionary is worth."""
-    return 1.0, 10 * difference, 10 * max(0.0, difference), 5 * little, 5 * density, 5 * max(0.0, 0.25 - density)
+def _inputs(difference: float) -> tuple[float, ...]:
+    """What the logistic curve takes: the difference, steeper or flatter above 0."""
+    return 1.0, 10 * difference, 10 * max(0.0, difference)
 
 
 def _dictionary(body: bytes):
@@ -154,13 +148,13 @@ def _model(rows, dictionary_bytes: int, block: int) -> Compressors:
     good, bad = len(by[0, 1]) + len(by[1, 1]), len(by[0, 0]) + len(by[1, 0])
     if not all(by.values()):
         p = (good + 1) / (good + bad + 2)
-        return Compressors(b"", b"", (math.log(p / (1 - p)), 0.0, 0.0, 0.0, 0.0, 0.0), block)
+        return Compressors(b"", b"", (math.log(p / (1 - p)), 0.0, 0.0), block)
     # the curve is fitted twice, each half of the rows with dictionaries of the other half; the dictionaries of all rows serve
     x, y = [], []
     for s in (0, 1):
         m = Measure(Compressors(_built(by[s, 1], block, dictionary_bytes), _built(by[s, 0], block, dictionary_bytes), (), block))
         for c in (0, 1):
-            x += [_inputs(*m.features(t)) for t in by[1 - s, c]]
+            x += [_inputs(m.difference(t)) for t in by[1 - s, c]]
             y += [c] * len(by[1 - s, c])
     curve = _fit(np.array(x), np.array(y, float))
     return Compressors(
@@ -194,5 +188,6 @@ def score_quality(
 
 
 def in_training_fold(id_col: str = "doc_id"):
-    """Rows whose crc32 of the id as text is not 0 modulo 5: the only ones whose labels may be learned from."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
+    """Rows whose crc32 of the id as text (a null id: no text) is not 0 modulo 5: the only ones whose labels may be
+    learned from."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 != 0
