@@ -8,15 +8,15 @@ one word, so they are passed over with array operations, and the automaton start
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import slices, texts_of, written
+from scanloom.llm.common import new_path, slices, texts_of, written
 
 #: Bytes of words as they are: 0-9, a-z (A-Z in lower case) and all bytes of characters from U+0080 on; others part words.
 _WORD_BYTES = bytes(
@@ -159,19 +159,37 @@ class SuffixAutomaton:
         return out
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of about block_words words, which bounds what is broadcast at a time."""
-    held, n = [], 0
-    for r in items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        ws = words_of(r["t"] or "")
-        if not ws:
-            continue
-        held.append((r["i"] or "", ws))
-        n += len(ws)
-        if n >= block_words:
-            yield held
-            held, n = [], 0
-    yield held
+def text_digest(text_col: str = "text") -> Column:
+    """What rows of equal text share; null is the empty text."""
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _written_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> list[str]:
+    """Folders of tables (name, words), one for each block of about block_words words; items are dealt out by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            words = [words_of(t) for t in texts_of(b)]
+            cols = [b.column("name"), pa.array([b" ".join(w) for w in words], pa.binary()), pa.array(list(map(len, words)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["name", "words", "n"])
+
+    named = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).cast("string").alias("text"))
+    known = written(named.mapInArrow(run, "name string, words binary, n long").where("n > 0").distinct(), "benchmark-words")
+    n = max(1, math.ceil((known.agg(F.sum("n")).first()[0] or 0) / block_words))
+    dealt = known.select("name", "words", F.pmod(F.xxhash64("name", "words"), F.lit(n)).alias("blk"))
+    folder = new_path(items.sparkSession, "benchmark-blocks")
+    dealt.repartition("blk").write.partitionBy("blk").parquet(folder)
+    return [f"{folder}/blk={r['blk']}" for r in dealt.select("blk").distinct().orderBy("blk").collect()]  # a name for each
+
+
+def _read_block(folder: str | None) -> list[tuple[str, list[bytes]]]:
+    from pyarrow import fs, parquet
+
+    if folder is None:
+        return []
+    store, base = fs.FileSystem.from_uri(folder)
+    rows = parquet.read_table(base, filesystem=store, columns=["name", "words"])
+    return sorted(zip(rows["name"].to_pylist(), (w.split(b" ") for w in rows["words"].to_pylist())))
 
 
 def contamination(
@@ -184,23 +202,21 @@ def contamination(
     item_id_col: str = "item_id",
     block_words: int = 500_000,
 ) -> DataFrame:
-    """(doc id, n_words, spans array<struct<start,end>> in words, items array<string> sorted).
+    """(doc id, digest, n_words, spans array<struct<start,end>> in words, items array<string> sorted).
 
     Null or empty texts have no words and no spans; items without a word match nothing; a null item id is the name ''.
     Items of one id count once. Repeated or null doc ids stay rows of their own. Other columns are ignored; an empty
-    benchmark gives no spans; no documents give no rows. Items are taken in blocks of block_words words: the documents
-    are read once for each block, and the blocks' spans are joined by a digest of the text.
+    benchmark gives no spans; no documents give no rows. Items are cut into words by tasks and written in blocks of
+    about block_words words, which tasks read themselves: the documents are read once for each block, and the blocks'
+    spans are joined by text_digest(), the column digest.
     """
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_digest(text_col).alias("digest"))
     kind = "id long, digest string, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def scanner(block, all_rows: bool):
-        shared = spark.sparkContext.broadcast(block)
-
+    def scanner(folder: str | None, all_rows: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = SuffixAutomaton(shared.value, window)
+            automaton = SuffixAutomaton(_read_block(folder), window)
             for b in slices(batches, 300):
                 part = texts_of(b)
                 words = [words_of(t) for t in part]
@@ -209,7 +225,7 @@ def contamination(
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("id").take(pa.array(keep, pa.int64())),
-                        pa.array([xxhash.xxh3_128_hexdigest(part[i].encode("utf-8", "surrogatepass")) for i in keep], pa.string()),
+                        b.column("digest").take(pa.array(keep, pa.int64())),
                         pa.array([len(words[i]) for i in keep], pa.int64()),
                         pa.array([[{"start": s, "end": e} for s, e in found[i][0]] for i in keep], spans_type),
                         pa.array([sorted({automaton.names[k] for k in found[i][1]}) for i in keep], pa.list_(pa.string())),
@@ -219,11 +235,9 @@ def contamination(
 
         return src.mapInArrow(run, kind)
 
-    blocks = _blocks(benchmark, item_id_col, item_text_col, block_words)
-    out = scanner(next(blocks), True)
-    for block in blocks:
-        if not block:
-            continue
+    blocks = _written_blocks(benchmark, item_id_col, item_text_col, block_words)
+    out = scanner(blocks[0] if blocks else None, True)
+    for block in blocks[1:]:
         more = scanner(block, False).dropDuplicates(["digest"]).select("digest", F.col("spans").alias("s2"), F.col("items").alias("i2"))
         joined = out.join(more, "digest", "left").select(
             "id",
@@ -233,7 +247,7 @@ def contamination(
             F.array_sort(F.array_union("items", F.coalesce("i2", F.array().cast("array<string>")))).alias("items"),
         )
         out = written(joined, "contamination")
-    return out.select(F.col("id").alias(id_col), "n_words", _united("spans").alias("spans"), "items")
+    return out.select(F.col("id").alias(id_col), "digest", "n_words", _united("spans").alias("spans"), "items")
 
 
 def _united(spans: str):
@@ -256,6 +270,7 @@ def judged(found: DataFrame, id_col: str = "doc_id", per_hit: int = 20) -> DataF
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]).cast("long"))
     return found.select(
         id_col,
+        "digest",
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -265,10 +280,11 @@ def judged(found: DataFrame, id_col: str = "doc_id", per_hit: int = 20) -> DataF
     )
 
 
-def cut_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def cut_spans(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the words of the found spans cut out of their texts, with what stands between those words.
 
-    Documents and spans are matched by id (ids must be unique here); documents without spans keep their text.
+    Texts and spans are matched by text_digest(), so repeated and null ids do no harm; null texts stay null, texts
+    without spans as they are, and no rows give no rows.
     """
     kind = docs.schema
 
@@ -280,8 +296,8 @@ def cut_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", id_col:
             cols = [pa.array(texts, pa.string()) if f == text_col else b.column(f) for f in kind.names]
             yield pa.RecordBatch.from_arrays(cols, kind.names)
 
-    spans = found.select(id_col, F.col("spans").alias("__spans"))
-    return docs.join(spans, id_col, "left").select(*kind.names, "__spans").mapInArrow(run, kind)
+    spans = found.where(F.size("spans") > 0).select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans")).dropDuplicates(["__digest"])
+    return docs.withColumn("__digest", text_digest(text_col)).join(spans, "__digest", "left").select(*kind.names, "__spans").mapInArrow(run, kind)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -63,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return decontaminate.judged(found).drop("spans")
+    return decontaminate.judged(found).drop("spans", "digest")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
