@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over `documents`, each on all rows that the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
-writes each stage's rows to the shared folder and reads them again, so no stage repeats the work of another.
+writes each stage's rows to the shared folder and reads them again, so no stage repeats the work of another. Null texts
+count as empty ones; no stage fails on null or repeated ids, and no rows give no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from scanloom.llm.common import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score of the compression classifier is below 0.3 go."""
+    """Documents whose score of the compression classifier is below 0.3 go; each row is judged by its own text, and empty
+    texts by the score of no text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(quality_classifier.in_training_fold())
     model = quality_classifier.learn(docs, labels)
     scored = quality_classifier.score_quality(docs, model, keep_columns=True)
@@ -23,7 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are equal or near to an earlier one go; documents stay, if with an empty text."""
+    """Lines that are equal or near to an earlier one go, n_chars follows; null texts stay null.
+
+    All rows stay: one whose lines are all repeats is left with an empty text, as this stage takes lines out and not
+    documents, and the stages behind it treat empty texts like any other."""
     out = line_dedup.dedup_lines(docs, short_lines=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -31,7 +36,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id stays; equal rows become one."""
+    """Of each group of linked documents the one of the smallest id stays; rows of equal id and text become one.
+
+    Rows of one id stand for one document, which stays if one of its rows is the first of its group. Empty texts are
+    linked with nothing and stay."""
     found = near_dup.near_duplicates(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
@@ -39,15 +47,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; all others stay as they are."""
+    """Contaminated documents go, whole; all others stay as they are.
+
+    Each row is judged by its own text: rows and verdicts meet by the digest of the text, whatever the ids are."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.judged(decontaminate.contamination(docs, items))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    hit = found.where("contaminated").select(F.col("digest").alias("__digest")).distinct()
+    return docs.join(hit, decontaminate.text_digest() == F.col("__digest"), "left_anti").select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): the SentencePiece ids of each text, and the text that they decode to."""
+    """(doc_id, n_tokens, ids, decoded): the SentencePiece ids of each text, and the text that they decode to, for each
+    row; empty texts have no ids."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     out = pieces.decode_pieces(pieces.encode_pieces(docs, model), model)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
@@ -61,7 +72,7 @@ STAGES = [
     ("SentencePiece", sentencepiece),
 ]
 
-#: SQL cannot express the stages; tests/llm compares them with brute force.
+#: SQL cannot express the stages; tests/llm/test_pipeline.py compares them with brute force on a small table.
 ORACLE_SQL = None
 
 
