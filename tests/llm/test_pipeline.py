@@ -1,8 +1,14 @@
 import importlib
 import os
+import random
 import subprocess
 import sys
 
+import pytest
+import test_decontaminate
+import test_line_dedup
+import test_near_dup
+
 import corpus_pipeline
 from scanloom.llm.queries import QUERIES
 
@@ -47,3 +53,45 @@ def test_nothing_else_imports_the_subpackage():
     root = os.path.dirname(os.path.abspath(importlib.import_module("scanloom").__file__))
     code = "import sys, scanloom.plans.registry; assert not [m for m in sys.modules if m.startswith('scanloom.llm')]"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(root))
+
+
+@pytest.fixture(scope="module")
+def fixture(docs_of):
+    """Near copies, chains, repeated lines of all lengths, benchmark passages, odd ids and texts."""
+    rnd = random.Random(21)
+    words = [f"wort{k}" for k in range(900)]
+    sentence = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    shared = [sentence(6) for _ in range(5)]
+    items = [(1, sentence(40)), (2, sentence(7)), (3, None)]
+    rows = [(None, sentence(30)), (90, None), (91, ""), (92, "\n \n")]
+    for k in range(12):
+        rows.append((k, "\n".join([sentence(8), rnd.choice(shared), sentence(5), rnd.choice(shared)[:-1]])))
+    base = sentence(80).split()
+    for k in range(6):
+        base[13 * k] = f"neu{k}"
+        rows.append((30 + k, " ".join(base)))
+    rows += [(50, sentence(20) + " " + items[0][1]), (51, items[1][1]), (52, sentence(600) + " " + items[0][1][:90]), (3, rows[4][1]), (3, rows[4][1])]
+    return docs_of(rows), rows, items
+
+
+def test_lines_by_brute_force(spark, fixture):
+    docs, rows, _ = fixture
+    out = corpus_pipeline.lines(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(i, t) for i, t, _ in test_line_dedup.brute(rows)]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_near_duplicates_by_brute_force(spark, fixture):
+    docs, rows, _ = fixture
+    firsts = {i for i, _, c in test_near_dup.brute(rows) if i == c}
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted({(i, t) for i, t in rows if i in firsts}, key=str)
+
+
+def test_benchmark_by_brute_force(spark, fixture, tmp_path):
+    docs, rows, items = fixture
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad = {rows[k][1] for k in range(len(rows)) if test_decontaminate.brute([rows[k]], items)[0][-1]}
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()]
+    assert bad and sorted(got, key=str) == sorted([r for r in rows if r[1] not in bad], key=str)
