@@ -30,9 +30,9 @@ def _line_key(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
-def _short(key: bytes) -> int:
-    """The first half of a key, which stands for the line in the index; lines that share it are all compared."""
-    return int.from_bytes(key[:8], "little", signed=True)
+def _short(keys: list[bytes]) -> np.ndarray:
+    """The first halves of keys, which stand for the lines in the index; lines that share one are all compared."""
+    return np.frombuffer(b"".join(keys), "<i8")[::2].astype(np.int64)
 
 
 def _segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -167,28 +167,30 @@ def line_classes(
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
         for b in slices(batches):
-            key, line_of, probing = [], [], []
+            keys, lines, counts = [], [], []
             for t in texts_of(b):
                 for line in t.split("\n"):
-                    if len(line) < least_chars or (whole := _line_key(line)) in told:
+                    if len(line) < least_chars or (me := _line_key(line)) in told:
                         continue
                     if len(told) < 200_000:
-                        told.add(whole)
-                    me = _short(whole)
+                        told.add(me)
                     index, probes = segment_keys(line, edits)
-                    key += index
-                    key += probes
-                    line_of += [me] * (len(index) + len(probes))
-                    probing += [False] * len(index) + [True] * len(probes)
-                if len(key) > 100_000:  # a document with very many lines
-                    yield batch(key, line_of, probing)
-                    key, line_of, probing = [], [], []
-            if key:
-                yield batch(key, line_of, probing)
-
-    def batch(key, line_of, probing) -> pa.RecordBatch:
-        keys = np.array(key, np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(line_of, pa.int64()), pa.array(probing)], ["key", "line", "probing"])
+                    keys += index
+                    keys += probes
+                    lines.append(me)
+                    counts += (len(index), len(probes))
+                if len(keys) > 100_000:  # a document with very many lines
+                    yield batch(keys, lines, counts)
+                    keys, lines, counts = [], [], []
+            if keys:
+                yield batch(keys, lines, counts)
+
+    def batch(keys: list[int], lines: list[bytes], counts: list[int]) -> pa.RecordBatch:
+        """counts: keys in the index and probing keys, by turns, of each line."""
+        n = np.array(counts)
+        line = np.repeat(_short(lines), n.reshape(-1, 2).sum(1))
+        probing = np.repeat(np.arange(len(n)) % 2 == 1, n)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(line), pa.array(probing)], ["key", "line", "probing"])
 
     occurrences = src.mapInArrow(split, "id long, doc long, line_no int, line binary")
     keys = src.select("text").mapInArrow(keyed, "key long, line long, probing boolean")
@@ -219,7 +221,7 @@ def line_classes(
         for b in slices(batches):
             lines = [x for t in texts_of(b) for x in t.split("\n") if len(x) >= least_chars]
             keys = [_line_key(x) for x in lines]
-            short = np.array([_short(k) for k in keys], np.int64)
+            short = _short(keys)
             keep = {keys[i]: i for i in np.flatnonzero(bloom_has(wanted.value, short)).tolist() if keys[i] not in told}
             if len(told) < 200_000:
                 told.update(keep)
@@ -304,17 +306,22 @@ def dedup_lines(
     give no rows.
     """
     occurrences, links = line_classes(docs, edits, least_chars, block, text_col, id_col, short_lines)
-    lines = occurrences.groupBy("line").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n"))
-    lines = written(lines, "lines-distinct")
+    ends = links.select(F.col("a").alias("line")).union(links.select(F.col("b").alias("line"))).distinct()
+    counted = occurrences.groupBy("line").agg(F.count("*").alias("n"))
+    some = counted.join(ends.withColumn("linked", F.lit(True)), "line", "left").where("n > 1 or linked").select("line", "n")
+    some = written(some, "lines-some")  # only these can go
+    heavy = F.col("n") * HEAVY >= some.agg(F.sum("n")).first()[0]
+    places = written(heavy_join(occurrences, some, "line", heavy).where("n is not null"), "lines-places")
+    firsts = places.groupBy("line").agg(F.min(F.struct("id", "line_no")).alias("first"), F.first("n").alias("n"))
+    firsts = written(firsts, "lines-first")
     # a line is known by its first place, so the smallest line of a class holds the class's first place
-    nodes = lines.select("line", F.struct("first.id", "first.line_no", "line").alias("node"))
-    ends = links.join(nodes.toDF("a", "x"), "a").join(nodes.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    classes = components(written(ends, "line-nodes"))
+    nodes = firsts.select("line", F.struct("first.id", "first.line_no", "line").alias("node"))
+    pairs = links.join(nodes.toDF("a", "x"), "a").join(nodes.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    classes = components(written(pairs, "line-nodes"))
     classes = classes.select(F.col("node.line").alias("line"), F.struct("label.id", "label.line_no").alias("label"))
-    kept = lines.join(classes, "line", "left").select("line", "n", "first", F.coalesce("label", "first").alias("kept"))
-    kept = written(kept.where("n > 1 or kept <> first").select("line", "n", "kept"), "lines-kept")
-    heavy = F.col("n") * HEAVY >= occurrences.count()
-    gone = heavy_join(occurrences, kept, "line", heavy).where(F.struct("id", "line_no") != F.col("kept"))
+    kept = firsts.join(classes, "line", "left").select("line", "n", F.coalesce("label", "first").alias("kept"))
+    gone = heavy_join(places.select("id", "doc", "line_no", "line"), written(kept, "lines-kept"), "line", heavy)
+    gone = gone.where(F.struct("id", "line_no") != F.col("kept"))
     gone = gone.groupBy("id", "doc").agg(F.collect_set(F.struct("line_no", "line")).alias("__gone"))  # of one text
     columns = [c for c in docs.columns if c != "removed_lines"]
     rows = docs.select(*columns, _place_id(id_col).alias("__id"), F.xxhash64(text_col).alias("__doc"))
