@@ -204,15 +204,14 @@ def line_classes(
     )
     met = met.where("lo <> hi and not least").select("key", "line", "probing").distinct()
     met = written(met, "lines-met")
-    sizes = met.where("not probing").groupBy("key").agg(F.count("*").alias("held"))
-    n_blocks = F.ceil(F.col("held") / block).cast("int")
-    dealt = met.join(sizes, "key").withColumn("nb", n_blocks)
-    dealt = dealt.select(
-        "key",
-        "line",
-        "probing",
-        F.explode(F.when(F.col("probing"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(F.pmod("line", "nb").cast("int")))).alias("blk"),
-    )
+    # a key's index lines and its probing lines are dealt out in blocks, and each block meets each: a task gets two
+    parts = lambda of, size: F.greatest(F.lit(1), F.ceil(F.count_if(of) / size)).cast("int")
+    sizes = met.groupBy("key").agg(parts(~F.col("probing"), block).alias("ni"), parts(F.col("probing"), 2 * block).alias("np"))
+    own = lambda n: F.pmod(F.xxhash64("line"), n).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_index = F.transform(each("np"), lambda k: own("ni") * F.col("np") + k)
+    as_probe = F.transform(each("ni"), lambda k: k * F.col("np") + own("np"))
+    dealt = met.join(sizes, "key").select("key", "line", "probing", F.explode(F.when(F.col("probing"), as_probe).otherwise(as_index)).alias("blk"))
     wanted = spark.sparkContext.broadcast(bloom_bits(met.select("line"), "line"))
 
     def of_interest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +265,7 @@ def line_classes(
                 if (key, blk) != now:
                     yield from block_done()
                     now, ids, lines, index, probe, known = (key, blk), [], [], [], [], {}
-                if len(probe) >= 4 * block:  # probing lines stream past the block's index lines
+                if len(probe) >= 2 * block:  # probing lines stream past the block's index lines
                     yield from block_done()
                     n = len(index)  # they come first
                     ids, lines, probe = ids[:n], lines[:n], []
@@ -291,7 +290,7 @@ def dedup_lines(
     docs: DataFrame,
     edits: int = 2,
     least_chars: int = 24,
-    block: int = 1000,
+    block: int = 500,
     text_col: str = "text",
     id_col: str = "doc_id",
     short_lines: bool = False,
