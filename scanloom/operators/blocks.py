@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.sources.catalog import with_position
+
 
 def block_means(samples: DataFrame, size: int, inclusive: bool = False, op=F.avg) -> DataFrame:
     """(det, block, value, n): op over blocks of `size` samples; the last partial block counts if inclusive."""
@@ -77,7 +79,7 @@ def sensitive(rms: DataFrame, least: float, spread: float = 0.2, most: float = 1
     """Detectors whose rms is in [least, least * most) and within a factor 1 / spread of the median of those."""
     some = rms.where((F.col("rms") >= least) & (F.col("rms") < least * most))
     mid = F.broadcast(some.agg(F.median("rms").alias("mid")))  # one row
-    return some.crossJoin(mid).where(F.col("rms").between(F.col("mid") * spread, F.col("mid") / spread)).select(*rms.columns)
+    return some.crossJoin(mid).where((F.col("rms") > F.col("mid") * spread) & (F.col("rms") < F.col("mid") / spread)).select(*rms.columns)
 
 
 def robust_mean(df: DataFrame, by: list[str], value: str, quantile: float = 0.1) -> DataFrame:
@@ -123,3 +125,21 @@ def pair_rotated(samples: DataFrame) -> DataFrame:
 def detwise_adjoint(samples: DataFrame, x: Column) -> DataFrame:
     """(det, a, b): sums of value * x and of value, the transpose of adding a * x + b."""
     return samples.groupBy("det").agg(F.sum(F.col("value") * x).alias("a"), F.sum("value").alias("b"))
+
+
+def last_crossing(samples: DataFrame, reference: Column, period: float) -> DataFrame:
+    """(det, samp): the last sample after which the value changes sides of the reference, jumps by more than half a
+    period left out; detectors without a crossing drop out."""
+    w = Window.partitionBy("det").orderBy("samp")
+    side = F.signum(F.col("value") - reference)
+    at = samples.withColumn("__side", side)
+    crossed = (F.lead("__side").over(w) != F.col("__side")) & (F.abs(F.lead("value").over(w) - F.col("value")) <= period / 2)
+    return at.withColumn("__x", crossed).where("__x").groupBy("det").agg(F.max("samp").alias("samp"))
+
+
+def inverse_weights(weights: DataFrame, order: str, tol: float = 1e-6, step: int = 100) -> DataFrame:
+    """weights with `inverse`: 1 / ivar, or 0 where ivar is at most tol times the mean of every step-th weight, by
+    `order` (unique), that is not 0."""
+    some = with_position(weights.where("ivar <> 0").select(order, "ivar"), order).where(F.col("pos") % step == 0)
+    mean = F.broadcast(some.agg(F.avg("ivar").alias("__mean")))  # one row
+    return weights.crossJoin(mean).withColumn("inverse", F.when(F.col("ivar") > F.col("__mean") * tol, 1 / F.col("ivar")).otherwise(0.0)).drop("__mean")

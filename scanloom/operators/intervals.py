@@ -80,21 +80,31 @@ def in_ranges(samples: DataFrame, ranges: DataFrame, lo: str, hi: str, det: str
 
 
 def border_means(samples: DataFrame, cuts: DataFrame, n: int, nsamp: DataFrame) -> DataFrame:
-    """cuts with the means of the n samples left and right of each range; one that is missing is the other's."""
+    """cuts with the means of the n samples left [l0, lo) and right [hi, r1) of each range; one that is missing is the
+    other's."""
     edges = with_borders(cuts.join(nsamp, "det"), n, nsamp=F.col("nsamp"))
     keys = ["det", "lo", "hi"]
     left = in_ranges(samples.select("det", "samp", "value"), edges.select(*keys, "l0", F.col("lo").alias("l1")), "l0", "l1")
     right = in_ranges(samples.select("det", "samp", "value"), edges.select(*keys, F.col("hi").alias("r0"), "r1"), "r0", "r1")
     a = left.groupBy(*keys).agg(F.avg("value").alias("left"))
     b = right.groupBy(*keys).agg(F.avg("value").alias("right"))
-    out = cuts.select(*keys).join(a, keys, "left").join(b, keys, "left")
+    out = edges.select(*keys, "l0", "r1").join(a, keys, "left").join(b, keys, "left")
     both = {"left": F.coalesce("left", "right", F.lit(0.0)), "right": F.coalesce("right", "left", F.lit(0.0))}
     return out.withColumns(both)
 
 
+def at_edges(means: DataFrame) -> DataFrame:
+    """border_means() as they would be next to the range, at lo - 1 and at hi, if the values followed a line."""
+    at_left = (F.col("l0") + F.col("lo") - 1) / 2
+    at_right = F.greatest((F.col("hi") + F.col("r1") - 1) / 2, at_left + 1)
+    slope = (F.col("right") - F.col("left")) / (at_right - at_left)
+    on_line = lambda at: F.col("left") + slope * (at - at_left)
+    return means.withColumns({"left": on_line(F.col("lo") - 1), "right": on_line(F.col("hi"))})
+
+
 def gap_filled(samples: DataFrame, cuts: DataFrame, n: int, nsamp: DataFrame) -> DataFrame:
-    """Values inside the ranges replaced by the line between the border means."""
-    means = border_means(samples, cuts, n, nsamp)
+    """Values inside the ranges replaced by the line through the border means, each taken at the middle of its samples."""
+    means = at_edges(border_means(samples, cuts, n, nsamp))
     inside = in_ranges(samples.select("det", "samp"), means, "lo", "hi")
     share = (F.col("samp") - F.col("lo") + 1) / (F.col("hi") - F.col("lo") + 1)
     line = inside.select("det", "samp", (F.col("left") + (F.col("right") - F.col("left")) * share).alias("__line"))
@@ -113,3 +123,9 @@ def cleared(samples: DataFrame, cuts: DataFrame) -> DataFrame:
     """Values inside the ranges set to 0."""
     inside = in_ranges(samples.select("det", "samp"), cuts, "lo", "hi").select("det", "samp", F.lit(True).alias("__in")).distinct()
     return samples.join(inside, ["det", "samp"], "left").withColumn("value", F.when(F.col("__in"), 0.0).otherwise(F.col("value"))).drop("__in")
+
+
+def repeated(cuts: DataFrame, ndet: int, times: int, det: str = "det") -> DataFrame:
+    """cuts for `times` copies of ndet detectors, those of copy k numbered from k * ndet."""
+    copies = F.explode(F.sequence(F.lit(0), F.lit(times - 1)))
+    return cuts.withColumn("__k", copies).withColumn(det, F.col(det) + F.col("__k") * ndet).drop("__k")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from scanloom.sources.catalog import DET_COUNTS, FLAVOR_BANDS
 
-#: Tags that say nothing about an observation: ids of wafers, numbers, scan codes and the like (fixed values).
-DULL_TAGS = r"^(uid-.*|.*_SCAN_.*|[0-9.]+|ws[0-9]+|rising|setting|[0-9a-f]{8}-[0-9a-f-]{27})$"
+#: Tags that say nothing about an observation: ids, scan codes, two numbers, wafer slots and directions (fixed values).
+DULL_TAGS = r"^uid-|_SCAN_|^[0-9]+-[0-9]+$|^([A-Za-z0-9_][0-9]_)?ws[0-9]$|^[0-9a-f]+(-[0-9a-f]+){4}$|^(rising|setting)$"
 
 
 def hour_of_day(ctime: Column) -> Column:

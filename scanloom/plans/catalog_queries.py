@@ -52,9 +52,15 @@ def tags_column(spark, d):
     return selection.with_tag_list(_obs(spark, d), catalog.tags(spark, d)).select("obs_id", "tags")
 
 
+#: A tag of each kind that is left out or only looks like one.
+KINDS = ("uid-7", "x_SCAN_y", "12-34", "123", "3.5", "ws1", "ws12", "i1_ws0", "1f-0-9c-7-ab", "1f-0-9c", "rising", "rising2")
+
+
 def filtered_tags(spark, d):
-    marked = catalog.tags(spark, d).union(catalog.tags(spark, d).select("obs_key", F.concat(F.lit("uid-"), "tag")))
-    return selection.with_tag_list(_obs(spark, d), marked, dull=selection.DULL_TAGS).select("obs_id", "tags")
+    """Tags without the dull ones; every observation of the tag R gets a tag of each kind."""
+    known = catalog.tags(spark, d)
+    more = known.where("tag = 'R'").select("obs_key", F.explode(F.array(*map(F.lit, KINDS))).alias("tag"))
+    return selection.with_tag_list(_obs(spark, d), known.union(more), dull=selection.DULL_TAGS).select("obs_id", "tags")
 
 
 def idlist_order(spark, d):
@@ -274,7 +280,10 @@ ORACLE_SQL = {
     "tag_semi": q(OBS, select="select obs_id, ctime from obs where obs_key in (select l_orderkey from lineitem where l_returnflag = 'R' or l_linestatus = 'R')"),
     "tag_anti": q(OBS, select="select obs_id, ctime from obs where not exists (select 1 from lineitem where l_orderkey = obs_key and (l_returnflag = 'R' or l_linestatus = 'R'))"),
     "tags_column": q(OBS, TAGS, select="select obs_id, string_agg(tag, ',' order by tag) as tags from obs left join tags using (obs_key) group by obs_id"),
-    "filtered_tags": q(OBS, TAGS, select="select obs_id, string_agg(tag, ',' order by tag) as tags from obs left join tags using (obs_key) group by obs_id"),
+    "filtered_tags": q(OBS, TAGS, f"""more as (select * from tags union select obs_key, unnest({list(KINDS)}) from tags where tag = 'R'),
+        kept as (select * from more where not (starts_with(tag, 'uid-') or contains(tag, '_SCAN_') or regexp_matches(tag, '^[0-9]+-[0-9]+$') or regexp_matches(tag, '^([A-Za-z0-9_][0-9]_)?ws[0-9]$')
+        or regexp_matches(tag, '^[0-9a-f]+-[0-9a-f]+-[0-9a-f]+-[0-9a-f]+-[0-9a-f]+$') or tag in ('rising', 'setting')))""",
+        select="select obs_id, string_agg(tag, ',' order by tag) as tags from obs left join kept using (obs_key) group by obs_id"),
     "idlist_order": "select 'obs_' || o_orderkey as obs_id, -o_orderkey as pos from orders where o_orderkey % 97 = 5",
     "slice_positional": """with p as (select o_orderkey as obs_key, row_number() over (order by o_orderkey) - 1 as pos, count(*) over () as n from orders)
         select obs_key, pos from p where pos >= 10 and pos < n - 20 and (pos - 10) % 7 = 0""",

@@ -335,9 +335,11 @@ def cg_map(spark, d):
 
 MEANS = """bord as (select m.det, lo, hi, greatest(lo - 5, coalesce(lag(hi) over w, 0)) as l0, least(hi + 5, lead(lo) over w, nsamp) as r1
     from merged m join ns using (det) window w as (partition by m.det order by lo)),
-    sides as (select b.det, b.lo, b.hi, avg(value) filter (where s.samp >= l0 and s.samp < lo) as a, avg(value) filter (where s.samp >= hi and s.samp < r1) as b
-    from bord b left join samp s on s.det = b.det and s.samp >= l0 and s.samp < r1 group by b.det, b.lo, b.hi),
-    means as (select det, lo, hi, coalesce(a, b, 0) as l, coalesce(b, a, 0) as r from sides)"""
+    sides as (select b.det, b.lo, b.hi, l0, r1, avg(value) filter (where s.samp >= l0 and s.samp < lo) as a, avg(value) filter (where s.samp >= hi and s.samp < r1) as b
+    from bord b left join samp s on s.det = b.det and s.samp >= l0 and s.samp < r1 group by b.det, b.lo, b.hi, l0, r1),
+    means as (select det, lo, hi, l0, r1, coalesce(a, b, 0) as l, coalesce(b, a, 0) as r from sides)"""
+EDGED = """mids as (select *, (l0 + lo - 1) / 2 as ml, greatest((hi + r1 - 1) / 2, (l0 + lo - 1) / 2 + 1) as mr from means),
+    edged as (select det, lo, hi, l + (r - l) / (mr - ml) * (lo - 1 - ml) as l, l + (r - l) / (mr - ml) * (hi - ml) as r from mids)"""
 EDGES = """edges as (select det, nsamp, avg(value) filter (where samp < 10) as v1, avg(value) filter (where samp >= nsamp - 10) as v2
     from samp join ns using (det) group by det, nsamp)"""
 POL = "count(*) as hits, sum(w) as tt, sum(w * cos(2 * psi)) as tq, sum(w * sin(2 * psi)) as tu, sum(w * cos(2 * psi) ** 2) as qq, sum(w * cos(2 * psi) * sin(2 * psi)) as qu, sum(w * sin(2 * psi) ** 2) as uu"
@@ -373,8 +375,8 @@ ORACLE_SQL = {
     "cut_extract": q(SAMP, CUTS, WIDE, select="select s.det, samp, value from samp s join merged m on s.det = m.det and samp >= lo and samp < hi"),
     "cut_clear": q(SAMP, CUTS, WIDE, """c as (select s.det, case when exists (select 1 from merged m where m.det = s.det and samp >= lo and samp < hi) then 0 else value end as v from samp s)""",
         select="select det, round(sum(v), 6) as total, count(*) filter (where v = 0) as zero from c group by det"),
-    "gapfill": q(SAMP, CUTS, WIDE, MEANS, select="""select s.det, samp, round(case when m.lo is null then value else l + (r - l) * ((samp - lo + 1) / (hi - lo + 1)) end + 1.23e-9, 6) as value
-        from samp s left join means m on m.det = s.det and samp >= lo and samp < hi"""),
+    "gapfill": q(SAMP, CUTS, WIDE, MEANS, EDGED, select="""select s.det, samp, round(case when m.lo is null then value else l + (r - l) * ((samp - lo + 1) / (hi - lo + 1)) end + 1.23e-9, 6) as value
+        from samp s left join edged m on m.det = s.det and samp >= lo and samp < hi"""),
     "dejump": q(SAMP, CUTS, WIDE, MEANS, select="""select s.det, samp, round(value - coalesce(sum(r - l) over (partition by s.det order by samp rows unbounded preceding), 0), 6) as value
         from samp s left join means m on m.det = s.det and samp = lo"""),
     "downgrade": q(SAMP, select="select det, samp // 10 as block, round(avg(value), 6) as value, count(*) as n from samp group by 1, 2 having count(*) = 10"),
@@ -395,7 +397,7 @@ ORACLE_SQL = {
         select="select det, round(median(s), 6) as rms from s group by det"),
     "sensitivity_cut": q(SAMP, """s as (select det, stddev_pop(value) as s from samp group by det, samp // 16 having count(*) = 16),
         r as (select det, median(s) as rms from s group by det), k as (select * from r where rms >= 40 and rms < 400000), m as (select median(rms) as mid from k)""",
-        select="select det, round(rms, 6) as rms from k cross join m where rms between mid * 0.9 and mid / 0.9"),
+        select="select det, round(rms, 6) as rms from k cross join m where rms > mid * 0.9 and rms < mid / 0.9"),
     "robust_mean": """with p as (select event_type, value, count(*) over (partition by event_type) as n, row_number() over (partition by event_type order by value) - 1 as k from events)
         select event_type, round(avg(value), 6) as mean, round(stddev_pop(value) / sqrt(count(*)), 6) as err, count(*) as n from p
         where k >= floor(n * 0.1) and k < n - floor(n * 0.1) group by event_type""",
