@@ -1,113 +1,124 @@
-"""Adaptive context-mixing range coder for token ids, many blocks abreast.
+"""Adaptive context-mixing range coder for token ids.
 
-Every block starts from the same empty model. For each id the model holds three predictions: of order 2 (the id that
-followed the last two ids), of order 1 (the id that followed the last one) and of order 0 (how often ids occurred so
-far, as high and low byte). The three are mixed into one distribution, lambda2 on the first id, lambda1 on the second
-and the rest spread as order 0 says; the weights are learned for each state of the two predictions (how often each
-held before, and whether they agree). An id takes the interval of the highest order that predicted it.
+Ids are coded in blocks that start from an empty model each and know nothing of one another. Within a block, its ids are
+dealt in runs to many lanes, which share one model and take a step together as arrays; a lane has a code of its own.
 
-Blocks are independent, so a step of the model and of the coder works on one id of each of many blocks as arrays.
-All arithmetic is in integers: encoder and decoder agree on every machine. A short last block is filled up with zeros,
-which cost next to nothing and are dropped.
+For each id the model holds three predictions: of order 2 (the id that followed the last two ids), of order 1 (the id
+that followed the last one) and of order 0 (how often ids occurred so far). They are mixed into one distribution: a
+share for the first id, one for the second, and the rest spread as order 0 says. The shares are learned for each state
+of the two predictions (how often each held before, and whether they agree). An id takes the interval of the highest
+order that predicted it.
+
+All arithmetic is in integers: encoder and decoder agree on every machine. Where lanes meet in one context in a step,
+the greatest of their new entries stays, in whatever order they are written. A run that is shorter than the others is
+filled up with zeros, which are dropped.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
 
-BITS = 16  # of the totals of the mixed distribution
+IDS = 1 << 16
+BITS = 24  # of the totals of the mixed distribution
 ONE = 1 << BITS
-LEFT = 1 << 13  # of the total that order 0 has at least
-SLOTS1, SLOTS2 = 256, 1024
-REFRESH = 128  # steps between two rebuilds of the order-0 tables; the first ones come sooner
-TABLE_BITS = 15
+LEFT = 1 << 21  # of the total that order 0 has at least
+TABLE_BITS = 20  # of the totals of order 0
+LANES, LEAST_STEPS = 4096, 128  # lanes of a block at most, and steps that are worth a lane
+HASH_BITS = 18  # of the order-2 contexts at most
 _U32, _U64 = np.uint32, np.uint64
 _TOP, _32, _LOW = _U64(1 << 32), _U64(32), _U64((1 << 32) - 1)
-_BITS, _TABLE = _U64(BITS), _U64(TABLE_BITS)
+_BITS, _ID, _SURE, _SUREST = _U64(BITS), _U32(IDS - 1), _U32(IDS), _U32(3 * IDS)
+#: What happened to an id: order 2 had it, order 1 had it, it was left to order 0.
+HIT2, HIT1, MISS = 0, 1, 2
+
+
+def _cumulated(count: np.ndarray) -> np.ndarray:
+    """Cumulative frequencies in proportion to the counts, at least 1 for each id, that end at 2^TABLE_BITS."""
+    cum = np.zeros(IDS + 1, np.int64)
+    np.cumsum(count * ((1 << TABLE_BITS) - IDS) // int(count.sum()) + 1, out=cum[1:])
+    cum[IDS] = 1 << TABLE_BITS
+    return cum
+
+
+def _inverse(cum: np.ndarray) -> np.ndarray:
+    """The id whose share holds a place of the table."""
+    return np.repeat(np.arange(IDS, dtype=np.int64), np.diff(cum))
+
+
+@functools.cache
+def _even() -> tuple[np.ndarray, np.ndarray]:
+    """The tables of order 0 before the first id."""
+    cum = _cumulated(np.ones(IDS, np.int64))
+    return cum, _inverse(cum)
 
 
 class _Model:
-    """Predictions and weights of `lanes` blocks."""
-
-    def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.base1, self.base2, self.base_s, self.base_b, self.base_c = (lane * k for k in (SLOTS1, SLOTS2, 32, 257, 256))
-        self.slot1 = np.full(lanes * SLOTS1, 0xFFFFFFFC, _U32)  # id << 2 | confidence
-        self.slot2 = np.full(lanes * SLOTS2, 0xFFFFFFFC, _U32)
-        by_conf2 = np.repeat(np.array([2000, 8000, 16000, 24000], np.int64), 4)
-        self.weight2 = np.tile(np.concatenate((by_conf2, by_conf2 + 8000)), lanes)
-        self.weight1 = np.tile(np.array([2000, 6000, 12000, 20000], np.int64), 8 * lanes)
-        self.count_hi = np.ones(lanes * 256, np.int32)
-        self.count_lo = np.ones(lanes * 256, np.int32)
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.steps = 0
+    """The model of a block. Entries of the tables are confidence << 16 | predicted id."""
+
+    def __init__(self, lanes: int, n: int):
+        self.mask = (1 << min(HASH_BITS, max(8, n.bit_length()))) - 1
+        self.slot1, self.slot2 = np.zeros(IDS, _U32), np.zeros(self.mask + 1, _U32)
+        # by state (agreement, confidence of order 2, of order 1) and what happened: at first a guess worth 64 ids
+        held2, held1 = np.array([2, 8, 20, 36])[:, None], np.array([2, 6, 12, 20])
+        apart = np.stack(np.broadcast_arrays(held2, held1 * (64 - held2) // 64, 0, 0), 2)
+        agree = np.stack(np.broadcast_arrays(np.minimum(held2 + held1, 56), 0 * held1, 0, 0), 2)
+        self.seen = np.concatenate((apart, agree)).reshape(32, 4).astype(np.int64)
+        self.seen[:, MISS] = 64 - self.seen.sum(1)
+        self.count, self.counted, self.steps = np.ones(IDS, np.int64), 0, 0
+        self.last = self.before = np.zeros(lanes, np.int64)
+
+    def refresh(self, grid: np.ndarray, invert: bool) -> None:
+        """Brings the tables of the mixture and of order 0 up to date, at steps that both sides know; the rows of `grid`
+        before the present step are the ids so far."""
+        n = self.steps
+        if n < 16 or n % 8 == 0:
+            total = self.seen.sum(1)
+            mass2, mass1 = ((self.seen[:, k] * (ONE - LEFT) // total + 1 for k in (HIT2, HIT1)))
+            mass1[16:] = 0
+            low0 = mass2 + mass1
+            start = np.stack((0 * mass2, mass2, low0, low0), 1)
+            span = np.stack((mass2, mass1, ONE - low0, ONE - low0), 1)
+            self.start, self.span = start.ravel().astype(_U64), span.ravel().astype(_U64)
+            self.mass2, self.low0, self.rest = mass2, low0, ONE - low0
+        if n == 0:
+            self.cum, self.inverse = _even()
+        elif n & (n - 1) == 0 or n % 64 == 0:
+            self.count += 16 * np.bincount(grid[self.counted : n].ravel(), minlength=IDS)
+            self.counted = n
+            self.cum = _cumulated(self.count)
+            if invert:
+                self.inverse = _inverse(self.cum)
 
     def predict(self) -> None:
-        n = self.steps
-        if n % REFRESH == 0 or n in (8, 24, 64):
-            self.cum_hi, self.cum_lo = self._table(self.count_hi), self._table(self.count_lo)
-        self.at1 = (self.last & (SLOTS1 - 1)) + self.base1
-        self.at2 = ((self.last * 37 + self.before) & (SLOTS2 - 1)) + self.base2
-        self.s1, self.s2 = self.slot1.take(self.at1), self.slot2.take(self.at2)
-        self.id1, self.id2 = self.s1 >> _U32(2), self.s2 >> _U32(2)
-        self.conf1, self.conf2 = self.s1 & _U32(3), self.s2 & _U32(3)
-        self.agree = self.id1 == self.id2
-        self.state = (self.conf2 << _U32(2)) + self.conf1 + (self.agree.view(np.uint8) << np.uint8(4)) + self.base_s
-        self.w2, self.w1 = self.weight2.take(self.state), self.weight1.take(self.state)
-        self.mass2 = (self.w2 * 7 >> 3) + 1
-        self.mass1 = (((ONE - LEFT) - self.mass2) * self.w1 >> BITS + 1) + 1
-        self.mass1 *= ~self.agree
-        self.low0 = self.mass2 + self.mass1
-        self.rest = ONE - self.low0
-
-    @staticmethod
-    def _table(count: np.ndarray) -> np.ndarray:
-        """Cumulative frequencies that end at 2^15, at least 8 for each byte."""
-        grid = count.reshape(-1, 256)
-        scale = ((((1 << TABLE_BITS) - 8 * 256) << 16) // grid.sum(1)).astype(np.int64)
-        out = np.zeros((len(grid), 257), np.int32)
-        np.cumsum((grid * scale[:, None] >> 16) + 8, axis=1, out=out[:, 1:])
-        out[:, 256] = 1 << TABLE_BITS
-        return out.ravel()
-
-    def interval0(self, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of a high byte's share of what is left to order 0."""
-        at = hi + self.base_b
-        return self.cum_hi.take(at) * self.rest >> TABLE_BITS, self.cum_hi.take(at + 1) * self.rest >> TABLE_BITS
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.weight2[self.state] = self.w2 + (hit2 * (ONE - 128) + 64 - self.w2 >> 5)
-        step1 = hit1 * (ONE - 128) + 64 - self.w1 >> 5
-        step1 *= ~(hit2 | self.agree)
-        self.weight1[self.state] = self.w1 + step1
-        packed = (ids << 2).astype(_U32)
-        for slot, at, s, known, conf in (
-            (self.slot1, self.at1, self.s1, self.id1, self.conf1),
-            (self.slot2, self.at2, self.s2, self.id2, self.conf2),
-        ):
-            sure = conf > 0
-            slot[at] = np.where(known == (packed >> _U32(2)), s + (conf < 3), np.where(sure, s - sure, packed))
-        at = (ids >> 8) + self.base_c
-        self.count_hi[at] = self.count_hi.take(at) + 24
-        at = (ids & 255) + self.base_c
-        self.count_lo[at] = self.count_lo.take(at) + 24
+        self.at2 = (self.last * 40503 + self.before * 9973) & self.mask
+        self.s1, self.s2 = self.slot1.take(self.last), self.slot2.take(self.at2)
+        self.id1, self.id2 = self.s1 & _ID, self.s2 & _ID
+        self.state = ((self.s2 >> 16 << 2) + (self.s1 >> 16) + ((self.id1 == self.id2).view(np.uint8) << 4)).astype(np.int64)
+
+    def interval0(self, ids: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the ids' shares of what is left to order 0."""
+        return self.cum.take(ids) * rest >> TABLE_BITS, self.cum.take(ids + 1) * rest >> TABLE_BITS
+
+    def update(self, ids: np.ndarray, key: np.ndarray) -> None:
+        """Learns from a step: its ids, and 4 * state + what happened."""
+        self.seen += np.bincount(key, minlength=128).reshape(32, 4)
+        x = ids.astype(_U32)
+        for slot, at, s, known in ((self.slot1, self.last, self.s1, self.id1), (self.slot2, self.at2, self.s2, self.id2)):
+            held = np.where(s >= _SURE, s - _SURE, x)
+            new = np.where(known == x, np.minimum(s + _SURE, s | _SUREST), held)
+            slot[at] = 0
+            np.maximum.at(slot, at, new)
         self.before, self.last = self.last, ids
         self.steps += 1
 
 
-def _blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids by place and block, filled up with zeros, and the lengths of the blocks."""
-    n = -(-len(ids) // block)
-    width = block if n > 1 else len(ids)
-    grid = np.zeros(n * width, np.int64)
-    grid[: len(ids)] = ids
-    sizes = np.full(n, width, np.int64)
-    if n:
-        sizes[-1] = len(ids) - (n - 1) * width
-    return np.ascontiguousarray(grid.reshape(n, width).T), sizes
+def _shape(n: int) -> tuple[int, int]:
+    """Steps and lanes of a block of n ids."""
+    lanes = min(LANES, max(1, n // LEAST_STEPS))
+    return -(-n // lanes), lanes
 
 
 def _narrow(low: np.ndarray, width: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,111 +131,103 @@ def _narrow(low: np.ndarray, width: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return some, span
 
 
-def encode_blocks(ids: np.ndarray, block: int) -> list[tuple[int, bytes]]:
-    """(number of ids, code) of consecutive blocks of at most `block` ids; ids are below 2^16."""
-    if len(ids) and int(ids.max()) >= ONE:
-        raise ValueError("ids of 2^16 and more are not covered")
-    grid, sizes = _blocks(ids, block)
-    n = len(sizes)
-    if not n:
-        return []
-    model = _Model(n)
-    low, width = np.zeros(n, _U64), np.full(n, 2**64 - 1, _U64)
-    room = len(grid) + 4
-    out = np.zeros(n * room, _U32)
-    spot = np.arange(n) * room
+def _encode(ids: np.ndarray) -> bytes:
+    steps, lanes = _shape(len(ids))
+    grid = np.zeros(lanes * steps, np.int64)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    model = _Model(lanes, len(ids))
+    low, width = np.zeros(lanes, _U64), np.full(lanes, 2**64 - 1, _U64)
+    room = steps + 4
+    out = np.zeros(lanes * room, _U32)
+    first = np.arange(lanes) * room
+    spot = first.copy()
     with np.errstate(over="ignore"):
         for x in grid:
+            model.refresh(grid, False)
             model.predict()
             x32 = x.astype(_U32)
-            hit2 = x32 == model.id2
-            hit1 = (x32 == model.id1) & ~hit2
-            hit = hit1 | hit2
-            a, b = model.interval0(x >> 8)
-            start = np.where(hit, model.mass2 * hit1, model.low0 + a)
-            span = np.where(hit, np.where(hit2, model.mass2, model.mass1), b - a)
+            key = np.where(x32 == model.id2, HIT2, np.where(x32 == model.id1, HIT1, MISS))
+            missed = np.flatnonzero(key == MISS)
+            key += model.state << 2
+            start, span = model.start.take(key), model.span.take(key)
+            a, b = model.interval0(x[missed], model.rest.take(model.state[missed]))
+            start[missed] += a.astype(_U64)
+            span[missed] = (b - a).astype(_U64)
             part = width >> _BITS
-            low += part * start.astype(_U64)
-            part *= span.astype(_U64)
-            part >>= _TABLE
-            # the low byte, if the id is spelt; else the whole interval
-            at = (x & 255) + model.base_b
-            a = model.cum_lo.take(at)
-            span = np.where(hit, 1 << TABLE_BITS, model.cum_lo.take(at + 1) - a)
-            a *= ~hit
-            low += part * a.astype(_U64)
-            width = part * span.astype(_U64)
+            low += part * start
+            width = part * span
             at = np.flatnonzero(width < _TOP)
             some, span = _narrow(low, width, at)
-            out[spot[at]] = (some >> _32).astype(_U32)
-            spot[at] += 1
+            to = spot[at]
+            out[to] = (some >> _32).astype(_U32)
+            spot[at] = to + 1
             low[at] = some << _32
             width[at] = span << _32
-            model.update(x, hit2, hit1)
+            model.update(x, key)
         value = low + (width >> _U64(1))  # two words name a value inside the last interval
         out[spot] = (value >> _32).astype(_U32)
         out[spot + 1] = value.astype(_U32)
-    ends = spot + 2
-    return [(int(m), out[k * room : int(ends[k])].astype("<u4").tobytes()) for k, m in enumerate(sizes)]
-
-
-def decode_blocks(blocks: list[tuple[int, bytes]]) -> np.ndarray:
-    """The ids of encode_blocks()'s blocks, one after the other; damaged code gives some ids, which a checksum tells."""
-    if not blocks:
-        return np.empty(0, np.int64)
-    n = len(blocks)
-    sizes = np.array([m for m, _ in blocks], np.int64)
-    words = [np.frombuffer(b, "<u4") for _, b in blocks]
-    starts = np.cumsum([0, *(len(w) + 4 for w in words[:-1])])
-    flat = np.zeros(int(starts[-1]) + len(words[-1]) + 4, _U64)
-    for s, w in zip(starts.tolist(), words):
-        flat[s : s + len(w)] = w
-    model = _Model(n)
-    low, width = np.zeros(n, _U64), np.full(n, 2**64 - 1, _U64)
-    code = (flat[starts] << _32) | flat[starts + 1]
-    spot, last = starts + 2, len(flat) - 1
-    grid = np.zeros((int(sizes.max()), n), np.int64)
-
-    def find(table: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """The last entry of each lane's table that is not above the target."""
-        at, target = model.base_b, target.astype(np.int32)
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            at = at + (table.take(at + step) <= target) * step
-        return at
-
+    words = spot + 2 - first
+    used = np.arange(room) < words[:, None]
+    return words.astype("<u4").tobytes() + out.reshape(lanes, room)[used].astype("<u4").tobytes()
+
+
+def _decode(n: int, code: bytes) -> np.ndarray:
+    steps, lanes = _shape(n)
+    flat = np.frombuffer(code, "<u4")
+    words, flat = flat[:lanes].astype(np.int64), flat[lanes:].astype(_U64)
+    if len(words) < lanes or int(words.sum()) != len(flat) or int(words.min()) < 2:
+        raise ValueError("the codes of a block's lanes do not fit its length")
+    model = _Model(lanes, n)
+    spot, last = np.cumsum(words) - words + 2, len(flat) - 1
+    low, width = np.zeros(lanes, _U64), np.full(lanes, 2**64 - 1, _U64)
+    ahead = (flat[spot - 2] << _32) | flat[spot - 1]
+    grid = np.zeros((steps, lanes), np.int64)
     with np.errstate(over="ignore"):
-        for k in range(len(grid)):
+        for x in grid:
+            model.refresh(grid, True)
             model.predict()
             part = width >> _BITS
-            value = np.minimum((code - low) // part, _U64(ONE - 1)).astype(np.int64)
-            hit2 = value < model.mass2
-            hit = value < model.low0
-            hit1 = hit & ~hit2
-            # the last byte whose share begins at or before the value
-            hi = find(model.cum_hi, ((value - model.low0 + 1 << TABLE_BITS) - 1) // model.rest) - model.base_b
-            a, b = model.interval0(hi)
-            start = np.where(hit, model.mass2 * hit1, model.low0 + a)
-            span = np.where(hit, np.where(hit2, model.mass2, model.mass1), b - a)
-            low += part * start.astype(_U64)
-            part *= span.astype(_U64)
-            part >>= _TABLE
-            value = np.minimum((code - low) // part, _U64((1 << TABLE_BITS) - 1)).astype(np.int64)
-            at = find(model.cum_lo, value)
-            a = model.cum_lo.take(at)
-            span = np.where(hit, 1 << TABLE_BITS, model.cum_lo.take(at + 1) - a)
-            a *= ~hit
-            low += part * a.astype(_U64)
-            width = part * span.astype(_U64)
-            x = np.where(hit, np.where(hit2, model.id2, model.id1), (hi << 8) + (at - model.base_b)) & (ONE - 1)
+            value = np.minimum((ahead - low) // part, _U64(ONE - 1)).astype(np.int64)
+            two, left = value < model.mass2.take(model.state), value >= model.low0.take(model.state)
+            key = np.where(two, HIT2, np.where(left, MISS, HIT1))
+            x[:] = np.where(two, model.id2, model.id1)
+            missed = np.flatnonzero(left)
+            rest = model.rest.take(model.state[missed])
+            # the last id whose share begins at or before the value
+            value = value[missed] - (ONE - rest)
+            x[missed] = found = model.inverse.take(((value + 1 << TABLE_BITS) - 1) // rest)
+            key += model.state << 2
+            start, span = model.start.take(key), model.span.take(key)
+            a, b = model.interval0(found, rest)
+            start[missed] += a.astype(_U64)
+            span[missed] = (b - a).astype(_U64)
+            low += part * start
+            width = part * span
             at = np.flatnonzero(width < _TOP)
             some, span = _narrow(low, width, at)
             low[at] = some << _32
             width[at] = span << _32
-            code[at] = (code[at] << _32) | flat[np.minimum(spot[at], last)]
-            spot[at] += 1
-            grid[k] = x
-            model.update(x, hit2, hit1)
-    return np.concatenate([grid[:m, k] for k, m in enumerate(sizes.tolist())])
+            of = spot[at]
+            ahead[at] = (ahead[at] << _32) | flat[np.minimum(of, last)]
+            spot[at] = of + 1
+            model.update(x, key)
+    return grid.T.ravel()[:n]
+
+
+def encode_blocks(ids: np.ndarray, block: int) -> list[tuple[int, bytes]]:
+    """(number of ids, code) of consecutive blocks of at most `block` ids; ids are below 2^16."""
+    if len(ids) and int(ids.max()) >= IDS:
+        raise ValueError("ids of 2^16 and more are not covered")
+    parts = (ids[k : k + block] for k in range(0, len(ids), block))
+    return [(len(p), _encode(p)) for p in parts]
+
+
+def decode_blocks(blocks: list[tuple[int, bytes]]) -> np.ndarray:
+    """The ids of encode_blocks()'s blocks, one after the other; damaged code gives some ids, which a checksum tells, or
+    a ValueError."""
+    return np.concatenate([_decode(n, code) for n, code in blocks]) if blocks else np.empty(0, np.int64)
 
 
 def checksum(ids: np.ndarray) -> int:

@@ -4,14 +4,14 @@ A file holds the ids of consecutive documents (by ascending id) in blocks of mix
 ids, its length and a CRC-32 of its ids, and ends with an index: document ids and numbers of tokens. Files lie in a
 folder that all executors share; a task writes under a name of its attempt and moves the finished file to its name.
 
-    file   = magic, chunk*, index, index length (u64), ids in the file (u64), magic
-    chunk  = number of blocks (u32), block*: blocks of equal length but for the last, which are coded abreast
+    file   = magic, block*, index, index length (u64), ids in the file (u64), magic
     block  = ids (u32), bytes (u32), crc32 (u32), code
     index  = zlib of: n (u64), n * id (i64), n * null flag (u8), n * tokens (u64)
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import unicodedata
@@ -29,10 +29,8 @@ from scanloom.llm.common import new_path, slices, spread, texts_of, written
 from scanloom.llm.mixing_coder import checksum, decode_blocks, encode_blocks
 
 MAGIC = b"SCLTOK1\n"
-#: Ids of a block, and blocks of a chunk, at most; one times the other ids are held at a time. A chunk with fewer ids
-#: has shorter blocks rather than fewer, as a step costs about the same for few blocks as for many.
-BLOCK = ABREAST = 2048
-LEAST_BLOCK = 128
+#: Ids of a block at most, which are held at a time.
+BLOCK = 1 << 21
 
 
 def _ragged(start: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -52,7 +50,7 @@ class WordTokenizer:
     #: Marks that stay together behind letters and start neither a contraction nor a special token.
     MARKS = ".,;:!?*$%&#"
 
-    def __init__(self, path: str, table_parts: int = 300_000):
+    def __init__(self, path: str, table_parts: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -73,7 +71,7 @@ class WordTokenizer:
             (plain if p.isalpha() and p.lower().isalpha() and unicodedata.is_normalized("NFC", p) else other).append(p)
         names, flats, counts = [], [], []
         groups = [plain[k : k + 512] for k in range(0, len(plain), 512)]
-        for group, code in zip(groups, self.lib.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+        for group, code in zip(groups, self.lib.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(code.ids, np.uint16)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(group):
@@ -82,7 +80,7 @@ class WordTokenizer:
                 counts.append(np.diff(stops, prepend=0))
             else:
                 other += group
-        for p, code in zip(other, self.lib.encode_batch(other, add_special_tokens=False)):
+        for p, code in zip(other, self.lib.encode_batch_fast(other, add_special_tokens=False)):
             names.append(p)
             flats.append(np.array(code.ids, np.uint16))
             counts.append(np.array([len(code.ids)]))
@@ -103,11 +101,12 @@ class WordTokenizer:
         alpha = pa.array(alpha)
         low = pc.if_else(ascii_, pc.ascii_lower(body), body)
         marked = pc.and_(alpha, pc.not_equal(pc.binary_length(words), pc.binary_length(body)))
-        at = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
-        marks = np.full(len(words), "", object)
-        cut = pa.array(at)
-        marks[at] = [w[len(b) :] for w, b in zip(words.take(cut).to_pylist(), body.take(cut).to_pylist())]
-        return pc.if_else(alpha, low, words), pa.array(marks, pa.string())
+        width = pc.if_else(marked, pc.subtract(pc.binary_length(words), pc.binary_length(body)), 0).to_numpy()
+        marks = pa.nulls(len(words), pa.string())
+        for m in np.unique(width).tolist():
+            some = pa.array(width == m)
+            marks = pc.replace_with_mask(marks, some, pc.utf8_slice_codeunits(words.filter(some), -m) if m else pa.scalar(""))
+        return pc.if_else(alpha, low, words), marks
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and the number of ids of each."""
@@ -123,9 +122,12 @@ class WordTokenizer:
         slots = []
         for x in (head, tail):
             names = x.dictionary.to_pylist()
-            if fresh := [p for p in names if p not in self.slot]:
-                self._learn(fresh)
-            slots.append(np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))[x.indices.to_numpy()])
+            known = list(map(self.slot.get, names))
+            if fresh := [k for k, slot in enumerate(known) if slot is None]:
+                self._learn([names[k] for k in fresh])
+                for k in fresh:
+                    known[k] = self.slot[names[k]]
+            slots.append(np.array(known, np.int64)[x.indices.to_numpy()])
         pair = np.stack(slots, 1).ravel()  # head and tail of every distinct word
         flat = self.flat[_ragged(self.start[pair], self.n[pair])]
         n = self.n[pair].reshape(-1, 2).sum(1)
@@ -136,6 +138,12 @@ class WordTokenizer:
         return ids, np.diff(bounds)
 
 
+@functools.lru_cache(2)
+def _tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this worker, which its tasks use one after the other, with the parts that they have met."""
+    return WordTokenizer(path)
+
+
 def write_tokens(
     docs: DataFrame, tokenizer: str, end_id: int = 2, text_col: str = "text", id_col: str = "doc_id", folder: str | None = None
 ) -> DataFrame:
@@ -154,7 +162,7 @@ def write_tokens(
         from pyarrow import fs
 
         at = TaskContext.get()
-        words = WordTokenizer(tokenizer)
+        words = _tokenizer(tokenizer)
         store, base = fs.FileSystem.from_uri(folder)
         name = f"part-{at.partitionId():05d}.tok"
         out = None
@@ -163,18 +171,13 @@ def write_tokens(
         def flush(everything: bool) -> None:
             nonlocal held, n_held, n_bytes
             data = np.concatenate(held) if held else np.empty(0, np.uint16)
-            full = len(data) if everything else len(data) // (BLOCK * ABREAST) * (BLOCK * ABREAST)
-            for start in range(0, full, BLOCK * ABREAST):
-                part = data[start : min(full, start + BLOCK * ABREAST)].astype(np.int64)
-                length = max(LEAST_BLOCK, -(-len(part) // ABREAST))
-                blocks = encode_blocks(part, length)
-                out.write(struct.pack("<I", len(blocks)))
-                for k, (m, code) in enumerate(blocks):
-                    out.write(struct.pack("<III", m, len(code), checksum(part[k * length : k * length + m])) + code)
-                    n_bytes += 12 + len(code)
+            full = len(data) if everything else len(data) // BLOCK * BLOCK
+            for k, (m, code) in enumerate(encode_blocks(data[:full], BLOCK)):
+                out.write(struct.pack("<III", m, len(code), checksum(data[k * BLOCK : k * BLOCK + m])) + code)
+                n_bytes += 12 + len(code)
             held, n_held = ([data[full:]], len(data) - full) if full < len(data) else ([], 0)
 
-        for b in slices(batches, 1000):
+        for b in slices(batches, 3000):
             if out is None:
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(draft := f"{base}/{name}.{at.taskAttemptId()}", compression=None)
@@ -186,7 +189,7 @@ def write_tokens(
             tokens_of += (counts + 1).tolist()
             n_held += len(held[-1])
             n_ids += len(held[-1])
-            if n_held >= BLOCK * ABREAST:
+            if n_held >= BLOCK:
                 flush(False)
         if out is None:
             return
@@ -230,36 +233,28 @@ class TokenFile:
         self.doc_ids = [None if z else i for i, z in zip(ids, nulls.tolist())]
         self.tokens = np.frombuffer(index, "<u8", n, 8 + 9 * n).astype(np.int64)
 
-    def chunks(self) -> Iterator[np.ndarray]:
-        """The ids, a chunk at a time; a block whose ids do not fit its checksum is an error."""
+    def blocks(self) -> Iterator[np.ndarray]:
+        """The ids, a block at a time; a block whose ids do not fit its checksum is an error."""
         self.stream.seek(0)
         if self.stream.read(8) != MAGIC:
             raise ValueError("not a token file")
         at = 8
         while at < self.end:
-            blocks, sums = [], []
-            for _ in range(struct.unpack("<I", self.stream.read(4))[0]):
-                m, n, crc = struct.unpack("<III", self.stream.read(12))
-                blocks.append((m, self.stream.read(n)))
-                sums.append(crc)
-                at += 12 + n
-            at += 4
-            ids = decode_blocks(blocks)
-            start = 0
-            for (m, _), crc in zip(blocks, sums):
-                if checksum(ids[start : start + m]) != crc:
-                    raise ValueError("a block's ids do not fit its checksum")
-                start += m
+            m, n, crc = struct.unpack("<III", self.stream.read(12))
+            ids = decode_blocks([(m, self.stream.read(n))])
+            if checksum(ids) != crc:
+                raise ValueError("a block's ids do not fit its checksum")
+            at += 12 + n
             yield ids
 
     def documents(self, keep: bool) -> Iterator[tuple[int | None, int, int, int, list[int] | None]]:
         """(doc id, start in the file, tokens, crc32 of its ids, ids if kept)."""
-        chunks, data, at, start = self.chunks(), b"", 0, 0
+        blocks, data, at, start = self.blocks(), b"", 0, 0
         for doc, n in zip(self.doc_ids, self.tokens.tolist()):
             left, crc, kept = 4 * n, 0, []
             while left:
                 if at == len(data):
-                    data, at = next(chunks).astype("<u4").tobytes(), 0
+                    data, at = next(blocks).astype("<u4").tobytes(), 0
                 part = data[at : at + left]
                 crc = zlib.crc32(part, crc)
                 left, at = left - len(part), at + len(part)
