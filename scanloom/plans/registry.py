@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scanloom.plans import calibration_queries, catalog_queries, sample_queries, split_queries
+from scanloom.plans import calibration_queries, catalog_queries, detector_queries, sample_queries, split_queries
 
-QUERIES = catalog_queries.QUERIES | sample_queries.QUERIES | calibration_queries.QUERIES | split_queries.QUERIES
-ORACLE_SQL = catalog_queries.ORACLE_SQL | sample_queries.ORACLE_SQL | calibration_queries.ORACLE_SQL | split_queries.ORACLE_SQL
+QUERIES = catalog_queries.QUERIES | sample_queries.QUERIES | calibration_queries.QUERIES | split_queries.QUERIES | detector_queries.QUERIES
+ORACLE_SQL = catalog_queries.ORACLE_SQL | sample_queries.ORACLE_SQL | calibration_queries.ORACLE_SQL | split_queries.ORACLE_SQL | detector_queries.ORACLE_SQL
