@@ -26,7 +26,7 @@ BITS = 24  # of the totals of the mixed distribution
 ONE = 1 << BITS
 LEFT = 1 << 21  # of the total that order 0 has at least
 TABLE_BITS = 20  # of the totals of order 0
-LANES, LEAST_STEPS = 4096, 128  # lanes of a block at most, and steps that are worth a lane
+LANES, LEAST_STEPS = 8192, 128  # lanes of a block at most, and steps that are worth a lane
 HASH_BITS = 18  # of the order-2 contexts at most
 _U32, _U64 = np.uint32, np.uint64
 _TOP, _32, _LOW = _U64(1 << 32), _U64(32), _U64((1 << 32) - 1)
@@ -45,7 +45,7 @@ def _cumulated(count: np.ndarray) -> np.ndarray:
 
 def _inverse(cum: np.ndarray) -> np.ndarray:
     """The id whose share holds a place of the table."""
-    return np.repeat(np.arange(IDS, dtype=np.int64), np.diff(cum))
+    return np.repeat(np.arange(IDS, dtype=np.uint16), np.diff(cum))
 
 
 @functools.cache
@@ -99,8 +99,10 @@ class _Model:
         self.state = ((self.s2 >> 16 << 2) + (self.s1 >> 16) + ((self.id1 == self.id2).view(np.uint8) << 4)).astype(np.int64)
 
     def interval0(self, ids: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of the ids' shares of what is left to order 0."""
-        return self.cum.take(ids) * rest >> TABLE_BITS, self.cum.take(ids + 1) * rest >> TABLE_BITS
+        """Start, from 0 up to ONE, and width of the ids' shares of what is left to order 0."""
+        a = self.cum.take(ids) * rest >> TABLE_BITS
+        b = self.cum.take(ids + 1) * rest >> TABLE_BITS
+        return (a + (ONE - rest)).astype(_U64), (b - a).astype(_U64)
 
     def update(self, ids: np.ndarray, key: np.ndarray) -> None:
         """Learns from a step: its ids, and 4 * state + what happened."""
@@ -124,7 +126,7 @@ def _shape(n: int) -> tuple[int, int]:
 def _narrow(low: np.ndarray, width: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """low and width of the lanes `at`, whose widths are below 2^32, before their upper words leave: an interval that
     two upper words share is cut to its part in the lower one."""
-    some, span = low[at], width[at]
+    some, span = low.take(at), width.take(at)
     apart = (some ^ (some + span)) >= _TOP
     if apart.any():
         span[apart] = (~some[apart] + _U64(1)) & _LOW
@@ -133,7 +135,7 @@ def _narrow(low: np.ndarray, width: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 
 def _encode(ids: np.ndarray) -> bytes:
     steps, lanes = _shape(len(ids))
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.uint16)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(lanes, len(ids))
@@ -143,23 +145,21 @@ def _encode(ids: np.ndarray) -> bytes:
     first = np.arange(lanes) * room
     spot = first.copy()
     with np.errstate(over="ignore"):
-        for x in grid:
+        for row in grid:
             model.refresh(grid, False)
             model.predict()
-            x32 = x.astype(_U32)
+            x, x32 = row.astype(np.int64), row.astype(_U32)
             key = np.where(x32 == model.id2, HIT2, np.where(x32 == model.id1, HIT1, MISS))
             missed = np.flatnonzero(key == MISS)
             key += model.state << 2
             start, span = model.start.take(key), model.span.take(key)
-            a, b = model.interval0(x[missed], model.rest.take(model.state[missed]))
-            start[missed] += a.astype(_U64)
-            span[missed] = (b - a).astype(_U64)
+            start[missed], span[missed] = model.interval0(x.take(missed), model.rest.take(model.state.take(missed)))
             part = width >> _BITS
             low += part * start
             width = part * span
             at = np.flatnonzero(width < _TOP)
             some, span = _narrow(low, width, at)
-            to = spot[at]
+            to = spot.take(at)
             out[to] = (some >> _32).astype(_U32)
             spot[at] = to + 1
             low[at] = some << _32
@@ -183,37 +183,36 @@ def _decode(n: int, code: bytes) -> np.ndarray:
     spot, last = np.cumsum(words) - words + 2, len(flat) - 1
     low, width = np.zeros(lanes, _U64), np.full(lanes, 2**64 - 1, _U64)
     ahead = (flat[spot - 2] << _32) | flat[spot - 1]
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.uint16)
     with np.errstate(over="ignore"):
-        for x in grid:
+        for row in grid:
             model.refresh(grid, True)
             model.predict()
             part = width >> _BITS
             value = np.minimum((ahead - low) // part, _U64(ONE - 1)).astype(np.int64)
             two, left = value < model.mass2.take(model.state), value >= model.low0.take(model.state)
             key = np.where(two, HIT2, np.where(left, MISS, HIT1))
-            x[:] = np.where(two, model.id2, model.id1)
+            x = np.where(two, model.id2, model.id1).astype(np.int64)
             missed = np.flatnonzero(left)
-            rest = model.rest.take(model.state[missed])
+            rest = model.rest.take(model.state.take(missed))
             # the last id whose share begins at or before the value
-            value = value[missed] - (ONE - rest)
-            x[missed] = found = model.inverse.take(((value + 1 << TABLE_BITS) - 1) // rest)
+            value = value.take(missed) - (ONE - rest)
+            x[missed] = found = model.inverse.take(((value + 1 << TABLE_BITS) - 1) // rest).astype(np.int64)
             key += model.state << 2
             start, span = model.start.take(key), model.span.take(key)
-            a, b = model.interval0(found, rest)
-            start[missed] += a.astype(_U64)
-            span[missed] = (b - a).astype(_U64)
+            start[missed], span[missed] = model.interval0(found, rest)
+            row[:] = x
             low += part * start
             width = part * span
             at = np.flatnonzero(width < _TOP)
             some, span = _narrow(low, width, at)
             low[at] = some << _32
             width[at] = span << _32
-            of = spot[at]
-            ahead[at] = (ahead[at] << _32) | flat[np.minimum(of, last)]
+            of = spot.take(at)
+            ahead[at] = (ahead.take(at) << _32) | flat.take(np.minimum(of, last))
             spot[at] = of + 1
             model.update(x, key)
-    return grid.T.ravel()[:n]
+    return np.ascontiguousarray(grid.T).ravel()[:n].astype(np.int64)
 
 
 def encode_blocks(ids: np.ndarray, block: int) -> list[tuple[int, bytes]]:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import new_path, slices, spread, texts_of, written
+from scanloom.llm.common import new_path, slices, spread, written
 from scanloom.llm.mixing_coder import checksum, decode_blocks, encode_blocks
 
 MAGIC = b"SCLTOK1\n"
@@ -50,7 +50,7 @@ class WordTokenizer:
     #: Marks that stay together behind letters and start neither a contraction nor a special token.
     MARKS = ".,;:!?*$%&#"
 
-    def __init__(self, path: str, table_parts: int = 600_000):
+    def __init__(self, path: str, table_parts: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -108,12 +108,12 @@ class WordTokenizer:
             marks = pc.replace_with_mask(marks, some, pc.utf8_slice_codeunits(words.filter(some), -m) if m else pa.scalar(""))
         return pc.if_else(alpha, low, words), marks
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and the number of ids of each."""
         if len(self.slot) > self.limit:
             self._clear()
         # at ASCII white space, which the vocabulary drops; the empty words at the ends of a text have no ids
-        words = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        words = pc.ascii_split_whitespace(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
         if not len(coded):
@@ -182,9 +182,8 @@ def write_tokens(
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(draft := f"{base}/{name}.{at.taskAttemptId()}", compression=None)
                 out.write(MAGIC)
-            texts = texts_of(b)
             ids_of += b.column("id").to_pylist()
-            ids, counts = words.encode(texts)
+            ids, counts = words.encode(b.column("text"))
             held.append(np.insert(ids, np.cumsum(counts), end_id))
             tokens_of += (counts + 1).tolist()
             n_held += len(held[-1])
