@@ -28,6 +28,14 @@ _NONE = np.int32(2**31 - 1)
 codecs.register_error("scanloom_each", lambda e: ("�" * (e.end - e.start), e.end))
 
 
+def _run(codes) -> int:
+    """A key of two or three characters in a row."""
+    key = 0
+    for c in codes:
+        key = key << 21 | c
+    return key
+
+
 class PieceVocabulary:
     """Pieces, pair table and byte pieces of a SentencePiece BPE model without normalisation rules."""
 
@@ -51,6 +59,8 @@ class PieceVocabulary:
                 if (a := own.get(p[:k])) is not None and (b := own.get(p[k:])) is not None:
                     pairs[a * n + b] = i
         self._table(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
+        runs = {_run(map(ord, p[k : k + 3])) for p in own for k in range(len(p) - 2)}
+        self.runs = np.array(sorted(runs | {_run(map(ord, p)) for p in own if len(p) == 2}), np.int64)
         self.whole_texts = any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", p, re.S) for p in own)
         self.byte_ids = np.zeros(256, np.int32)
         raw = []
@@ -106,12 +116,32 @@ class PieceVocabulary:
         text = " " + text.replace(SPACE, " ")
         return [text] if self.whole_texts else _WORDS.findall(text)
 
+    def _joins(self, code: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Whether each symbol can ever be merged with the next: some piece is those two characters, or has them and a
+        character beside them in a row. All merges make pieces, so where none can reach over, a word can be cut."""
+
+        def known(*at: np.ndarray) -> np.ndarray:
+            keys = _run(at)
+            return self.runs[np.minimum(np.searchsorted(self.runs, keys), len(self.runs) - 1)] == keys
+
+        joins = np.zeros(len(code), bool)
+        if len(code) > 1 and len(self.runs):
+            joins[:-1] = known(code[:-1], code[1:])
+            three = known(code[:-2], code[1:-1], code[2:]) & (word[:-2] == word[2:])
+            joins[:-2] |= three
+            joins[1:-1] |= three
+            joins[:-1] &= word[1:] == word[:-1]
+        return joins
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat piece ids of the words, and the number of ids of each."""
+        """Flat piece ids of the words, and the number of ids of each. Words are merged in the parts that _joins() leaves
+        whole, so that a long one takes no more rounds than its longest part."""
         code = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sym = self.char[code]
         sym = np.where(sym < 0, -1 - code, sym).astype(np.int32)  # a character without a piece: -1 - code point
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        apart = ~self._joins(code, owner)
+        word = np.cumsum(apart) - apart  # from here on a part of a word, as it is merged by itself
         place = np.arange(len(sym))  # where a symbol began: puts finished words back into order
         done_sym, done_word, done_place = [], [], []
         while len(sym):
@@ -138,7 +168,7 @@ class PieceVocabulary:
             return np.empty(0, np.int32), np.zeros(len(words), np.int64)
         sym, word, place = map(np.concatenate, (done_sym, done_word, done_place))
         order = np.argsort(place)
-        return self._with_bytes(sym[order], word[order], len(words))
+        return self._with_bytes(sym[order], owner[place[order]], len(words))
 
     def _leftmost(self, sym, word, made, rank, best) -> np.ndarray:
         """Where this round merges: the leftmost of overlapping occurrences of each word's best pair. Merging one

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, line_dedup, pieces, pii, quality_classifier, quality_rules, secret_scan, token_files, warc
+from scanloom.llm import decontaminate, filter_audit, line_dedup, pieces, pii, quality_classifier, quality_rules, secret_scan, token_counts, token_files, warc
 from scanloom.llm.near_dup import near_duplicates
 
 
@@ -81,6 +81,14 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op4_token_output": op4_token_output,
@@ -92,10 +100,13 @@ QUERIES = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_token_counts": op13_token_counts,
 }
 
 #: DuckDB's SQL for those queries that SQL can express at the size of whole tables.
 ORACLE_SQL: dict[str, str] = {
+    "op12_filter_audit": filter_audit.oracle(),
     "op3_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as body from pages),
         d as (select page_id, octet_length(body) as n, sha256(body) as digest from p),
