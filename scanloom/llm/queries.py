@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, filter_audit, line_dedup, pieces, pii, quality_classifier, quality_rules, secret_scan, token_counts, token_files, warc
+from scanloom.llm import decontaminate, filter_audit, line_dedup, pieces, pii, quality_classifier, quality_rules, secret_scan, token_counts, token_files, treap_search, warc
 from scanloom.llm.near_dup import near_duplicates
 
 
@@ -81,6 +81,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -100,12 +104,14 @@ QUERIES = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op11_ranked_search": op11_ranked_search,
     "op12_filter_audit": op12_filter_audit,
     "op13_token_counts": op13_token_counts,
 }
 
 #: DuckDB's SQL for those queries that SQL can express at the size of whole tables.
 ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": treap_search.ORACLE,
     "op12_filter_audit": filter_audit.oracle(),
     "op3_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as body from pages),
