@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,9 @@ def floors(spectra: DataFrame, group: str, tol: float = 10, off: float = 2) -> D
 
 
 def log_edges(nbin: Column, size: int = 1, least: int = 10, step: float = 2, off: float = 2) -> Column:
-    """Edges of bins that get narrower by `step` toward 0, from nbin / off down to `least`, in units of `size`."""
+    """Edges of bins that get narrower by `step` (above 1) toward 0, from nbin / off down to `least`, in units of `size`:
+    as many as it takes, which grows with the logarithm of nbin."""
     edge = lambda k: nbin / off * size / F.pow(F.lit(float(step)), k)
-    kept = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: edge(k) >= least)
+    last = F.ceil(F.log(F.greatest(nbin / off * size / least, F.lit(1.0))) / math.log(step)).cast("int")
+    kept = F.filter(F.sequence(F.lit(0), last), lambda k: edge(k) >= least)
     return F.sort_array(F.concat(F.transform(kept, lambda k: F.floor(edge(k))), F.array(F.lit(0).cast("long"))))

@@ -185,7 +185,7 @@ def keep_last(spark, d):
     return joins.keep_last(orders, "o_custkey", "o_orderkey")
 
 
-def file_groups(spark, d):
+def files_of_observations(spark, d):
     """Files by observation, ordered by their start: the lines of an order."""
     lines = catalog.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     got = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("f"))
@@ -269,7 +269,7 @@ QUERIES = {
     for f in (
         subobs_expand, distinct_tags, tag_semi, tag_anti, tags_column, filtered_tags, idlist_order, slice_positional, select_day,
         select_night, select_bands, select_or_not, select_year, select_rising, good_default, epoch_join, period_lookup, meta_star,
-        acal_fallback, zip_join, axis_intersect, merge_catalogs, keep_last, file_groups, json_attribute, group_info, time_split,
+        acal_fallback, zip_join, axis_intersect, merge_catalogs, keep_last, files_of_observations, json_attribute, group_info, time_split,
         group_tol, scan_periods, split_periods, period_gaps, det_tuples, sessions_of_users,
     )
 } | {f"group_obs_{m}": _group_query(m) for m in grouping.MODES}
@@ -316,7 +316,7 @@ ORACLE_SQL = {
           select n_nationkey, n_regionkey + (select max(n_nationkey) + 1 from nation) from nation)
         select cast(file_id as bigint) as file_id, name, count(*) as n, cast(min(key) as bigint) as first from i join f using (file_id) group by all""",
     "keep_last": "select o_custkey, max(o_orderkey) as o_orderkey from orders group by o_custkey",
-    "file_groups": """with l as (select distinct l_orderkey, l_linenumber, l_partkey from lineitem) select l_orderkey,
+    "files_of_observations": """with l as (select distinct l_orderkey, l_linenumber, l_partkey from lineitem) select l_orderkey,
         string_agg(l_linenumber || '/' || l_partkey, ',' order by l_linenumber, l_partkey) as files from l group by l_orderkey""",
     "json_attribute": """select event_type, cast(sum(cast(json_extract_string(props, '$.k') as integer)) as bigint) as k,
         count(json_extract_string(props, '$.k')) as n from events group by event_type""",

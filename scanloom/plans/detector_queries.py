@@ -188,7 +188,7 @@ ORACLE_SQL = {
         wd as (select *, curve + radians(15) / 7200 * dur as middle, radians(6) / cos({POINT[1]}::double) + radians(1) as wide from cv),
         h as (select *, {POINT[0]}::double - floor(({POINT[0]}::double - middle) / (2 * pi()) + 0.5) * 2 * pi() as ra from wd)""",
         select=f"""select obs_key, coalesce(decs[6] - decs[1] > radians(0.1) and {POINT[1]}::double > decs[1] - radians(7) and {POINT[1]}::double < decs[6] + radians(7)
-        and ra > curve - wide and ra < curve + radians(15) / 3600 * dur + wide, false) as hit from obs left join h using (obs_key)""".replace("obs left join", "(select obs_key from obs) left join")),
+        and ra > curve - wide and ra < curve + radians(15) / 3600 * dur + wide, false) as hit from (select obs_key from obs) left join h using (obs_key)"""),
     "galaxy_hits": q(OBS, SWEEPS, f"""pt as (select obs_key, dur, unnest(ras) as a, unnest(decs) as d from sweeps), two as (select obs_key, a, d from pt union all select obs_key, a + radians(15) / 3600 * dur, d from pt),
         l as (select obs_key, asin(sin(d) * sin(radians(27.12825)) + cos(d) * cos(radians(27.12825)) * cos(a - radians(192.859508))) as b from two)""",
         select="select obs_key, min(b) * max(b) < 0 or min(abs(b)) + radians(0.3) + radians(1) < radians(5) as hit from l group by obs_key"),

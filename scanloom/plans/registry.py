@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from scanloom.plans import calibration_queries, catalog_queries, detector_queries, sample_queries, split_queries
+from scanloom.plans import calibration_queries, catalog_queries, detector_queries, language_queries, sample_queries, split_queries
 
-QUERIES = catalog_queries.QUERIES | sample_queries.QUERIES | calibration_queries.QUERIES | split_queries.QUERIES | detector_queries.QUERIES
-ORACLE_SQL = catalog_queries.ORACLE_SQL | sample_queries.ORACLE_SQL | calibration_queries.ORACLE_SQL | split_queries.ORACLE_SQL | detector_queries.ORACLE_SQL
+MODULES = (catalog_queries, sample_queries, calibration_queries, split_queries, detector_queries, language_queries)
+
+
+def united(parts: list[dict]) -> dict:
+    """One dictionary of several; a name that two of them have is an error, as one query would hide the other."""
+    out: dict = {}
+    for part in parts:
+        if twice := out.keys() & part.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        out |= part
+    return out
+
+
+QUERIES = united([m.QUERIES for m in MODULES])
+ORACLE_SQL = united([m.ORACLE_SQL for m in MODULES])
