@@ -23,21 +23,23 @@ from scanloom.llm.common import slices, texts_of
 
 @dataclass(frozen=True)
 class Compressors:
-    """Two dictionaries and the curve, which holds a weight for each of _inputs()."""
+    """Two dictionaries and the curve, which holds a weight for each of _inputs(). Short texts are drawn to a fixed value:
+    they count as if `shrink` more bytes, of which the good dictionary saves `doubt` more, stood before them."""
 
     good: bytes
     bad: bytes
     curve: tuple[float, ...]
     block: int = 512
     level: int = 3
+    shrink: int = 128
+    doubt: int = 4
 
     def measures(self) -> "Measure":
         return Measure(self)
 
 
-#: What short texts are drawn to: they count as if SHRINK more bytes, of which the good dictionary saves DOUBT more than
-#: the bad one, stood before them.
-SHRINK, DOUBT = 128, 4
+#: The values of shrink and doubt that the training rows choose from.
+SHRINKS, DOUBTS = (32, 64, 128, 256, 512), (0, 2, 4, 8, 16)
 
 
 class Measure:
@@ -54,17 +56,18 @@ class Measure:
             for d in (_dictionary(model.good), _dictionary(model.bad))
         ]
 
-    def difference(self, text: str) -> float:
-        """The normalised size difference: what the good dictionary saves over the bad one, by bytes of text."""
+    def sizes(self, text: str) -> tuple[int, int]:
+        """What the good dictionary saves over the bad one, and the bytes of the text."""
         raw, n = text.encode("utf-8", "surrogatepass"), self.model.block
         # blocks of nearly equal size, so that no short rest is left
         parts = max(1, round(len(raw) / n))
         cuts = [len(raw) * k // parts for k in range(parts + 1)]
         good, bad = (sum(len(c.compress(raw[a:b])) for a, b in zip(cuts, cuts[1:])) if raw else 0 for c in self.by)
-        return (bad - good + DOUBT) / (len(raw) + SHRINK)
+        return bad - good, len(raw)
 
     def score(self, text: str) -> float:
-        x = sum(c * v for c, v in zip(self.model.curve, _inputs(self.difference(text))))
+        saved, n = self.sizes(text)
+        x = sum(c * v for c, v in zip(self.model.curve, _inputs((saved + self.model.doubt) / (n + self.model.shrink))))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
@@ -125,7 +128,8 @@ def learn(
 
     At most max_rows_per_class labelled ids of each class (those of the smallest hash) are taken, and of these the
     documents of at most max_chars characters; that bounds what the driver receives. Rows of other labels, of
-    null labels or ids, and empty or null texts teach nothing. Repeated rows of an id are one. Without any row of
+    null labels or ids, and empty or null texts teach nothing. Of repeated rows of an id the one of the smallest text
+    counts. Without any row of
     a class every score is the share of good labels (one half without labels).
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
@@ -137,7 +141,7 @@ def learn(
     ]
     sample = F.broadcast(picked[0].union(picked[1]))  # 2 * max_rows_per_class rows of two numbers
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    taught = src.where(F.length("text").between(1, max_chars)).join(sample, "id").dropDuplicates(["id"])
+    taught = src.where(F.length("text").between(1, max_chars)).join(sample, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     rows = sorted(taught.select("id", "text", "label").collect(), key=lambda r: r["id"])
     return _model(rows, dictionary_bytes, block)
 
@@ -149,17 +153,33 @@ def _model(rows, dictionary_bytes: int, block: int) -> Compressors:
     if not all(by.values()):
         p = (good + 1) / (good + bad + 2)
         return Compressors(b"", b"", (math.log(p / (1 - p)), 0.0, 0.0), block)
-    # the curve is fitted twice, each half of the rows with dictionaries of the other half; the dictionaries of all rows serve
-    x, y = [], []
+    # each half of the rows is measured with dictionaries of the other half; what short texts are drawn to and the curve are
+    # fitted to those measures; the dictionaries of all rows serve
+    saved, size, y = [], [], []
     for s in (0, 1):
         m = Measure(Compressors(_built(by[s, 1], block, dictionary_bytes), _built(by[s, 0], block, dictionary_bytes), (), block))
         for c in (0, 1):
-            x += [_inputs(m.difference(t)) for t in by[1 - s, c]]
-            y += [c] * len(by[1 - s, c])
-    curve = _fit(np.array(x), np.array(y, float))
-    return Compressors(
-        _built(by[0, 1] + by[1, 1], block, dictionary_bytes), _built(by[0, 0] + by[1, 0], block, dictionary_bytes), curve, block
-    )
+            found = [m.sizes(t) for t in by[1 - s, c]]
+            saved += [f[0] for f in found]
+            size += [f[1] for f in found]
+            y += [c] * len(found)
+    curve, shrink, doubt = _chosen(np.array(saved, float), np.array(size, float), np.array(y, float))
+    all_good, all_bad = (_built(by[0, c] + by[1, c], block, dictionary_bytes) for c in (1, 0))
+    return Compressors(all_good, all_bad, curve, block, shrink=shrink, doubt=doubt)
+
+
+def _chosen(saved: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], int, int]:
+    """(curve, shrink, doubt) of the least logarithmic loss on these rows, of equal ones the first."""
+    best = None
+    for shrink in SHRINKS:
+        for doubt in DOUBTS:
+            x = np.array([_inputs(d) for d in (saved + doubt) / (size + shrink)])
+            curve = _fit(x, y)
+            z = np.clip(x @ np.array(curve), -40, 40)
+            loss = float(np.mean(np.logaddexp(0.0, z) - y * z))
+            if best is None or loss < best[0] - 1e-12:
+                best = loss, curve, shrink, doubt
+    return best[1:]
 
 
 def score_quality(

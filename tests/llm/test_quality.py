@@ -1,9 +1,10 @@
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from scanloom.llm.quality_classifier import Compressors, in_training_fold, learn, score_quality
+from scanloom.llm.quality_classifier import DOUBTS, SHRINKS, Compressors, _chosen, in_training_fold, learn, score_quality
 from scanloom.llm.quality_rules import Rule, default_rules, judge, measured, ordered
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,10 +42,22 @@ def test_order_changes_no_verdict(spark, small):
 
 
 def test_cheap_rule_that_rejects_comes_first(docs_of):
-    docs = measured(docs_of([(k, "word " * 50) for k in range(50)]))
-    slow = F.aggregate(F.sequence(F.lit(0), F.lit(20_000)), F.lit(0), lambda a, x: a + x % 7) < 0
-    order = ordered(docs, [Rule("never", slow), Rule("always", F.col("n_words") > 0)])
-    assert [r.name for r in order] == ["always", "never"]
+    docs = measured(docs_of([(k, "word " * 50 + f"{k} " * (k % 5)) for k in range(50)]))
+    at = lambda reject, work, name: Rule(name, reject, F.lit(work))
+    none, some, all_ = F.col("n_words") < 0, F.col("n_words") > 52, F.col("n_words") > 0
+    rules = [at(none, 1.0, "never"), at(all_, 1.0, "always"), at(some, 1.0, "some"), at(all_, 5000.0, "dear")]
+    docs = docs.withColumn("n_repeat_words", F.lit(0))
+    assert [r.name for r in ordered(docs, rules)] == ["always", "some", "never", "dear"]
+    assert [r.name for r in ordered(docs.limit(0), rules[:2])] == ["always", "never"]
+
+
+def test_the_order_of_the_rules_is_no_chance(spark, small):
+    docs = measured(spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet")).cache()
+    orders = {tuple(r.name for r in ordered(docs.repartition(k + 1), default_rules())) for k in range(10)}
+    assert len(orders) == 1
+    (order,) = orders
+    # what needs a scan of the text comes behind what compares two numbers, unless it rejects much more
+    assert set(order[:3]) >= {"symbols", "duplicate_lines"} or order.index("capitals") > order.index("word_length")
 
 
 def test_classifier_learns_and_holds_out(spark, small):
@@ -59,6 +72,18 @@ def test_classifier_learns_and_holds_out(spark, small):
     assert sum(g > b for g in good for b in bad) > 0.93 * len(good) * len(bad)
 
 
+def test_constants_are_learned_from_the_rows_given(spark, small):
+    """What short texts are drawn to follows the training rows, and labels of the other fold change nothing."""
+    sf = small.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    a = learn(docs, labels.where(in_training_fold()))
+    turned = labels.withColumn("quality", F.when(in_training_fold(), F.col("quality")).otherwise(1 - F.col("quality")))
+    assert learn(docs, turned.where(in_training_fold())) == a
+    assert a.shrink in SHRINKS and a.doubt in DOUBTS
+    saved, size = np.array([5.0, 4, 6, -5, -4, -6]), np.full(6, 100.0)
+    assert _chosen(saved, size, np.array([1.0, 1, 1, 0, 0, 0]))[1:] in [(s, d) for s in SHRINKS for d in DOUBTS]
+
+
 def test_classifier_on_awkward_rows(spark, docs_of, awkward):
     none = spark.createDataFrame([], "doc_id long, quality int")
     odd = spark.createDataFrame([(9, 1), (9, 0), (None, 1), (4, None), (5, 7), (1, 0), (777, 1)], "doc_id long, quality int")
