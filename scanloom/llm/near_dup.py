@@ -4,12 +4,15 @@ Documents become sets of word shingles, and sets that share their smallest shing
 than a block is split by the sets' keys, as groups only need to bring similar sets together, and pairs of different
 groups are found through the matrix.
 
-The token-group matrix holds each group's token union, as rows (token, group), over every set's rarest tokens: as many
-that two sets of Jaccard similarity t, whatever else they hold, share `least_shared` of them. The number of a query's
-tokens that stand in a group's row bounds its overlap with every member: below that number no member can be similar, so
-only groups that reach it are opened, and only opened groups compare sets. Nothing is approximate: token frequencies,
-which come from a fixed-size sketch over all documents, decide only which tokens count as rare, and every order gives
-the same links.
+The token-group matrix holds each group's token union, as rows (token, group), over its members' rarest tokens. A set
+queries for sets that are not larger than itself. Two sets of n >= m tokens and Jaccard similarity t share t / (1 + t)
+(n + m) tokens at least, so a member needs only so many of its rarest tokens in the union that a set of its own size must
+share `least_shared` of them, and a query asks with as many as the smallest set that it can be similar to demands. What
+many documents have in common is among neither, unless little else is in them. The number of a query's tokens that
+stand in a group's row, and what lies outside of both choices, bound its overlap with every member: where the bound is
+below what the sizes demand no member can be similar, so only groups that reach it are opened, and only opened groups
+compare sets. Nothing is approximate: token frequencies, which come from a fixed-size sketch over all documents, decide
+only which tokens count as rare, and every order gives the same links.
 
 The work goes in three steps, each of which spares the next one. Groups are compared inside, which leaves a root for
 each class of similar members. Then the roots of such classes query the other groups' roots, so that the blocks of one
@@ -25,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import HEAVY, bloom_bits, bloom_has, components, counter_rows, heavy_join, merged_counters, slices, texts_of, written
@@ -161,33 +164,39 @@ def near_duplicates(
         return df.join(large, "low", "left").withColumn("grp", F.when(F.col("parts").isNull(), F.col("low")).otherwise(part)).drop("low", "parts")
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(token, short, low, often) of every set's rarest tokens: least_shared more than two similar sets must share
-        one of. `often`: the token may be held by a share of all documents that no task should get alone."""
+        """(token, short, low, often, held) of every set's rarest tokens, those with which it queries; `held` marks those
+        of them that stand for it in its group's union. `often`: the token may be held by a share of all documents that
+        no task should get alone."""
         make, freq, told = Shingler(words), sketch.value, set()
         for b in slices(batches):
-            token, short, low, often = [], [], [], []
+            token, short, low, often, held = [], [], [], [], []
             for x in make.sets(texts_of(b)):
                 if not len(x) or (k := _short(_digest(x.tobytes()))) in told:
                     continue
                 if len(told) < 200_000:
                     told.add(k)
-                both = (num * len(x) + den - 1) // den  # what a similar set shares at least
-                p = len(x) - both + min(least_shared, both)
-                held = freq[(x & mask).astype(np.int64)]
-                few = np.lexsort((x, held))[:p]
+                n = len(x)
+                asks, holds = -(-num * n // den), -(-2 * num * n // (num + den))  # shared at least: with any set, with one of n
+                share = freq[(x & mask).astype(np.int64)]
+                few = np.lexsort((x, share))[: n - asks + min(least_shared, asks)]
                 token.append(x[few])
                 short.append(np.full(len(few), k, np.int64))
                 low.append(np.full(len(few), x[0].view(np.int64), np.int64))
-                often.append(held[few].astype(np.int64) * HEAVY >= n_docs)
+                often.append(share[few].astype(np.int64) * HEAVY >= n_docs)
+                held.append(np.arange(len(few)) < n - holds + min(least_shared, holds))
             if token:
-                cols = (np.concatenate(c) for c in (token, short, low, often))
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], ["token", "short", "low", "often"])
-
-    probes = grouped(src.select("text").mapInArrow(rarest, "token long, short long, low long, often boolean"))
-    by_token = Window.partitionBy("token")
-    seldom = probes.where("not often").withColumns({"lo": F.min("grp").over(by_token), "hi": F.max("grp").over(by_token)}).where("lo <> hi")
-    often = probes.where("often")  # taken to stand in two groups
-    matrix = written(seldom.select("token", "short", "grp").union(often.select("token", "short", "grp")).distinct(), "jaccard-matrix")
+                cols = (np.concatenate(c) for c in (token, short, low, often, held))
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], ["token", "short", "low", "often", "held"])
+
+    probes = src.select("text").mapInArrow(rarest, "token long, short long, low long, often boolean, held boolean")
+    probes = written(grouped(probes), "jaccard-probes")
+    # tokens that stand for some group and are in another one, too
+    met = probes.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max("held").alias("some"), F.max("often").alias("often"))
+    met = written(met.where("lo <> hi and some").select("token", "often"), "jaccard-tokens")
+    seldom = probes.where("not often").join(met.where("not often"), "token", "left_semi")
+    often = probes.where("often").join(met.where("often"), "token", "left_semi")  # a join that can be split where it is skewed
+    matrix = seldom.select("token", "short", "grp", "held").union(often.select("token", "short", "grp", "held"))
+    matrix = written(matrix.groupBy("token", "short", "grp").agg(F.max("held").alias("held")), "jaccard-matrix")
 
     sets = written(grouped(sets), "jaccard-sets")
     in_matrix = matrix.select("short").distinct()
@@ -274,22 +283,26 @@ def near_duplicates(
 
     def across(some: DataFrame, name: str) -> DataFrame:
         """Links (a, b) between sets of different groups and labels; some is (key, short, grp, n, label)."""
-        rows = matrix.select("token", "short").join(some, "short")
-        mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-        rows = written(rows.join(mixed, "token", "left_semi").select("token", "key", "grp", "n", "label"), f"jaccard-{name}")
+        rows = matrix.select("token", "short", "held").join(some, "short")
+        mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("held").alias("some"))
+        rows = rows.join(mixed.where("lo <> hi and some").select("token"), "token", "left_semi")
+        rows = written(rows.select("token", "key", "grp", "n", "label", "held"), f"jaccard-{name}")
         taking = rows.select("key", "grp", "n", "label").distinct()
-        groups = taking.groupBy("grp").agg(
-            F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi")
-        )
+        groups = taking.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         groups = written(groups, f"jaccard-{name}-groups")
-        unions = rows.select("token", "grp").distinct().join(groups, "grp")
-        asking = rows.join(groups.select(F.col("grp"), F.col("members").alias("own")), "grp").withColumnRenamed("grp", "home")
-        # a set queries the larger groups (of two as large, the one of the smaller number) that are not all of its label
-        pairs = asking.join(unions, "token").where("home <> grp and (own < members or own = members and home > grp)")
-        pairs = pairs.where(f"{den} * n >= {num} * least and {num} * n <= {den} * most and not (lo = hi and lo = label)")
-        shared = pairs.groupBy("key", "grp").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("n", "least", "label")))
-        both = lambda c: F.ceil(F.col(c) * num / den)
-        asked = shared.where(F.col("shared") >= F.least(F.lit(least_shared), both("n"), both("least"))).select("key", "grp", "label")
+        unions = rows.where("held").select("token", "grp").distinct().join(groups, "grp")
+        asking = rows.select("token", "key", "n", "label", F.col("grp").alias("home"))
+        # a set queries groups that are not all of its label for members that are not larger than it; of two sets of one
+        # size, where a group has no other, the one in the group of the larger number asks
+        pairs = asking.join(unions, "token").where("home <> grp and n >= least and not (lo = hi and lo = label)")
+        pairs = pairs.where(f"{num} * n <= {den} * most and not (least = most and n = least and home < grp)")
+        shared = pairs.groupBy("key", "grp").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("n", "least", "most", "label")))
+        asks = lambda c: F.ceil(c * num / den)
+        holds = lambda c: F.ceil(2 * num * c / (num + den))
+        n, least = F.col("n"), F.greatest("least", asks(F.col("n")))
+        rest = F.greatest(asks(n) - F.least(F.lit(least_shared), asks(n)), holds(F.least("most", n)) - F.least(F.lit(least_shared), holds(F.least("most", n))))
+        enough = F.col("shared") >= F.least(F.lit(least_shared), asks(n), holds(F.col("least")))
+        asked = shared.where(enough & (F.col("shared") + rest >= F.ceil(num * (n + least) / (num + den)))).select("key", "grp", "label")
         asked = written(asked, f"jaccard-{name}-asked")
         # a group's queries are dealt out in blocks, each with all members
         parts = asked.groupBy("grp").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("parts"))

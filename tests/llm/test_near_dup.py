@@ -104,3 +104,42 @@ def _labels(n, pairs):
         for i, j in pairs:
             out[i] = out[j] = min(out[i], out[j])
     return out
+
+
+def test_a_common_passage_opens_nothing(docs_of, monkeypatch):
+    """Documents of one passage and a few words of their own, which are not similar: no group is opened, and what is
+    joined does not grow with the square of their number."""
+    from scanloom.llm import near_dup
+
+    tables, write = {}, near_dup.written
+
+    def kept(df, name):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(near_dup, "written", kept)
+    rnd = random.Random(6)
+    passage = [f"p{k}" for k in range(30)]
+    sizes = []
+    for n in (100, 300):
+        rows = [(k, " ".join(passage + [f"own{k}x{j}" for j in range(8)])) for k in range(n)]
+        rnd.shuffle(rows)
+        tables.clear()
+        out = got(near_duplicates(docs_of(rows)))
+        assert all(i == c for i, _, c in out) and len(out) == n
+        assert tables["jaccard-sets-asked"].count() == 0
+        sizes.append(tables["jaccard-matrix"].count())
+    assert sizes[1] <= 3 * sizes[0]
+
+
+def test_sizes_at_the_threshold(docs_of):
+    """Sets of many sizes that share just enough or one too few, whoever is the longer one."""
+    rnd = random.Random(9)
+    rows = []
+    for n in (4, 5, 6, 7, 8, 9, 12, 20, 31, 44):
+        base = [f"b{n}x{k}" for k in range(n)]
+        for m in range(max(1, n // 2), 2 * n):
+            rows.append((len(rows), " ".join(base[:m] + [f"c{n}y{m}z{k}" for k in range(max(0, m - n))])))
+    rnd.shuffle(rows)
+    for block, least_shared in ((1500, 4), (1, 1), (2, 7)):
+        assert got(near_duplicates(docs_of(rows), block=block, least_shared=least_shared)) == brute(rows)
