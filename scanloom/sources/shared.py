@@ -33,4 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     costs at most the tasks that read it, and everything that reads it sees the same rows."""
     spark = df.sparkSession
     df.write.parquet(path := new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that no later job reads: what came of them is written, too."""
+    for df in tables:
+        spark, path = df.sparkSession, df.written_to
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
