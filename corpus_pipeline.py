@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import decontaminate, line_dedup, near_dup, pieces, quality_classifier
-from scanloom.llm.common import written
+from scanloom.llm.common import forget, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +47,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go, whole; all others stay as they are.
+    """Contaminated documents go, whole; of all others the passages that are windows of an item are cut out, and n_chars
+    follows. Documents without such a passage stay as they are.
 
     Each row is judged by its own text: rows and verdicts meet by the digest of the text, whatever the ids are."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.judged(decontaminate.contamination(docs, items))
-    hit = found.where("contaminated").select(F.col("digest").alias("__digest")).distinct()
-    return docs.join(hit, decontaminate.text_digest() == F.col("__digest"), "left_anti").select(*docs.columns)
+    found = decontaminate.judged(decontaminate.contamination(docs, items)).where("n_hit > 0")
+    found = written(found.select("digest", "contaminated", "spans").dropDuplicates(["digest"]), "contaminated")
+    hit = found.where("contaminated").select(F.col("digest").alias("__digest"))
+    kept = docs.join(hit, decontaminate.text_digest() == F.col("__digest"), "left_anti").select(*docs.columns)
+    out = decontaminate.cut_spans(kept.withColumn("__chars", F.length("text")), found.where("not contaminated"))
+    if "n_chars" in docs.columns:
+        cut = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.length("text") != F.col("__chars"), cut).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,5 +86,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        if k:
+            forget(before)
     return docs

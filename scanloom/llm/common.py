@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.sources.shared import new_path, shared_dir, written
+from scanloom.sources.shared import forget, new_path, shared_dir, written
 
-__all__ = ["ASCII_LOWER", "bloom_bits", "HEAVY", "bloom_has", "components", "counter_rows", "heavy_join", "merged_counters", "mix64", "new_path", "shared_dir", "slices", "spread", "texts_of", "written"]
+__all__ = ["ASCII_LOWER", "bloom_bits", "HEAVY", "bloom_has", "components", "counter_rows", "forget", "heavy_join", "merged_counters", "mix64", "new_path", "shared_dir", "slices", "spread", "texts_of", "written"]
 
 #: A key that holds a larger share of all rows than one in HEAVY is not dealt out by its value: at most HEAVY keys do.
 HEAVY = 1000
@@ -116,9 +116,11 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label")
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         new = written(step.join(jump, "next").select("node", F.least("next", "far").alias("label"), F.col("label").alias("old")), "cc")
-        labels = new.select("node", "label")
+        forget(labels)
+        labels = new
         changed = not new.where("label <> old").isEmpty()
-    return labels
+    forget(both)
+    return labels.select("node", "label")
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -1,8 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-Lines within `edits` edit operations of each other are linked. A line is split into edits + 1 segments; of two linked
-lines, one holds some segment of the other unchanged, at a place that the edits left of it and right of it limit. So
-the segments (by number, length of the line and text) are an index, and every line probes it with its substrings at
+Lines within `edits` edit operations of each other are linked; the edits that count follow the length of the shorter
+line in steps. A line is split into edits + 1 segments; of two linked lines, the longer one holds some segment of the
+shorter unchanged, at a place that the edits left of it and right of it limit. So the segments (by number, length of the line and text) are an index, and every line probes it with its substrings at
 the places that are possible, for every length the other line can have. Lines that meet at a key are verified with a
 banded bit-parallel edit distance, many pairs abreast. Classes are connected components; of each class the first line
 stays, by document id and line number.
@@ -11,6 +11,7 @@ stays, by document id and line number.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,30 +43,56 @@ def _segments(length: int, edits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def segment_keys(line: str, edits: int) -> tuple[list[int], list[int]]:
+@dataclass(frozen=True)
+class Steps:
+    """How many edits link lines, by the length of the shorter one: `edits` from `least` characters on, and below that
+    one less for each halving of the length. Lines of no edits are linked with equal ones only."""
+
+    edits: int
+    least: int
+
+    def at(self, n: int) -> int:
+        k, left = self.edits, self.least
+        while k > 0 and n < left:
+            k, left = k - 1, left // 2
+        return k if n > k else 0
+
+
+def segment_keys(line: str, edits: int | Steps) -> tuple[list[int], list[int]]:
     """Index keys of a line, and the keys that it probes for lines that are at most as long."""
     ask = xxhash.xxh3_64_intdigest
     n = len(line)
-    index = [ask(line[a : a + m].encode("utf-8", "surrogatepass"), seed=n * 64 + i) for i, (a, m) in enumerate(_segments(n, edits))]
+    at_length = (lambda _: edits) if isinstance(edits, int) else edits.at
+    most = at_length(n)
+    index = [ask(line[a : a + m].encode("utf-8", "surrogatepass"), seed=n * 64 + i) for i, (a, m) in enumerate(_segments(n, most))]
     probes = []
-    for shorter in range(max(1, n - edits), n + 1):
-        by = n - shorter
-        for i, (a, m) in enumerate(_segments(shorter, edits)):
-            # at most i edits left of segment i and edits - i right of it
-            lo = max(0, a - i, a + by - (edits - i))
-            hi = min(n - m, a + i, a + by + (edits - i))
+    for shorter in range(max(1, n - most), n + 1):
+        by, e = n - shorter, at_length(shorter)
+        if by > e:
+            continue
+        for i, (a, m) in enumerate(_segments(shorter, e)):
+            # at most i edits left of segment i and e - i right of it
+            lo = max(0, a - i, a + by - (e - i))
+            hi = min(n - m, a + i, a + by + (e - i))
             for at in range(lo, hi + 1):
                 probes.append(ask(line[at : at + m].encode("utf-8", "surrogatepass"), seed=shorter * 64 + i))
     return index, probes
 
 
-def within(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
+def within(pairs: list[tuple[str, str]], edits: int | Steps) -> np.ndarray:
     """Which pairs of lines are within `edits` (at most 30) insertions, deletions and substitutions.
 
     A column of the distance matrix is a word of vertical differences along the diagonal band; all pairs step abreast.
     """
     if not pairs:
         return np.empty(0, bool)
+    if isinstance(edits, Steps):
+        limit = np.array([edits.at(min(len(a), len(b))) for a, b in pairs])
+        out = np.zeros(len(pairs), bool)
+        for t in np.unique(limit).tolist():
+            some = np.flatnonzero(limit == t)
+            out[some] = within([pairs[i] for i in some.tolist()], t)
+        return out
     la = np.array([len(a) for a, _ in pairs])
     lb = np.array([len(b) for _, b in pairs])
     out = np.zeros(len(pairs), bool)
@@ -114,7 +141,7 @@ def _banded(a: list[str], b: list[str], la: np.ndarray, lb: np.ndarray, t: int)
     return done <= t
 
 
-def _links(lines: list[str], index: list[int], probe: list[int], edits: int) -> list[tuple[int, int]]:
+def _links(lines: list[str], index: list[int], probe: list[int], edits: int | Steps) -> list[tuple[int, int]]:
     """Links that span all pairs (index line, probing line) within `edits`; pairs that are joined already are passed over."""
     root = list(range(len(lines)))
 
@@ -148,6 +175,9 @@ def line_classes(
     """Occurrences (id, doc, line_no, line) of the lines that take part, and links (a, b) of near lines; doc is a digest
     of the text, which with the id tells rows apart."""
     spark = docs.sparkSession
+    steps = Steps(edits, least_chars)
+    # lines that have edits to be linked by; without short_lines only the long ones take part at all
+    near = lambda line: steps.at(len(line)) > 0 and _takes_part(line, least_chars, short_lines)
     src = docs.select(_place_id(id_col), F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +200,11 @@ def line_classes(
             keys, lines, counts = [], [], []
             for t in texts_of(b):
                 for line in t.split("\n"):
-                    if len(line) < least_chars or (me := _line_key(line)) in told:
+                    if not near(line) or (me := _line_key(line)) in told:
                         continue
                     if len(told) < 200_000:
                         told.add(me)
-                    index, probes = segment_keys(line, edits)
+                    index, probes = segment_keys(line, steps)
                     keys += index
                     keys += probes
                     lines.append(me)
@@ -218,7 +248,7 @@ def line_classes(
         told: set[bytes] = set()
         pack = zstandard.ZstdCompressor(level=3)
         for b in slices(batches):
-            lines = [x for t in texts_of(b) for x in t.split("\n") if len(x) >= least_chars]
+            lines = [x for t in texts_of(b) for x in t.split("\n") if near(x)]
             keys = [_line_key(x) for x in lines]
             short = _short(keys)
             keep = {keys[i]: i for i in np.flatnonzero(bloom_has(wanted.value, short)).tolist() if keys[i] not in told}
@@ -244,13 +274,13 @@ def line_classes(
 
         def verified() -> pa.RecordBatch:
             pairs = list(waiting)
-            good = within(list(waiting.values()), edits)
+            good = within(list(waiting.values()), steps)
             waiting.clear()
             return linked([p for p, g in zip(pairs, good) if g])
 
         def block_done() -> Iterator[pa.RecordBatch]:
             if len(index) * len(probe) > 1024:
-                yield linked([(ids[x], ids[y]) for x, y in _links(lines, index, probe, edits)])
+                yield linked([(ids[x], ids[y]) for x, y in _links(lines, index, probe, steps)])
                 return
             for x in index:
                 for y in probe:
@@ -298,7 +328,8 @@ def dedup_lines(
     """docs with repeated lines taken out of the texts, and removed_lines array<int> (numbers from 0, in order).
 
     Lines are what stands between line feeds; those of fewer than least_chars characters always stay, or with short_lines,
-    if they are not blank, take part with no edits: equal ones are one class. Of each class of equal or near lines the
+    if they are not blank, take part with fewer edits, as Steps has it: by default one from 12 characters on, and below
+    that equal ones only are one class. Of each class of equal or near lines the
     one of the smallest document id, then line number, stays. Null texts stay null, texts whose lines all go are empty.
     A null id is below all others; rows of one id are one document for the order, and equal
     lines at one place of them all stay. Other columns are kept, but a column named removed_lines is replaced; no rows

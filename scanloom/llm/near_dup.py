@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import HEAVY, bloom_bits, bloom_has, components, counter_rows, heavy_join, merged_counters, slices, texts_of, written
+from scanloom.llm.common import HEAVY, bloom_bits, bloom_has, components, counter_rows, forget, heavy_join, merged_counters, slices, texts_of, written
 from scanloom.llm.shingles import Shingler
 
 SKETCH_LOG2, SKETCH_CHUNKS = 22, 64
@@ -197,6 +197,7 @@ def near_duplicates(
     often = probes.where("often").join(met.where("often"), "token", "left_semi")  # a join that can be split where it is skewed
     matrix = seldom.select("token", "short", "grp", "held").union(often.select("token", "short", "grp", "held"))
     matrix = written(matrix.groupBy("token", "short", "grp").agg(F.max("held").alias("held")), "jaccard-matrix")
+    forget(probes)
 
     sets = written(grouped(sets), "jaccard-sets")
     in_matrix = matrix.select("short").distinct()
@@ -309,7 +310,9 @@ def near_duplicates(
         queries = asked.join(parts, "grp").select("grp", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("blk"), F.lit(1).alias("role"), "key", "label")
         members = taking.join(parts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("blk"), F.lit(0).alias("role"), "key", "label")
         dealt = queries.unionByName(members).join(texts, "key").repartition("grp", "blk").sortWithinPartitions("grp", "blk", "role", "key")
-        return written(dealt.mapInArrow(compare_across, "a binary, b binary"), f"jaccard-{name}-links")
+        links = written(dealt.mapInArrow(compare_across, "a binary, b binary"), f"jaccard-{name}-links")
+        forget(rows, groups, asked)
+        return links
 
     # roots of classes first, then all sets; a group, and so a root, holds a block at most
     rooted = sets.join(classes, "key", "left").select("key", "short", "grp", "n", "id", "copies", F.coalesce("root", "key").alias("root"))

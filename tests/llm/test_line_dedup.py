@@ -44,14 +44,19 @@ def test_banded_distance_and_segment_keys():
                 assert set(segment_keys(short, t)[0]) & set(segment_keys(long, t)[1])
 
 
-def brute(rows, edits=2, least=24):
+def limit(n, short):
+    """Edits that link lines of which the shorter one has n characters."""
+    return 2 if n >= 24 else (1 if n >= 12 else 0) if short else 0
+
+
+def brute(rows, least=24, short=False):
     first = {}
-    lines = sorted({x for _, t in rows for x in (t or "").split("\n") if len(x) >= least})
+    lines = sorted({x for _, t in rows for x in (t or "").split("\n") if len(x) >= least or short and x and not x.isspace()})
     label = {x: x for x in lines}
     for _ in range(len(lines)):
         for a in lines:
             for b in lines:
-                if abs(len(a) - len(b)) <= edits and label[a] > label[b] and distance(a, b) <= edits:
+                if label[a] > label[b] and abs(len(a) - len(b)) <= (e := limit(min(len(a), len(b)), short)) and distance(a, b) <= e:
                     label[a] = label[b]
     place = lambda i, k: (-(2**63) if i is None else i, k)
     for i, t in rows:
@@ -82,6 +87,19 @@ def test_lines(docs_of):
     assert sum(len(g) for _, _, g in want) > 20
 
 
+def test_short_lines(docs_of):
+    """Lines of all lengths around the steps: near repeats of short ones, across a step, and equal ones."""
+    rnd = random.Random(7)
+    bases = ["".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (1, 2, 5, 10, 11, 12, 13, 14, 20, 22, 23, 24, 25, 26) for _ in range(2)]
+    rows = [(1, "short line number one\nshort line number 1ne"), (2, "chapter 12"), (3, "chapter 13\nchapter 12\n  \n  ")]
+    for k in range(25):
+        rows.append((k + 4, "\n".join(changed(rnd, rnd.choice(bases), rnd.choice((0, 1, 1, 2))) for _ in range(4))))
+    want = brute(rows, short=True)
+    assert got(dedup_lines(docs_of(rows), short_lines=True)) == want
+    assert want[0] == (1, "short line number one", [1])
+    assert {g for i, _, g in map(lambda x: (x[0], x[1], tuple(x[2])), want) if i == 3} == {(1,)}
+
+
 def test_awkward_and_empty(docs_of, awkward):
     out = dedup_lines(docs_of(awkward))
     assert out.columns == docs_of(awkward).columns  # removed_lines is replaced

@@ -114,8 +114,9 @@ def test_a_common_passage_opens_nothing(docs_of, monkeypatch):
     tables, write = {}, near_dup.written
 
     def kept(df, name):
-        tables[name] = write(df, name)
-        return tables[name]
+        out = write(df, name)
+        tables[name] = out.count()  # the table itself may be deleted later
+        return out
 
     monkeypatch.setattr(near_dup, "written", kept)
     rnd = random.Random(6)
@@ -127,8 +128,8 @@ def test_a_common_passage_opens_nothing(docs_of, monkeypatch):
         tables.clear()
         out = got(near_duplicates(docs_of(rows)))
         assert all(i == c for i, _, c in out) and len(out) == n
-        assert tables["jaccard-sets-asked"].count() == 0
-        sizes.append(tables["jaccard-matrix"].count())
+        assert tables["jaccard-sets-asked"] == 0
+        sizes.append(tables["jaccard-matrix"])
     assert sizes[1] <= 3 * sizes[0]
 
 
