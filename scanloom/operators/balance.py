@@ -78,3 +78,66 @@ def smart_split(chunks: Sequence[dict[tuple, float]], n: int, rounds: int = 3, f
             owner[k] = max(range(n), key=lambda s: (score[s], -s))
             put(k, owner[k], 1.0)
     return owner
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def _to_each(refs: list[list[float]]) -> Column:
+    """Distances of the column state to each reference."""
+    return F.array(*(_distance(F.col("state"), F.array(*map(F.lit, r))) for r in refs))
+
+
+def far_references(items: DataFrame, n: int, key: str) -> list[list[float]]:
+    """n states, one after the other the farthest from those before, the first of the least sum; sorted by their means.
+
+    Each is found by one aggregation over the items (key, state array), of which the driver gets the state that wins; of
+    equal ones that of the smallest key."""
+    total = F.aggregate("state", F.lit(0.0), lambda s, x: s + x)
+    refs = [list(items.agg(F.min_by("state", F.struct(total.alias("v"), F.col(key).alias("k")))).first()[0])]
+    for _ in range(1, n):
+        nearest = F.array_min(_to_each(refs))
+        refs.append(list(items.agg(F.min_by("state", F.struct((-nearest).alias("v"), F.col(key).alias("k")))).first()[0]))
+    return sorted(refs, key=lambda r: sum(r) / len(r))
+
+
+def scaled_groups(items: DataFrame, refs: list[list[float]], weight: str, rounds: int = 10) -> DataFrame:
+    """items with `owner`: the reference of the least scaled distance. In each round groups that are too heavy get larger
+    distances, by their share of the even weight to the power of 1 / round; the owners are those of the last round.
+
+    A round is one aggregation, of which the driver gets a weight for each group. A group without weight counts as a
+    thousandth of an even one, so that it can win items again."""
+    scales, owner = [1.0] * len(refs), F.lit(0)
+    even = (items.agg(F.sum(weight)).first()[0] or 0) / len(refs)
+    for k in range(rounds):
+        scaled = F.zip_with(_to_each(refs), F.array(*map(F.lit, scales)), lambda d, s: d * s)
+        owner = F.transform(F.array(scaled), lambda d: F.array_position(d, F.array_min(d)).cast("int") - 1)[0]
+        if k == rounds - 1:
+            break
+        got = {r["owner"]: r["w"] for r in items.groupBy(owner.alias("owner")).agg(F.sum(weight).alias("w")).collect()}  # a row for each group
+        scales = [s * max((got.get(i) or 0) / even, 1e-3) ** (1 / (k + 1)) for i, s in enumerate(scales)] if even else scales
+    return items.withColumn("owner", owner)
+
+
+def distribute_compact(items: DataFrame, n: int, key: str, weight: str, passes: int = 2, rounds: int = 10) -> DataFrame:
+    """items (key, weight, state array) dealt out to n owners of about equal weight that hold near states together.
+
+    The first pass starts from far_references(), each other one from the members nearest to the groups' centres. The items
+    stay where they are: passes and rounds are aggregations. As many items as owners, or fewer, get one each."""
+    if items.count() <= n:
+        return with_position(items, key).withColumn("owner", F.col("pos").cast("int")).drop("pos")
+    refs = far_references(items, n, key)
+    out = scaled_groups(items, refs, weight, rounds)
+    for _ in range(1, passes):
+        at = out.select("owner", F.posexplode("state").alias("p", "x")).groupBy("owner", "p").agg(F.avg("x").alias("x"))
+        centres = at.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda v: v["x"]).alias("centre"))
+        near = out.join(centres, "owner").groupBy("owner").agg(F.min_by("state", F.struct(_distance(F.col("state"), F.col("centre")).alias("d"), F.col(key).alias("k"))).alias("ref"))
+        refs = [list(r["ref"]) for r in near.orderBy("owner").collect()]  # a row for each group
+        out = scaled_groups(items, refs, weight, rounds)
+    return out
+
+
+def compactness(owned: DataFrame) -> DataFrame:
+    """(owner, p, spread): the standard deviation of each owner's states around their mean, by coordinate."""
+    return owned.select("owner", F.posexplode("state").alias("p", "x")).groupBy("owner", "p").agg(F.stddev_pop("x").alias("spread"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.sources.catalog import with_position
+
 
 def runs(samples: DataFrame, flag: str, det: str = "det", samp: str = "samp") -> DataFrame:
     """Runs of flagged samples; samples are numbered without gaps. Only the flagged ones are windowed."""
@@ -129,3 +131,32 @@ def repeated(cuts: DataFrame, ndet: int, times: int, det: str = "det") -> DataFr
     """cuts for `times` copies of ndet detectors, those of copy k numbered from k * ndet."""
     copies = F.explode(F.sequence(F.lit(0), F.lit(times - 1)))
     return cuts.withColumn("__k", copies).withColumn(det, F.col(det) + F.col("__k") * ndet).drop("__k")
+
+
+def inserted(samples: DataFrame, values: DataFrame) -> DataFrame:
+    """samples with the values (det, samp, value) put in their places; the inverse of taking them out."""
+    new = values.select("det", "samp", F.col("value").alias("__new"))
+    return samples.join(new, ["det", "samp"], "left").withColumn("value", F.coalesce("__new", "value")).drop("__new")
+
+
+def step_scale(samples: DataFrame, det_step: int = 10, step: int = 100) -> DataFrame:
+    """One row `rms`: the root of the median square of the differences between every step-th sample, over every det_step-th
+    detector (of all of them, by number)."""
+    w = Window.partitionBy("det").orderBy("samp")
+    dets = samples.select("det").distinct()
+    chosen = with_position(dets, "det", name="__at").where(F.col("__at") % det_step == 0).select("det")
+    thin = samples.where(F.col("samp") % step == 0).join(chosen, "det")
+    diff = thin.withColumn("__d", F.col("value") - F.lag("value").over(w)).where("__d is not null")
+    return diff.agg(F.sqrt(F.median(F.col("__d") * F.col("__d"))).alias("rms"))
+
+
+def extremes_clipped(samples: DataFrame, cuts: DataFrame, n: int, nsamp: DataFrame, tol: float = 100, det_step: int = 10, step: int = 100) -> DataFrame:
+    """Values inside the ranges kept within `tol` times step_scale() of the line that gap_filled() would put there; all
+    others stay as they are, and so do all if there is no scale."""
+    filled = gap_filled(samples, cuts, n, nsamp)
+    rms = step_scale(filled, det_step, step)
+    line = in_ranges(filled.select("det", "samp", "value"), cuts, "lo", "hi").select("det", "samp", F.col("value").alias("__line"))
+    inside = samples.join(line, ["det", "samp"]).crossJoin(F.broadcast(rms))  # one row
+    off, most = F.col("value") - F.col("__line"), F.col("rms") * tol
+    clipped = F.col("__line") + F.greatest(-most, F.least(most, off))
+    return inserted(samples, inside.select("det", "samp", F.when(F.col("rms").isNull(), F.col("value")).otherwise(clipped).alias("value")))
