@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from scanloom.operators import balance, intervals, leakage, masks
 from scanloom.plans.sample_queries import EDGED, MEANS
 from scanloom.plans.sql_parts import CUTS, SAMP, WIDE, q
-from scanloom.sources import catalog
+from scanloom.sources import catalog, simple
+from scanloom.sources.shared import written
 
 
 def distribute_compact(spark, d):
@@ -50,7 +51,17 @@ def masked_samples(spark, d):
     return masks.masked_samples(s, mask, "det", 4, 2).select("det", "samp")
 
 
-QUERIES = {f.__name__: f for f in (distribute_compact, extremes_clipped, leakage_lines, sampled_leakage, masked_samples)}
+def simple_files(spark, d):
+    """Samples written to one file for each of 12 groups of detectors, and read again: those that are not flagged."""
+    s = catalog.samples(spark, d).withColumn("t", catalog.seconds(F.col("ts"))).withColumn("grp", F.col("det") % 12)
+    info = written(simple.write_files(s.select("grp", "det", "samp", "t", "value", "cut"), "grp"), "simple-list")
+    rows = simple.read_files(info, ("tod", "cuts"), mul=1).where("error is null")
+    flat = rows.select("id", F.col("det").cast("long").alias("det"), "cut", F.posexplode("tod").alias("samp", "value"))
+    good = flat.where(~F.exists("cut", lambda c: (F.col("samp") >= c["lo"]) & (F.col("samp") < c["hi"])))
+    return good.groupBy("id", "det").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (simple_files, distribute_compact, extremes_clipped, leakage_lines, sampled_leakage, masked_samples)}
 ORACLE_SQL = {
     "extremes_clipped": q(SAMP, CUTS, WIDE, MEANS, EDGED, """fl as (select s.det, samp, value as raw, m.lo is not null as inside, case when m.lo is null then value else l + (r - l) * ((samp - lo + 1) / (hi - lo + 1)) end as v
             from samp s left join edged m on m.det = s.det and samp >= lo and samp < hi),
@@ -63,6 +74,12 @@ ORACLE_SQL = {
         m as (select det, a // 5 as b, avg(x) as mx, avg(y) as my, var_pop(x) * 5 as sxx, var_pop(y) * 5 as syy, covar_pop(x, y) * 5 as sxy from a group by det, a // 5 having count(*) = 5),
         f as (select det, (syy - sxx + sqrt((syy - sxx) * (syy - sxx) + 4 * sxy * sxy)) / (2 * sxy) as s, mx, my from m where sxy <> 0)""",
         select="select det, round(median(s), 6) as slope, round(median(my - s * mx), 5) as \"offset\", count(*) as blocks from f group by det"),
+    # files are cut to a length without prime factors above 7
+    "simple_files": q(SAMP, """g as (select det % 12 as grp, max(samp) + 1 as n from samp group by 1),
+        pw as (select cast(a.x * b.x * c.x * e.x as double) as v from (select power(2, i) as x from range(20) r(i)) a, (select power(3, i) as x from range(12) r(i)) b,
+            (select power(5, i) as x from range(8) r(i)) c, (select power(7, i) as x from range(7) r(i)) e),
+        f as (select grp, (select max(v) from pw where v <= n) as n from g)""",
+        select="select 'obs_' || grp as id, det, count(*) as n, round(sum(value), 4) as total from samp join f on f.grp = det % 12 where not cut and samp < f.n group by 1, 2"),
     "masked_samples": q(SAMP, "mk as (select distinct user_id * 7 % 49 as y, event_id % 200 as x from events where event_type = 'purchase')",
         select="select det, samp from samp join mk on mk.x = samp and mk.y = floor(value / 10)"),
 }
