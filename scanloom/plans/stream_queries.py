@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanloom.operators import intervals, spectra, streams
-from scanloom.plans.sql_parts import CUTS, SAMP, q
+from scanloom.operators import calibrate, intervals, spectra, streams
+from scanloom.plans.sample_queries import EDGED, MEANS
+from scanloom.plans.sql_parts import CUTS, SAMP, WIDE, q
 from scanloom.sources import catalog
 
 KNEE, RATE, TAU = 0.05, 10.0, 0.02
@@ -58,9 +59,30 @@ def owned_stretches(spark, d):
     return spectra.owned_stretches(even.unionByName(wide).unionByName(near), "det")
 
 
+def _calibrated(spark, d):
+    s = catalog.samples(spark, d)
+    cuts = intervals.runs(s, "cut")
+    n = s.groupBy("det").agg(F.count("*").cast("int").alias("n"))
+    wide = cuts.join(n, "det")
+    wide = wide.select("det", F.greatest(F.col("lo") - 1, F.lit(0)).alias("lo"), F.least(F.col("hi") + 1, "n").alias("hi")).union(wide.select("det", "lo", F.least(F.col("hi") + 3, "n").alias("hi")))
+    detectors = n.select("det", (1 + F.col("det") % 4 * 0.25).alias("gain"), ((F.col("det") % 5 + 1) * TAU).alias("tau"))
+    none = cuts.limit(0)
+    return calibrate.calibrated(s, detectors, intervals.united(wide), none, RATE, 0.001, edge=5, size=16, most_share=1.1, most_density=1.1, friendly=False)
+
+
+def calibrated_samples(spark, d):
+    """Gains, filled gaps, slopes and time constants; all detectors that are sensitive."""
+    return _calibrated(spark, d)[0].select("det", "samp", F.round("value", 4).alias("value"))
+
+
+def calibrated_detectors(spark, d):
+    told = _calibrated(spark, d)[1]
+    return told.select("det", F.round("share", 9).alias("share"), F.round("density", 9).alias("density"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (stream_spectrum, stream_lowpass, stream_deconvolved, stream_resampled, stream_friendly, binned_power, uncorrelated_noise, owned_stretches)
+    for f in (calibrated_samples, calibrated_detectors, stream_spectrum, stream_lowpass, stream_deconvolved, stream_resampled, stream_friendly, binned_power, uncorrelated_noise, owned_stretches)
 }
 
 DFT = """ps as (select det, samp, value, nsamp as n from samp join ns using (det)), kk as (select det, nsamp as n, unnest(range(0, nsamp // 2 + 1)) as bin from ns),
@@ -88,6 +110,17 @@ ORACLE_SQL = {
     "stream_lowpass": q(SAMP, DFT, f"lo as (select det, n, bin, re / (1 + power(bin / n / {KNEE}::double, 8)) as re, im / (1 + power(bin / n / {KNEE}::double, 8)) as im from dft)", _back("lo"), select=_OUT),
     "stream_deconvolved": q(SAMP, DFT, f"""dc as (select det, n, bin, re - im * w as re, im + re * w as im from (select *, 2 * pi() * bin * {RATE}::double / n * (det % 5 + 1) * {TAU}::double as w from dft))""", _back("dc"), select=_OUT),
     "stream_resampled": q(SAMP, DFT, "rs as (select det, n, bin, re * (n // 3 + 1) / n as re, im * (n // 3 + 1) / n as im from dft where bin <= least(n, n // 3 + 1) // 2)", _back("rs", "n // 3 + 1"), select=_OUT),
+    "calibrated_samples": q(SAMP, CUTS, WIDE, MEANS, EDGED, """fl as (select s.det, samp, (1 + s.det % 4 * 0.25::double) * case when m.lo is null then value else l + (r - l) * ((samp - lo + 1) / (hi - lo + 1)) end as value
+            from samp s left join edged m on m.det = s.det and samp >= lo and samp < hi),
+        eg as (select det, nsamp, avg(value) filter (where samp < 5) as v1, avg(value) filter (where samp >= nsamp - 5) as v2 from fl join ns using (det) group by det, nsamp),
+        ds as (select det, samp, value - (v1 + (v2 - v1) * samp / greatest(nsamp - 1, 1)) as value from fl join eg using (det))""", DFT.replace("from samp join ns", "from ds join ns"),
+        f"""dc as (select det, n, bin, re - im * w as re, im + re * w as im from (select *, 2 * pi() * bin * {RATE}::double / n * (det % 5 + 1) * {TAU}::double as w from dft))""", _back("dc"),
+        """bl as (select det, samp, value, samp // 16 as b from inv), d3 as (select det, b, value - 3 * lag(value, 1) over w + 3 * lag(value, 2) over w - lag(value, 3) over w as d from bl window w as (partition by det, b order by samp)),
+        bs as (select det, b, stddev_pop(d) as s from d3 group by det, b having count(*) = 16), rm as (select det, median(s) / sqrt(20) / sqrt(10) as rms from bs group by det),
+        ok as (select det from rm, (select median(rms) as mid from rm where rms >= 0.001 and rms < 10) where rms >= 0.001 and rms < 10 and rms > mid * 0.2 and rms < mid / 0.2)""",
+        select="select det, samp, round(value, 4) as value from inv where det in (select det from ok)"),
+    "calibrated_detectors": q(SAMP, CUTS, WIDE, "sh as (select det, sum(hi - lo) as s, count(*) as k from merged group by det)",
+        select="select ns.det, round(coalesce(s, 0) / nsamp, 9) as share, round(coalesce(k, 0) / nsamp, 9) as density from ns left join sh using (det)"),
     "stream_friendly": q(SAMP, """pw as (select cast(p2.x * p3.x * p5.x * p7.x as double) as v from (select power(2, i) as x from range(20) r(i)) p2, (select power(3, i) as x from range(12) r(i)) p3,
         (select power(5, i) as x from range(8) r(i)) p5, (select power(7, i) as x from range(7) r(i)) p7)""", select="select det, cast((select max(v) from pw where v <= nsamp) as bigint) as n from ns"),
     "binned_power": q(SAMP, DFT, _EDGES, select="select det, lo, hi, round(power, 3) as power from bp"),
