@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -130,11 +132,18 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most `rows` rows, so that a task holds few texts as Python objects at a time; what
-    Arrow's pool no longer uses goes back to the system after each batch."""
+    Arrow's pool and the C library no longer use goes back to the system after each batch, as workers are kept."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
         pa.default_memory_pool().release_unused()
+        _give_back()
+
+
+def _give_back() -> None:
+    """Asks the C library for unused memory, where it knows how to."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def spread(files: DataFrame, key: str) -> DataFrame:

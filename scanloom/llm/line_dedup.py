@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from scanloom.llm.common import HEAVY, bloom_bits, bloom_has, components, heavy_join, slices, texts_of, written
 
 _NULL_ID = -(2**63)
+#: Characters of lines that are compared abreast.
+CELLS = 3_000_000
 
 
 def _line_key(line: str) -> bytes:
@@ -98,9 +100,12 @@ def within(pairs: list[tuple[str, str]], edits: int | Steps) -> np.ndarray:
     out = np.zeros(len(pairs), bool)
     order = np.argsort(lb, kind="stable")
     order = order[np.abs(la - lb)[order] <= edits]
-    for at in range(0, len(order), 2048):
-        part = order[at : at + 2048]
+    at = 0
+    while at < len(order):  # fewer pairs of longer lines, so that their characters take a bounded space
+        longest = lb[order[min(at + 2047, len(order) - 1)]]
+        part = order[at : at + max(1, min(2048, CELLS // max(1, longest)))]
         out[part] = _banded([pairs[i][0] for i in part], [pairs[i][1] for i in part], la[part], lb[part], edits)
+        at += len(part)
     return out
 
 
