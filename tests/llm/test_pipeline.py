@@ -4,13 +4,15 @@ import random
 import subprocess
 import sys
 
+import public_tokenizers
 import pytest
+import sentencepiece
 import test_decontaminate
 import test_line_dedup
 import test_near_dup
 
 import corpus_pipeline
-from scanloom.llm import decontaminate
+from scanloom.llm import decontaminate, quality_classifier
 from scanloom.llm.queries import QUERIES
 
 
@@ -107,3 +109,21 @@ def test_benchmark_by_brute_force(spark, fixture, tmp_path):
     assert any(t not in {x for _, x in rows} for _, t in want)  # some passage was cut out
     strip = lambda rows: sorted(((i, t if t is None else " ".join(t.split(" ")).replace("  ", " ").strip(" ")) for i, t in rows), key=str)
     assert bad and strip(got) == strip(want)
+
+
+def test_quality_by_each_text(spark, small):
+    """The first stage keeps just the rows whose own text scores 0.3 under the model of the training rows."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").unionByName(spark.createDataFrame([(None, None, "en", "s", 0), (None, "x " * 90, "en", "s", 180)], "doc_id long, text string, lang string, source string, n_chars long"))
+    labels = spark.read.parquet(f"{small}/labels.parquet").where(quality_classifier.in_training_fold())
+    measure = quality_classifier.learn(docs, labels).measures()
+    want = [(r["doc_id"], r["text"]) for r in docs.collect() if measure.score(r["text"] or "") >= 0.3]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.quality(spark, docs, small).collect()]
+    assert 0 < len(want) < docs.count() and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_sentencepiece_as_the_library(spark, fixture):
+    docs, rows, _ = fixture
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ids = [(i, sp.encode(t or "")) for i, t in rows]
+    want = sorted(((i, len(x), x, sp.decode(x)) for i, x in ids), key=str)
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids"], r["decoded"]) for r in corpus_pipeline.sentencepiece(spark, docs, "").collect()), key=str) == want
