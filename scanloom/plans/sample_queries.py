@@ -390,6 +390,11 @@ ORACLE_SQL = {
     "deslope": q(SAMP, EDGES, select="select s.det, samp, round(value - (v1 + (v2 - v1) * samp / greatest(nsamp - 1, 1)) + 1.23e-9, 6) as value from samp s join edges using (det)"),
     "common_deslope": q(SAMP, EDGES, "c as (select median(v1) as v1, median(v2) as v2 from edges)",
         select="select s.det, samp, round(value - (v1 + (v2 - v1) * samp / greatest(nsamp - 1, 1)) + 1.23e-9, 6) as value from samp s join ns using (det) cross join c"),
+    "sky_positions": q(OBS, """h as (select radians(case when bel > 90 then baz + 180 else baz end) as az, radians(case when bel > 90 then 180 - bel else bel end) as el,
+            0.7790572732640::double + 1.00273781191135448::double * (ctime - 946728000.0::double) / 86400 as turns, -0.4008::double as lat from obs),
+        e as (select degrees(asin(greatest(-1, least(1, sin(el) * sin(lat) + cos(el) * cos(lat) * cos(az))))) as dec,
+            degrees((turns - floor(turns)) * 2 * pi() - 1.183::double - atan2(-sin(az) * cos(el), sin(el) * cos(lat) - cos(el) * sin(lat) * cos(az))) as ra from h)""",
+        select="select cast(floor((ra - floor(ra / 360) * 360) / 90) as integer) as ra, cast(floor(dec / 30) as integer) as dec, count(*) as n from e group by 1, 2"),
     "rms_der": q(SAMP, """f as (select det, samp // 16 as b, value - 3 * lag(value) over w + 3 * lag(value, 2) over w - lag(value, 3) over w as x
         from samp window w as (partition by det, samp // 16 order by samp)), s as (select det, stddev_pop(x) as s from f group by det, b having count(*) = 16)""",
         select="select det, round(median(s) / sqrt(20), 6) as rms from s group by det"),
