@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +61,12 @@ class Steps:
         return k if n > k else 0
 
 
-def segment_keys(line: str, edits: int | Steps) -> tuple[list[int], list[int]]:
-    """Index keys of a line, and the keys that it probes for lines that are at most as long."""
-    ask = xxhash.xxh3_64_intdigest
-    n = len(line)
+@lru_cache(maxsize=1 << 14)
+def _plan(n: int, edits: int | Steps) -> tuple[tuple[tuple[int, int, int], ...], tuple[tuple[int, int, int], ...]]:
+    """For lines of n characters the places (from, to, seed) of index keys and of probing keys."""
     at_length = (lambda _: edits) if isinstance(edits, int) else edits.at
     most = at_length(n)
-    index = [ask(line[a : a + m].encode("utf-8", "surrogatepass"), seed=n * 64 + i) for i, (a, m) in enumerate(_segments(n, most))]
+    index = tuple((a, a + m, n * 64 + i) for i, (a, m) in enumerate(_segments(n, most)))
     probes = []
     for shorter in range(max(1, n - most), n + 1):
         by, e = n - shorter, at_length(shorter)
@@ -76,9 +76,17 @@ def segment_keys(line: str, edits: int | Steps) -> tuple[list[int], list[int]]:
             # at most i edits left of segment i and e - i right of it
             lo = max(0, a - i, a + by - (e - i))
             hi = min(n - m, a + i, a + by + (e - i))
-            for at in range(lo, hi + 1):
-                probes.append(ask(line[at : at + m].encode("utf-8", "surrogatepass"), seed=shorter * 64 + i))
-    return index, probes
+            probes += [(at, at + m, shorter * 64 + i) for at in range(lo, hi + 1)]
+    return index, tuple(probes)
+
+
+def segment_keys(line: str, edits: int | Steps) -> tuple[list[int], list[int]]:
+    """Index keys of a line, and the keys that it probes for lines that are at most as long."""
+    ask = xxhash.xxh3_64_intdigest
+    if line.isascii():  # characters are bytes
+        raw = line.encode()
+        return tuple([ask(raw[a:b], seed=s) for a, b, s in places] for places in _plan(len(line), edits))
+    return tuple([ask(line[a:b].encode("utf-8", "surrogatepass"), seed=s) for a, b, s in places] for places in _plan(len(line), edits))
 
 
 def within(pairs: list[tuple[str, str]], edits: int | Steps) -> np.ndarray:
