@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scanloom.plans import analysis_queries, calibration_queries, catalog_queries, detector_queries, language_queries, pointing_queries, sample_queries, split_queries, stream_queries
+from scanloom.plans import analysis_queries, calibration_queries, catalog_queries, detector_queries, language_queries, pointing_queries, sample_queries, signal_queries, split_queries, stream_queries
 
-MODULES = (catalog_queries, sample_queries, calibration_queries, split_queries, detector_queries, language_queries, stream_queries, pointing_queries, analysis_queries)
+MODULES = (catalog_queries, sample_queries, calibration_queries, split_queries, detector_queries, language_queries, stream_queries, pointing_queries, analysis_queries, signal_queries)
 
 
 def united(parts: list[dict]) -> dict:
