@@ -34,8 +34,8 @@ def every(prior=None):
     return [
         sg.polarised_sky(F.col("pix"), F.col("psi")).only(~F.col("cut")),
         sg.constant("offset", blocks, prior or sg.relative_prior(0.5)),
-        sg.cut_polynomial(det() * 1000 + F.col("lo"), 3),
-        sg.elevation(det(), 2, sg.relative_prior(0.1)),
+        sg.cut_polynomial(det() * 1000 + F.col("lo"), 3, sg.relative_prior(0.2)),
+        sg.elevation(det(), 2, sg.relative_prior(1.0)),
     ]
 
 
@@ -96,7 +96,7 @@ def solved(p, w, v, q, n_inv=None):
 
 def penalties(p, names, w):
     d = (p * p * w[:, None]).sum(0)
-    return d * np.array([{1: 0.5, 3: 0.1}.get(n, 0.0) for n, _, _ in names])
+    return d * np.array([{1: 0.5, 2: 0.2, 3: 1.0}.get(n, 0.0) for n, _, _ in names])
 
 
 def test_white_noise_gives_the_dense_solution(table):
