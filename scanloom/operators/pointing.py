@@ -118,11 +118,40 @@ def arc_offsets(xi: Column, eta: Column, mean_roll: Column, model: Mapping[str,
 
 def on_sky(az: Column, el: Column, roll: Column, t: Column, xi: Column, eta: Column, gamma: Column, latitude: float = LATITUDE, longitude: float = LONGITUDE) -> Column:
     """struct(lon, lat, psi): right ascension in [-pi, pi], declination and turn of a detector at (xi, eta, gamma), by a
-    plain rotation of the sky as in functions.angles."""
-    turns = F.lit(0.7790572732640) + F.lit(1.00273781191135448) * (t - F.lit(946728000.0)) / 86400
-    sidereal = (turns - F.floor(turns)) * (2 * math.pi) + longitude
-    site = [euler(2, sidereal), euler(1, F.lit(math.pi / 2 - latitude)), euler(2, F.lit(math.pi))]
-    return direction(product(*site, to_direction(-az, el, roll), to_offset(xi, eta, gamma)))
+    plain rotation of the sky as in functions.angles. It is asked for at every sample of every detector, so the rotations
+    are multiplied for whole batches."""
+
+    @F.pandas_udf("lon double, lat double, psi double")
+    def run(az: pd.Series, el: pd.Series, roll: pd.Series, t: pd.Series, xi: pd.Series, eta: pd.Series, gamma: pd.Series) -> pd.DataFrame:
+        az, el, roll, t, xi, eta, gamma = (x.to_numpy(float) for x in (az, el, roll, t, xi, eta, gamma))
+        turns = 0.7790572732640 + 1.00273781191135448 * (t - 946728000.0) / 86400
+        phi, theta = np.arctan2(-xi, -eta), np.arcsin(np.minimum(1.0, np.sqrt(xi * xi + eta * eta)))
+        q = _turned(2, (turns - np.floor(turns)) * (2 * math.pi) + longitude)
+        # the site, the boresight, the place on the focal plane
+        for axis, angle in ((1, math.pi / 2 - latitude), (2, math.pi), (2, -az), (1, math.pi / 2 - el), (2, roll), (2, phi), (1, theta), (2, gamma - phi)):
+            q = _after(q, axis, angle)
+        w, x, y, z = q
+        half, other = np.arctan2(z, w), np.arctan2(-x, y)
+        wound = lambda a: a - np.floor(a / (2 * math.pi) + 0.5) * (2 * math.pi)
+        lat = math.pi / 2 - 2 * np.arctan2(np.sqrt(x * x + y * y), np.sqrt(w * w + z * z))
+        return pd.DataFrame({"lon": wound(half + other), "lat": lat, "psi": wound(half - other)})
+
+    return run(*(c.cast("double") for c in (az, el, roll, t, xi, eta, gamma)))
+
+
+def _turned(axis: int, angle: np.ndarray) -> list[np.ndarray]:
+    """The quaternions (w, x, y, z) of rotations about an axis."""
+    q = [np.cos(angle / 2), *(np.zeros_like(angle) for _ in range(3))]
+    q[axis + 1] = np.sin(angle / 2)
+    return q
+
+
+def _after(q: list[np.ndarray], axis: int, angle: np.ndarray | float) -> list[np.ndarray]:
+    """Rotations q after one about y (1) or z (2)."""
+    (w, x, y, z), c, s = q, np.cos(angle / 2), np.sin(angle / 2)
+    if axis == 1:
+        return [w * c - y * s, x * c - z * s, y * c + w * s, z * c + x * s]
+    return [w * c - z * s, x * c + y * s, y * c - x * s, z * c + w * s]
 
 
 BASIS = 11
@@ -147,11 +176,11 @@ def fitted(path: DataFrame, exact: DataFrame, by: str, det: str = "det") -> Data
     exact: rows (by, det, samp, y, x, psi) at some of the samples, each of them for every detector. The normal equations
     of a group are summed over its samples, and right sides over each detector's, with partial sums; what is solved is one
     BASIS x BASIS matrix a group, where its row lies. Functions that the samples cannot tell apart get the smallest
-    coefficients."""
-    known = exact.select(by, "samp").distinct()
+    coefficients. Matrices join by a merge: Catalyst counts an array as one element and would broadcast all of them."""
+    known = exact.select(by, "samp")
     pairs = [(i, j) for i in range(BASIS) for j in range(i, BASIS)]
     sums = [F.sum(F.col("b")[i] * F.col("b")[j]) for i, j in pairs]
-    gram = path.join(known, [by, "samp"]).groupBy(by).agg(F.array(*sums).alias("gram"))
+    gram = path.join(known, [by, "samp"], "left_semi").groupBy(by).agg(F.array(*sums).alias("gram"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -170,7 +199,7 @@ def fitted(path: DataFrame, exact: DataFrame, by: str, det: str = "det") -> Data
     right = [F.array(*(F.sum(F.col("b")[i] * F.col(c)) for i in range(BASIS))).alias(c) for c in _PIXELS]
     sides = exact.join(path, [by, "samp"]).groupBy(by, det).agg(*right)
     row = lambda c: F.transform(F.sequence(F.lit(0), F.lit(BASIS - 1)), lambda i: _dot(F.slice("inv", i * BASIS + 1, BASIS), F.col(c)))
-    return sides.join(inverses, by).select(by, det, *(row(c).alias(c) for c in _PIXELS))
+    return sides.join(inverses.hint("merge"), by).select(by, det, *(row(c).alias(c) for c in _PIXELS))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -180,7 +209,7 @@ def _dot(a: Column, b: Column) -> Column:
 def evaluated(path: DataFrame, coefficients: DataFrame, by: str, det: str = "det") -> DataFrame:
     """(by, det, samp, y, x, psi) of every detector at every sample of its group's basis()."""
     c = coefficients.select(by, det, *(F.col(p).alias(f"__{p}") for p in _PIXELS))
-    return path.join(c, by).select(by, det, "samp", *(_dot(F.col("b"), F.col(f"__{p}")).alias(p) for p in _PIXELS))
+    return path.join(c.hint("merge"), by).select(by, det, "samp", *(_dot(F.col("b"), F.col(f"__{p}")).alias(p) for p in _PIXELS))
 
 
 def pixels(rows: DataFrame, at: str, by: str, samp: str, y0: float, x0: float, dy: float, dx: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import rotations
 from scanloom.functions.angles import horizon_to_equatorial
 from scanloom.operators import pointing
+from scanloom.plans import registry
 
 LEVEL = math.radians(60)
 
@@ -163,3 +164,11 @@ def test_evaluation_from_coefficients(scans):
     off = pointing.evaluated(path, c, "obs").join(exact.withColumnsRenamed({p: f"t{p}" for p in ("y", "x", "psi")}), ["obs", "det", "samp"])
     row = off.agg(F.count("*").alias("n"), F.sqrt(F.avg((F.col("y") - F.col("ty")) ** 2)).alias("y"), F.sqrt(F.avg((F.col("x") - F.col("tx")) ** 2)).alias("x")).first()
     assert row["n"] == 24 * 900 and row["y"] < 0.1 and row["x"] < 0.1
+
+
+def test_fit_broadcasts_no_matrices_and_works_directions_out_once(spark, small, scans):
+    path, exact = scans
+    plan = pointing.fitted(path, exact, "obs")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan.split("MapInPandas")[0] and "BroadcastHashJoin" not in plan.split("MapInPandas")[0].split("HashAggregate")[0]
+    whole = registry.QUERIES["pointing_fit"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "atan2" not in whole.lower() and "pythonUDF" not in whole  # the written pixels are read, not made again
