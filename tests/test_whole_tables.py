@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from scanloom.operators import noise
 from scanloom.plans import registry
 
 N = 70
@@ -80,3 +81,24 @@ def test_bounds_of_all_observations(spark, orders):
     y = [(el - 30) // 5 for az, el, _ in rows if az >= 290 or az < 45]
     (got,) = registry.QUERIES["pixel_bounds"](spark, d).collect()
     assert (got["y0"], got["y1"], got["x0"], got["width"]) == (min(y), max(y) + 1, 60, 72 - 60 + 9)
+
+
+def test_covariance_of_tiles_and_chunks(spark):
+    """Repeated, missing, null and infinite samples, against all products one by one; nothing is summed by a shuffle."""
+    r = np.random.default_rng(4)
+    rows = [(g, d, int(k), float(r.normal())) for g in (0, 1) for d in range(7) for k in r.choice(40, 25, replace=False)]
+    rows += rows[:9] + [(0, 8, k, None) for k in range(5)] + [(1, 9, 3, float("inf")), (1, 9, 4, 2.0), (1, 10, 3, float("nan"))]
+    rows += [(0, None, 1, 1.0)]
+    got = noise.covariance(spark.createDataFrame(rows, "grp int, det long, samp long, value double"), "det", "samp", "value", ["grp"], tile=3, chunk=7)
+    want = collections.defaultdict(list)
+    for g, d, k, v in rows:
+        for g2, d2, k2, v2 in rows:
+            if d is not None and d2 is not None and g == g2 and k == k2 and d <= d2:
+                want[g, d, d2].append(None if v is None or v2 is None else v * v2)
+    found = {(x["grp"], x["d1"], x["d2"]): (x["n"], x["cov"]) for x in got.collect()}
+    assert {k: n for k, (n, _) in found.items()} == {k: len(v) for k, v in want.items()}
+    for k, v in want.items():
+        v = [x for x in v if x is not None]
+        assert found[k][1] == (pytest.approx(sum(v), nan_ok=True) if v else None), k
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert "Aggregate" not in plan
