@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.sources.catalog import ranged
+
 #: Parts of obs:slot:band[:type] that make the group key (fixed values).
 MODES = {"obs": (0,), "oband": (0, 2), "wafer": (0, 1), "wband": (0, 1, 2), "none": (0, 1, 2, 3)}
 
@@ -14,27 +18,46 @@ def group_key(subobs_id: Column, mode: str) -> Column:
     return F.concat_ws(":", *(F.get(parts, k) for k in MODES[mode]))
 
 
-def islands(df: DataFrame, order: list[str], starts: Column, by: list[str], name: str) -> DataFrame:
-    """df with a number that grows where `starts` holds, within the partitions `by`."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w))
+def islands(df: DataFrame, order: list[str], carried: dict[str, Column], starts: Callable[[Column, Column], Column], by: list[str], name: str) -> DataFrame:
+    """df with a number from 0 that grows where starts(this row, the one before) holds, within the partitions `by`; both are
+    structs of the `carried` columns, and `order` is unique there.
+
+    The rows are dealt out by ranges of `by` and `order`, so that no task needs a whole partition; the ends of the ranges
+    meet, a row for each range and value of `by`."""
+    dealt = ranged(df.withColumn("__now", F.struct(*(c.alias(k) for k, c in carried.items()))), *by, *order)
+    w = Window.partitionBy("__part", *by).orderBy(*order)
+    begins = lambda now, before: F.coalesce(starts(F.col(now), F.col(before)), F.lit(False)).cast("long")
+    local = dealt.withColumn("__before", F.lag("__now").over(w)).withColumn("__new", begins("__now", "__before"))
+    key = F.struct(*order)
+    ends = local.groupBy("__part", *by).agg(F.sum("__new").alias("__n"), F.min_by("__now", key).alias("__first"), F.max_by("__now", key).alias("__last"))
+    e = Window.partitionBy(*by).orderBy("__part")
+    ends = ends.withColumn("__before", F.lag("__last").over(e)).withColumn("__new", begins("__first", "__before"))
+    earlier = F.coalesce(F.sum(F.col("__n") + F.col("__new")).over(e.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = ends.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), (earlier + F.col("__new")).alias("__base"))
+    on = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    run = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return local.withColumn("__run", run).join(base, on).select(*df.columns, (F.col("__base") + F.col("__run")).alias(name))
 
 
 def group_by_tolerance(obs: DataFrame, at: str, tol: float, by: list[str], order: list[str]) -> DataFrame:
     """obs with `cluster`: within `by`, a gap of more than tol begins another."""
-    w = Window.partitionBy(*by).orderBy(at, *order)
-    gap = F.col(at) - F.lag(at).over(w)
-    return islands(obs.withColumn("__gap", gap), [at, *order], F.col("__gap") > tol, by, "cluster").drop("__gap")
+    return islands(obs, [at, *order], {"at": F.col(at)}, lambda now, before: now["at"] - before["at"] > tol, by, "cluster")
 
 
 def scan_periods(obs: DataFrame, by: list[str], ttol: float, atol: float, pointing: list[str], order: list[str]) -> DataFrame:
     """Sessions (by, session, t0, t1, n): a jump of any pointing column by more than atol, or more than ttol between an
     end and the next start, begins another."""
-    w = Window.partitionBy(*by).orderBy("ctime", *order)
-    jump = F.col("ctime") - F.lag(F.col("ctime") + F.col("dur")).over(w) > ttol
-    for c in pointing:
-        jump = jump | (F.abs(F.col(c) - F.lag(c).over(w)) > atol)
-    marked = islands(obs.withColumn("__jump", F.coalesce(jump, F.lit(False))), ["ctime", *order], F.col("__jump"), by, "session")
+
+    def jump(now: Column, before: Column) -> Column:
+        found = now["start"] - before["end"] > ttol
+        for c in pointing:
+            found = found | (F.abs(now[c] - before[c]) > atol)
+        return found
+
+    carried = {"start": F.col("ctime"), "end": F.col("ctime") + F.col("dur"), **{c: F.col(c) for c in pointing}}
+    marked = islands(obs, ["ctime", *order], carried, jump, by, "session")
     return marked.groupBy(*by, "session").agg(
         F.min("ctime").alias("t0"), F.max(F.col("ctime") + F.col("dur")).alias("t1"), F.count("*").alias("n")
     )
