@@ -5,6 +5,7 @@ import collections
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from scanloom.operators import noise
 from scanloom.plans import registry
@@ -102,3 +103,11 @@ def test_covariance_of_tiles_and_chunks(spark):
         assert found[k][1] == (pytest.approx(sum(v), nan_ok=True) if v else None), k
     plan = got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
     assert "Aggregate" not in plan
+
+
+def test_pairs_of_tiles_use_all_partitions(spark):
+    """Little is read for many sums, so the number of tasks must not follow the bytes that they read."""
+    rows = spark.range(240).select((F.col("id") % 12).cast("int").alias("grp"), F.col("id").alias("det"), F.lit(0).cast("long").alias("samp"), F.lit(1.0).alias("value"))
+    got = noise.covariance(rows, "det", "samp", "value", ["grp"])
+    assert got.count() == 12 * 20 * 21 // 2
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
