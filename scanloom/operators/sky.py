@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.functions.angles import equatorial_to_horizon, horizon_to_equatorial, let, rewind
+from scanloom.functions.angles import equatorial_to_horizon, let, rewind
 from scanloom.operators.joins import bucketed_range_join
 
 #: rad of sky that drift over a place in a second
@@ -64,17 +66,19 @@ def point_hit(ra: Column, dec: Column, ras: Column, decs: Column, dur: Column, r
     cover less than a tenth of a degree of declination hit nothing, nor do those that have two points of one declination
     (no curve goes through them), or a null anywhere: the result is never null."""
 
-    def judged(s: Column) -> Column:
-        middle = s["at"] + DRIFT / 2 * dur
+    def on_side(at: Column) -> Column:
+        middle = at + DRIFT / 2 * dur
         turn = 2 * math.pi
         wound = ra - F.floor((ra - middle) / turn + 0.5) * turn
         wide = radius / F.cos(dec) + pad
-        in_dec = (dec > s["low"] - radius - pad) & (dec < s["high"] + radius + pad)
-        return (s["high"] - s["low"] > math.radians(0.1)) & in_dec & (wound > s["at"] - wide) & (wound < s["at"] + DRIFT * dur + wide)
+        return (wound > at - wide) & (wound < at + DRIFT * dur + wide)
 
     def seen(p: Column) -> Column:
-        at = on_curve(dec, p["decs"], p["ras"])
-        return let(F.struct(at.alias("at"), F.array_min(p["decs"]).alias("low"), F.array_max(p["decs"]).alias("high")), judged)
+        def judged(s: Column) -> Column:  # the curve comes last: most places are beyond a sweep's declinations
+            in_dec = (dec > s["low"] - radius - pad) & (dec < s["high"] + radius + pad)
+            return (s["high"] - s["low"] > math.radians(0.1)) & in_dec & let(on_curve(dec, p["decs"], p["ras"]), on_side)
+
+        return let(F.struct(F.array_min(p["decs"]).alias("low"), F.array_max(p["decs"]).alias("high")), judged)
 
     return F.coalesce(let(F.struct(ras.alias("ras"), decs.alias("decs")), seen), F.lit(False))
 
@@ -100,6 +104,12 @@ def galaxy_hit(ras: Column, decs: Column, dur: Column, radius: Column, least: fl
     return let(points, lambda p: let(lats(p), judged))
 
 
+def sidereal_time(t: np.ndarray, longitude: float) -> np.ndarray:
+    """Mean sidereal time (rad) at unix times t, as in horizon_to_equatorial()."""
+    turns = 0.7790572732640 + 1.00273781191135448 * (t - 946728000.0) / 86400
+    return (turns - np.floor(turns)) * 2 * math.pi + longitude
+
+
 def elevation(ra: Column, dec: Column, t: Column) -> Column:
     """Elevation (rad) at the site of a place on the sky at unix time t."""
     return equatorial_to_horizon(ra, dec, t, LATITUDE, LONGITUDE)[1]
@@ -107,15 +117,11 @@ def elevation(ra: Column, dec: Column, t: Column) -> Column:
 
 def wafer_centre(tube: Column, slot: Column) -> tuple[Column, Column, Column]:
     """(xi, eta, radius) of a wafer in radians; those of unknown wafers are 0."""
-    known = [(slot == w, *at, SMALL_RADIUS) for w, at in SMALL_WAFERS.items()]
-    known += [((tube == t) & (slot == w), *at, LARGE_RADIUS) for t, wafers in LARGE_WAFERS.items() for w, at in wafers.items()]
-    out = []
-    for k in (1, 2, 3):
-        c = F.when(known[0][0], math.radians(known[0][k]))
-        for x in known[1:]:
-            c = c.when(x[0], math.radians(x[k]))
-        out.append(c.otherwise(0.0))
-    return out[0], out[1], out[2]
+    place = lambda at, radius: F.array(*(F.lit(math.radians(x)) for x in (*at, radius)))
+    small = F.create_map(*(c for w, at in SMALL_WAFERS.items() for c in (F.lit(w), place(at, SMALL_RADIUS))))
+    large = F.create_map(*(c for t, wafers in LARGE_WAFERS.items() for w, at in wafers.items() for c in (F.lit(f"{t} {w}"), place(at, LARGE_RADIUS))))
+    found = F.coalesce(small[slot], large[F.concat(tube, F.lit(" "), slot)], place((0.0, 0.0), 0.0))
+    return found[0], found[1], found[2]
 
 
 def off_centre(el: Column, xi: Column, eta: Column) -> tuple[Column, Column]:
@@ -125,34 +131,42 @@ def off_centre(el: Column, xi: Column, eta: Column) -> tuple[Column, Column]:
     return F.atan2(xi, along * F.cos(el) - eta * F.sin(el)), F.asin(up)
 
 
+def _paths(xi: np.ndarray, eta: np.ndarray, baz: np.ndarray, waz: np.ndarray, bel: np.ndarray, ctime: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[row, point] of right ascensions and declinations: off_centre(), one_side() and horizon_to_equatorial() of arrays."""
+    along = np.sqrt(1 - xi * xi - eta * eta)
+    el = np.arcsin(np.clip(eta * np.cos(bel) + along * np.sin(bel), -1.0, 1.0))
+    mid = baz + np.arctan2(xi, along * np.cos(bel) - eta * np.sin(bel))
+    side = mid / math.pi
+    az1 = np.maximum(mid - waz / 2, np.floor(side) * math.pi)
+    az2 = np.minimum(mid + waz / 2, np.ceil(side) * math.pi)
+    az = az1[:, None] + (az2 - az1)[:, None] * (np.arange(POINTS) / (POINTS - 1))
+    sin_el, cos_el, sin_lat, cos_lat = np.sin(el)[:, None], np.cos(el)[:, None], math.sin(LATITUDE), math.cos(LATITUDE)
+    dec = np.arcsin(np.clip(sin_el * sin_lat + cos_el * cos_lat * np.cos(az), -1.0, 1.0))
+    hour = np.arctan2(-np.sin(az) * cos_el, sin_el * cos_lat - cos_el * sin_lat * np.cos(az))
+    ra = np.mod(sidereal_time(ctime, LONGITUDE)[:, None] - hour, 2 * math.pi)
+    return ra[:, :1] + np.mod(ra - ra[:, :1] + math.pi, 2 * math.pi) - math.pi, dec
+
+
 def with_sweep(rows: DataFrame, tube: str = "tube", slot: str = "slot") -> DataFrame:
     """rows with ras, decs and radius: the path over the sky of each wafer's centre in one sweep, at the observation's start.
 
     Needs ctime, and baz, waz, bel in degrees (waz from edge to edge). Sweeps stop where they would cross from the
     eastern to the western sky; right ascensions go on from the first one's turn. A null gives nulls."""
-    xi, eta, radius = wafer_centre(F.col(tube), F.col(slot))
-
-    def range_of(e: Column) -> Column:
-        mid, half = F.radians("baz") + e["shift"], F.radians("waz") / 2
-        az1, az2 = one_side(mid - half, mid + half)
-        return F.struct(az1.alias("az1"), az2.alias("az2"), e["el"].alias("el"))
-
-    def point(r: Column, k: Column) -> Column:
-        ra, dec = horizon_to_equatorial(r["az1"] + (r["az2"] - r["az1"]) * (k / (POINTS - 1)), r["el"], F.col("ctime"), LATITUDE, LONGITUDE)
-        return F.struct(ra.alias("ra"), dec.alias("dec"))
-
-    def unwound(p: Column) -> Column:
-        first = p[0]["ra"]
-        ras = F.transform(p, lambda x: first + rewind(x["ra"] - first, 2 * math.pi))
-        return F.struct(ras.alias("ras"), F.transform(p, lambda x: x["dec"]).alias("decs"))
-
-    def path(o: Column) -> Column:
-        shift, el = off_centre(F.radians("bel"), o["xi"], o["eta"])
-        limits = let(F.struct(shift.alias("shift"), el.alias("el")), range_of)
-        return let(limits, lambda r: let(F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda k: point(r, k)), unwound))
 
-    out = rows.withColumn("__path", let(F.struct(xi.alias("xi"), eta.alias("eta")), path))
-    return out.select(*rows.columns, F.col("__path.ras").alias("ras"), F.col("__path.decs").alias("decs"), radius.alias("radius"))
+    @F.arrow_udf("struct<ras array<double>, decs array<double>>")
+    def path(place: pa.Array, baz: pa.Array, waz: pa.Array, bel: pa.Array, ctime: pa.Array) -> pa.Array:
+        cols = [c.cast(pa.float64()) for c in (baz, waz, bel, ctime)]
+        known = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in cols])
+        at = place.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+        baz, waz, bel, ctime = (c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in cols)
+        both = _paths(at[:, 0], at[:, 1], np.radians(baz), np.radians(waz), np.radians(bel), ctime)
+        ends = pa.array(np.arange(len(known) + 1) * POINTS, pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel(), mask=np.repeat(~known, POINTS))) for x in both]
+        return pa.StructArray.from_arrays(lists, ["ras", "decs"])
+
+    placed = rows.withColumn("__place", F.array(*wafer_centre(F.col(tube), F.col(slot))))
+    out = placed.withColumn("__path", path("__place", "baz", "waz", "bel", "ctime"))
+    return out.select(*rows.columns, F.col("__path.ras").alias("ras"), F.col("__path.decs").alias("decs"), F.col("__place")[2].alias("radius"))
 
 
 def positions_at(points: DataFrame, tracks: DataFrame, key: str, at: str, width: float = 86400.0) -> DataFrame:

@@ -60,3 +60,30 @@ def test_all_edges_of_many_bins(spark):
     want = [0] + sorted(math.floor(500_000 / 1.1**k) for k in range(200) if 500_000 / 1.1**k >= 10)
     assert edges == want and len(edges) > 100
     assert spark.range(1).select(spectra.log_edges(F.lit(3)).alias("e")).first()["e"] == [0]
+
+
+def test_sweeps_in_batches_follow_the_columns(spark):
+    """Paths are those of the column functions point by point, unknown wafers and nulls included, and no expression walks
+    over the points of each row."""
+    from scanloom.functions.angles import horizon_to_equatorial
+
+    rows = [("c1", "ws1", 8e8, 10.0, 20.0, 50.0), ("o6", "ws.", 8.1e8, 355.0, 40.0, 35.0), (None, "st3", 9e8, 100.0, 30.0, 60.0), ("x", "ws0", 8e8, 181.0, 10.0, 45.0), ("i1", "ws0", 8e8, None, 10.0, 45.0), ("i1", None, 8e8, 1.0, 10.0, 45.0)]
+    df = spark.createDataFrame(rows, "tube string, slot string, ctime double, baz double, waz double, bel double")
+    swept = sky.with_sweep(df)
+    assert "lambda" not in swept._jdf.queryExecution().optimizedPlan().toString()
+    xi, eta, radius = sky.wafer_centre(F.col("tube"), F.col("slot"))
+    df = swept.withColumns({"xi": xi, "eta": eta, "r2": radius})
+    shift, el = sky.off_centre(F.radians("bel"), F.col("xi"), F.col("eta"))
+    df = df.withColumns({"el": el, "mid": F.radians("baz") + shift})
+    az1, az2 = sky.one_side(F.col("mid") - F.radians("waz") / 2, F.col("mid") + F.radians("waz") / 2)
+    df = df.withColumns({"az1": az1, "az2": az2})
+    points = [horizon_to_equatorial(F.col("az1") + (F.col("az2") - F.col("az1")) * (k / 5), F.col("el"), F.col("ctime"), sky.LATITUDE, sky.LONGITUDE) for k in range(6)]
+    got = df.select("ras", "decs", "radius", "r2", "baz", F.array(*(p[0] for p in points)).alias("a"), F.array(*(p[1] for p in points)).alias("d")).collect()
+    assert [r["radius"] for r in got] == [r["r2"] for r in got] == pytest.approx([math.radians(x) for x in (0.3, 0.3, 6.0, 0.0, 0.3, 0.0)])
+    for r in got:
+        if r["baz"] is None:
+            assert r["ras"] == r["decs"] == [None] * 6
+            continue
+        assert r["decs"] == pytest.approx(r["d"], abs=1e-9)
+        assert np.allclose(np.exp(1j * np.array(r["ras"])), np.exp(1j * np.array(r["a"])), atol=1e-9)
+        assert np.ptp(r["ras"]) < math.pi
