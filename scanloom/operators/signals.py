@@ -5,7 +5,9 @@ A signal says what each sample sees of it: up to a few taps, each the key of an
 is the zipped vector of the map equation (P' N^-1 P + Q) x = P' N^-1 d; Q comes from the signals' priors.
 
 With white noise the equation's matrix is summed once, in blocks between the unknowns that samples see together, and the
-steps of the conjugate gradients read those blocks and no samples. With correlated noise each step projects the vector on
+steps of the conjugate gradients read those blocks and no samples. The blocks lie in buckets of the unknown that they are
+multiplied with, as the vector does, so a step shuffles products that are summed already and no blocks; unknowns of
+signals that have FEW at most are broadcast. With correlated noise each step projects the vector on
 the samples, weighs them and gathers them again. Vectors are written to the shared folder at each step, those of the step
 before are deleted, and only scalars come to the driver.
 """
@@ -20,12 +22,14 @@ from pyspark.sql import functions as F
 
 from scanloom.operators.calibration import legendre
 from scanloom.operators.intervals import in_ranges, split_ranges
-from scanloom.sources.shared import forget, written
+from scanloom.sources.shared import bucketed, forget, written
 
 #: From an amplitude's white weight and what the signal says of its unknown to the weight of its being zero.
 Prior = Callable[[Column, Column], Column]
 #: From samples, with their weights in `w`, and the name of a column to that column weighed by the inverse noise, as `nv`.
 Noise = Callable[[DataFrame, str], DataFrame]
+#: Unknowns of a signal that are broadcast in the steps.
+FEW = 20_000
 
 
 @dataclass(frozen=True)
@@ -233,14 +237,24 @@ def matrix(data: DataFrame, signals: Sequence[Signal]) -> DataFrame:
     return _summed(pairs, ["signal", "key", "signal2", "key2"], F.col("x"), max(s.width for s in signals) ** 2)
 
 
-def _times(blocks: DataFrame, x: DataFrame, width: int) -> DataFrame:
-    """The matrix times a vector."""
-    other = x.select(F.col("signal").alias("signal2"), F.col("key").alias("key2"), F.col("value").alias("p"))
+def _products(blocks: DataFrame, x: DataFrame) -> DataFrame:
+    """(signal, key, x): blocks times what they stand on of a vector (signal2, key2, p)."""
     n = F.size("p")
     row = lambda i: _dot(F.slice("value", i * n + 1, n), F.col("p"))
     got = F.transform(F.sequence(F.lit(0), (F.size("value") / n).cast("int") - 1), row)
-    rows = blocks.join(other, ["signal2", "key2"]).select("signal", "key", got.alias("x"))
-    return _summed(rows, ["signal", "key"], F.col("x"), width)
+    return blocks.join(x, ["signal2", "key2"]).select("signal", "key", got.alias("x"))
+
+
+def _times(near: DataFrame, far: DataFrame, x: DataFrame, few: list[int], width: int) -> DataFrame:
+    """The matrix times a vector: `near` are the blocks on unknowns of the signals `few`, in buckets of their rows, and `far`
+    all others, in buckets of what they stand on."""
+    other = x.select(F.col("signal").alias("signal2"), F.col("key").alias("key2"), F.col("value").alias("p"))
+    held = F.col("signal2").isin(few)
+    keys, arrays = ["signal", "key"], F.col("x")
+    one = _summed(_products(near, F.broadcast(other.where(held))), keys, arrays, width).withColumnRenamed("value", "__near")
+    two = _summed(_products(far, other.where(~held)), keys, arrays, width).withColumnRenamed("value", "__far")
+    both = x.select(*keys).join(one, keys, "left").join(two, keys, "left")  # the vector has all unknowns
+    return both.select(*keys, F.coalesce(F.zip_with("__near", "__far", lambda a, b: a + b), "__near", "__far").alias("value"))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -265,18 +279,25 @@ def solve(
     of which unknowns that are not there any more are left out. No samples give no unknowns."""
     data = written(prepared(samples, signals), "signals-data")
     keys, width = ["signal", "key"], max(s.width for s in signals)
-    blocks = written(matrix(data, signals), "signals-matrix") if noise is None else None
-
-    def times(x: DataFrame) -> DataFrame:
-        """P' N^-1 P x."""
-        return _times(blocks, x, width) if blocks is not None else gathered(noise(projected(data, signals, x), "model"), signals, "nv")
-
     scaled = lambda r: F.zip_with(r, F.zip_with("d", "q", lambda d, q: F.when(d + q > 0, 1 / F.nullif(d + q, F.lit(0.0))).otherwise(0.0)), lambda a, b: a * b)
     size = lambda df, r="r": df.agg(F.sum(_dot(F.col(r), scaled(F.col(r))))).first()[0] or 0.0
     b = gathered((noise or white)(data, "v"), signals, "nv").withColumnRenamed("value", "b")
     zero = F.transform("d", lambda _: F.lit(0.0))
     base = written(_diagonal(data, signals).join(b, keys), "signals-base")
     first = size(base, "b")
+    tables = [data, base]
+    if noise is None:
+        few = [r["signal"] for r in base.groupBy("signal").count().where(F.col("count") <= FEW).collect()]  # a row for each signal
+        blocks = written(matrix(data, signals), "signals-matrix")
+        near = bucketed(blocks.where(F.col("signal2").isin(few)), "signals-near", *keys)
+        far = bucketed(blocks.where(~F.col("signal2").isin(few)), "signals-far", "signal2", "key2")
+        forget(blocks)
+        tables += [near, far]
+
+    def times(x: DataFrame) -> DataFrame:
+        """P' N^-1 P x."""
+        return _times(near, far, x, few, width) if noise is None else gathered(noise(projected(data, signals, x), "model"), signals, "nv")
+
     if start is None:
         state = base.select(*keys, "d", "q", zero.alias("x"), F.col("b").alias("r"))
     else:
@@ -284,23 +305,22 @@ def solve(
         at = at.join(times(at.select(*keys, F.col("x").alias("value"))).withColumnRenamed("value", "ax"), keys, "left")
         left = F.zip_with(F.col("b"), F.zip_with(F.coalesce("ax", zero), F.zip_with("q", "x", lambda q, x: q * x), lambda a, c: a + c), lambda r, a: r - a)
         state = at.select(*keys, "d", "q", "x", left.alias("r"))
-    state = written(state.withColumn("p", scaled(F.col("r"))), "signals-state")
+    state = bucketed(state.withColumn("p", scaled(F.col("r"))), "signals-state", *keys)
     rz = size(state)
     errors = [rz / first if first else 0.0]
     for _ in range(steps):
         if errors[-1] <= error:
             break
-        ap = times(state.select(*keys, F.col("p").alias("value"))).withColumnRenamed("value", "ap")
-        ap = state.join(ap, keys, "left").withColumn("ap", F.zip_with(F.coalesce("ap", zero), F.zip_with("q", "p", lambda q, p: q * p), lambda a, c: a + c))
-        both = written(ap, "signals-step")
+        ap = bucketed(times(state.select(*keys, F.col("p").alias("value"))).withColumnRenamed("value", "ap"), "signals-step", *keys, dealt=True)
+        both = state.join(ap, keys, "left").withColumn("ap", F.zip_with(F.coalesce("ap", zero), F.zip_with("q", "p", lambda q, p: q * p), lambda a, c: a + c))
         alpha = rz / both.agg(F.sum(_dot(F.col("p"), F.col("ap")))).first()[0]
-        both_ = both.withColumns({"x": _plus(F.col("x"), alpha, F.col("p")), "r": _plus(F.col("r"), -alpha, F.col("ap"))})
-        new = size(both_)
-        old, state = state, written(both_.select(*keys, "d", "q", "x", "r", _plus(scaled(F.col("r")), new / rz, F.col("p")).alias("p")), "signals-state")
-        forget(old, both)
+        both = both.withColumns({"x": _plus(F.col("x"), alpha, F.col("p")), "r": _plus(F.col("r"), -alpha, F.col("ap"))})
+        new = size(both)
+        old, state = state, bucketed(both.select(*keys, "d", "q", "x", "r", _plus(scaled(F.col("r")), new / rz, F.col("p")).alias("p")), "signals-state", *keys, dealt=True)
+        forget(old, ap)
         rz = new
         errors.append(rz / first)
-    forget(data, base, *([blocks] if blocks is not None else []))
+    forget(*tables)
     return Solution(state.select(*keys, F.col("x").alias("value")), errors)
 
 

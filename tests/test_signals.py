@@ -181,3 +181,28 @@ def test_query_is_the_dense_solution(spark, small):
     want = dict(zip(names, solved(p, w, v, d * np.array([1.0 * (n > 0) for n, _, _ in names]))))
     got = {(0, r["key"], r["part"]): r["value"] for r in signal_queries.signal_map(spark, small).collect()}
     assert got.keys() == {k for k in names if k[0] == 0} and all(abs(got[k] - want[k]) < 2e-3 for k in got)
+
+
+def test_steps_shuffle_no_blocks(spark, table, monkeypatch):
+    """Where the vector is too large to be broadcast, a step reads the matrix from its buckets and deals none of it anew."""
+    monkeypatch.setattr(sg, "FEW", 6)
+    seen, plain = [], sg._times
+
+    def times(near, far, x, few, width):
+        out = plain(near, far, x, few, width)
+        seen.append((few, out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(sg, "_times", times)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        signals = every()
+        p, names, w, v, _ = dense(table, signals)
+        have = vector(sg.solve(table, signals, error=1e-14).vector)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert np.allclose([have[k] for k in names], solved(p, w, v, penalties(p, names, w)), atol=1e-4)
+    few, plan = seen[0]
+    assert 0 in few and 1 not in few
+    assert plan.count("Exchange hashpartitioning") == 1 and "signals_far" in plan and "signals_near" in plan  # of the sums of one half
