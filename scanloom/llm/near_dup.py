@@ -1,8 +1,10 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents become sets of word shingles, and sets that share their smallest shingle hash a group; a group that is larger
+Documents become sets of word shingles. Sets fall into groups by hubs: each rare token that several sets have names the
+set among them whose tokens most sets have, and a set joins the one that most of its tokens name. A group that is larger
 than a block is split by the sets' keys, as groups only need to bring similar sets together, and pairs of different
-groups are found through the matrix.
+groups are found through the matrix. Near copies of one text name the same hub, whatever was edited in them, so they lie
+in few groups, and so do those among them that are similar to no other.
 
 The token-group matrix holds each group's token union, as rows (token, group), over its members' rarest tokens. A set
 queries for sets that are not larger than itself. Two sets of n >= m tokens and Jaccard similarity t share t / (1 + t)
@@ -11,7 +13,7 @@ share `least_shared` of them, and a query asks with as many as the smallest set
 many documents have in common is among neither, unless little else is in them. The number of a query's tokens that
 stand in a group's row, and what lies outside of both choices, bound its overlap with every member: where the bound is
 below what the sizes demand no member can be similar, so only groups that reach it are opened, and only opened groups
-compare sets. Nothing is approximate: token frequencies, which come from a fixed-size sketch over all documents, decide
+compare sets. A token whose holders in a group are all of the query's component counts for nothing there. Nothing is approximate: token frequencies, which come from a fixed-size sketch over all documents, decide
 only which tokens count as rare, and every order gives the same links.
 
 The work goes in three steps, each of which spares the next one. Groups are compared inside, which leaves a root for
@@ -120,8 +122,8 @@ def near_duplicates(
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size, mask = 1 << SKETCH_LOG2, np.uint64((1 << SKETCH_LOG2) - 1)
-    names = ["id", "n", "key", "short", "low", "body_key", "chunk", "body"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["id", "n", "key", "short", "body_key", "chunk", "body"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Set and text keys of the documents, then this task's part of the token-frequency sketch."""
@@ -136,40 +138,31 @@ def near_duplicates(
                 [len(x) for x in sets],
                 keys,
                 [k and _short(k) for k in keys],
-                [int(x[0].view(np.int64)) if len(x) else None for x in sets],
                 [_digest(t.encode("utf-8", "surrogatepass")) for t in part],
                 *([None] * len(sets),) * 2,
             ]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names)
         rows = counter_rows(total, SKETCH_CHUNKS)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(rows.num_rows, k) for k in kinds[:6]), *rows.columns], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(rows.num_rows, k) for k in kinds[:5]), *rows.columns], names)
 
-    scanned = src.mapInArrow(scan, "id long, n long, key binary, short long, low long, body_key binary, chunk int, body binary")
+    scanned = src.mapInArrow(scan, "id long, n long, key binary, short long, body_key binary, chunk int, body binary")
     scanned = written(scanned, "jaccard-scan")
     sketch = spark.sparkContext.broadcast(  # 4 bytes for each of 2^22 counters, whatever the input
         merged_counters(scanned.where("chunk is not null").select("chunk", "body"), size, "sum")
     )
-    seen = scanned.where("chunk is null").select("id", "n", "key", "short", "low", "body_key")
+    seen = scanned.where("chunk is null").select("id", "n", "key", "short", "body_key")
     n_docs = seen.count()
 
     sets = seen.where("key is not null").groupBy("key")
-    sets = sets.agg(*(F.min(c).alias(c) for c in ("id", "short", "low", "n", "body_key")), F.count("*").alias("copies"))
+    sets = sets.agg(*(F.min(c).alias(c) for c in ("id", "short", "n", "body_key")), F.count("*").alias("copies"))
     sets = written(sets, "jaccard-distinct")
-    large = sets.groupBy("low").agg(F.ceil(F.count("*") / block).alias("parts")).where("parts > 1")
-    large = written(large, "jaccard-large")  # small, or else joined by a shuffle: that is left to its measured size
-
-    def grouped(df: DataFrame) -> DataFrame:
-        """df (short, low, ...) with the group of each row."""
-        part = F.xxhash64("low", F.pmod("short", "parts"))
-        return df.join(large, "low", "left").withColumn("grp", F.when(F.col("parts").isNull(), F.col("low")).otherwise(part)).drop("low", "parts")
-
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(token, short, low, often, held) of every set's rarest tokens, those with which it queries; `held` marks those
+        """(token, short, often, held) of every set's rarest tokens, those with which it queries; `held` marks those
         of them that stand for it in its group's union. `often`: the token may be held by a share of all documents that
         no task should get alone."""
         make, freq, told = Shingler(words), sketch.value, set()
         for b in slices(batches):
-            token, short, low, often, held = [], [], [], [], []
+            token, short, often, held = [], [], [], []
             for x in make.sets(texts_of(b)):
                 if not len(x) or (k := _short(_digest(x.tobytes()))) in told:
                     continue
@@ -181,25 +174,36 @@ def near_duplicates(
                 few = np.lexsort((x, share))[: n - asks + min(least_shared, asks)]
                 token.append(x[few])
                 short.append(np.full(len(few), k, np.int64))
-                low.append(np.full(len(few), x[0].view(np.int64), np.int64))
                 often.append(share[few].astype(np.int64) * HEAVY >= n_docs)
                 held.append(np.arange(len(few)) < n - holds + min(least_shared, holds))
             if token:
-                cols = (np.concatenate(c) for c in (token, short, low, often, held))
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], ["token", "short", "low", "often", "held"])
+                cols = (np.concatenate(c) for c in (token, short, often, held))
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], ["token", "short", "often", "held"])
 
-    probes = src.select("text").mapInArrow(rarest, "token long, short long, low long, often boolean, held boolean")
-    probes = written(grouped(probes), "jaccard-probes")
-    # tokens that stand for some group and are in another one, too
-    met = probes.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max("held").alias("some"), F.max("often").alias("often"))
+    probes = src.select("text").mapInArrow(rarest, "token long, short long, often boolean, held boolean")
+    probes = written(probes, "jaccard-probes")
+    # tokens that stand for some set and are in another one, too
+    met = probes.groupBy("token").agg(F.min("short").alias("lo"), F.max("short").alias("hi"), F.max("held").alias("some"), F.max("often").alias("often"))
     met = written(met.where("lo <> hi and some").select("token", "often"), "jaccard-tokens")
     seldom = probes.where("not often").join(met.where("not often"), "token", "left_semi")
     often = probes.where("often").join(met.where("often"), "token", "left_semi")  # a join that can be split where it is skewed
-    matrix = seldom.select("token", "short", "grp", "held").union(often.select("token", "short", "grp", "held"))
-    matrix = written(matrix.groupBy("token", "short", "grp").agg(F.max("held").alias("held")), "jaccard-matrix")
+    matrix = seldom.select("token", "short", "held").union(often.select("token", "short", "held"))
+    matrix = written(matrix.groupBy("token", "short").agg(F.max("held").alias("held")), "jaccard-matrix")
     forget(probes)
 
-    sets = written(grouped(sets), "jaccard-sets")
+    # a token's hub is, of the sets that have it, the one whose tokens most sets have; a set's group is the hub of most of
+    # its tokens, and a set alone if those are few
+    ranks = matrix.join(matrix.groupBy("token").agg(F.count("*").alias("sets")), "token").groupBy("short").agg(F.sum("sets").alias("rank"))
+    hubs = matrix.join(ranks, "short").groupBy("token").agg(F.max(F.struct("rank", "short")).alias("hub"))
+    votes = matrix.join(hubs, "token").groupBy("short", "hub").agg(F.count("*").alias("votes"))
+    homes = votes.groupBy("short").agg(F.max(F.struct("votes", "hub")).alias("best")).where(F.col("best.votes") >= least_shared)
+    homes = written(homes.select("short", F.col("best.hub.short").alias("hub")), "jaccard-homes")
+    large = homes.groupBy("hub").agg(F.ceil(F.count("*") / block).alias("parts")).where("parts > 1")
+    large = written(large, "jaccard-large")  # small, or else joined by a shuffle: that is left to its measured size
+    part = F.xxhash64("hub", F.pmod("short", "parts"))
+    homes = homes.join(large, "hub", "left").select("short", F.when(F.col("parts").isNull(), F.col("hub")).otherwise(part).alias("grp"))
+    sets = sets.join(homes, "short", "left").withColumn("grp", F.coalesce("grp", "short"))  # one group where halves of keys are equal
+    sets = written(sets, "jaccard-sets")
     in_matrix = matrix.select("short").distinct()
     several = sets.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1").select("grp")
     within = sets.join(several, "grp", "left_semi")
@@ -288,16 +292,14 @@ def near_duplicates(
         mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("held").alias("some"))
         rows = rows.join(mixed.where("lo <> hi and some").select("token"), "token", "left_semi")
         rows = written(rows.select("token", "key", "grp", "n", "label", "held"), f"jaccard-{name}")
-        taking = rows.select("key", "grp", "n", "label").distinct()
-        groups = taking.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        groups = written(groups, f"jaccard-{name}-groups")
-        unions = rows.where("held").select("token", "grp").distinct().join(groups, "grp")
+        members = [f(c).alias(k) for f, c, k in ((F.min, "n", "least"), (F.max, "n", "most"), (F.min, "label", "lo"), (F.max, "label", "hi"))]
+        unions = rows.where("held").groupBy("token", "grp").agg(*members)
         asking = rows.select("token", "key", "n", "label", F.col("grp").alias("home"))
-        # a set queries groups that are not all of its label for members that are not larger than it; of two sets of one
-        # size, where a group has no other, the one in the group of the larger number asks
+        # a set queries groups where what holds the token is not all of its label, for members that are not larger than it;
+        # of two sets of one size, where no other holds the token, the one in the group of the larger number asks
         pairs = asking.join(unions, "token").where("home <> grp and n >= least and not (lo = hi and lo = label)")
         pairs = pairs.where(f"{num} * n <= {den} * most and not (least = most and n = least and home < grp)")
-        shared = pairs.groupBy("key", "grp").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("n", "least", "most", "label")))
+        shared = pairs.groupBy("key", "grp").agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"), *(F.first(c).alias(c) for c in ("n", "label")))
         asks = lambda c: F.ceil(c * num / den)
         holds = lambda c: F.ceil(2 * num * c / (num + den))
         n, least = F.col("n"), F.greatest("least", asks(F.col("n")))
@@ -308,10 +310,10 @@ def near_duplicates(
         # a group's queries are dealt out in blocks, each with all members
         parts = asked.groupBy("grp").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("parts"))
         queries = asked.join(parts, "grp").select("grp", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("blk"), F.lit(1).alias("role"), "key", "label")
-        members = taking.join(parts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("blk"), F.lit(0).alias("role"), "key", "label")
+        members = rows.select("key", "grp", "label").distinct().join(parts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("blk"), F.lit(0).alias("role"), "key", "label")
         dealt = queries.unionByName(members).join(texts, "key").repartition("grp", "blk").sortWithinPartitions("grp", "blk", "role", "key")
         links = written(dealt.mapInArrow(compare_across, "a binary, b binary"), f"jaccard-{name}-links")
-        forget(rows, groups, asked)
+        forget(rows, asked)
         return links
 
     # roots of classes first, then all sets; a group, and so a root, holds a block at most

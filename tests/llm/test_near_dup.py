@@ -144,3 +144,33 @@ def test_sizes_at_the_threshold(docs_of):
     rnd.shuffle(rows)
     for block, least_shared in ((1500, 4), (1, 1), (2, 7)):
         assert got(near_duplicates(docs_of(rows), block=block, least_shared=least_shared)) == brute(rows)
+
+
+def test_near_copies_of_many_smallest_shingles_meet_in_few_groups(docs_of, monkeypatch):
+    """Copies of one text with an edit each, whose smallest shingles differ, linked through the text or not at all: they
+    ask for groups, and groups are asked, in proportion to their number."""
+    from scanloom.llm import near_dup
+
+    tables, write = {}, near_dup.written
+
+    def kept(df, name):
+        out = write(df, name)
+        tables[name] = tables.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "written", kept)
+    for linked in (True, False):
+        rnd = random.Random(11)
+        base = [f"b{k}" for k in range(40)]
+        asked = []
+        for n in (80, 240):
+            rows = [(0, " ".join(base))] if linked else []
+            for k in range(n):
+                text = list(base)
+                text[rnd.randrange(4, 36)] = f"own{k}"
+                rows.append((k + 1, " ".join(text)))
+            rnd.shuffle(rows)
+            tables.clear()
+            assert got(near_duplicates(docs_of(rows))) == brute(rows)
+            asked.append(tables["jaccard-sets-asked"] + tables["jaccard-roots-asked"])
+        assert asked[1] <= 3 * max(asked[0], 80), asked
