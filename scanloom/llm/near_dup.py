@@ -49,6 +49,11 @@ def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def _front(key: bytes) -> int:
+    """The first seven bytes of a key, a number that SQL reads from them, too."""
+    return int.from_bytes(key[:7], "big")
+
+
 class _Members:
     """Sets of a group under one index of their tokens."""
 
@@ -209,29 +214,25 @@ def near_duplicates(
     within = sets.join(several, "grp", "left_semi")
     wanted = within.select("key", "body_key").union(sets.join(in_matrix, "short", "left_semi").select("key", "body_key")).distinct()
     wanted = written(wanted, "jaccard-wanted")
-    bits = spark.sparkContext.broadcast(bloom_bits(wanted.select(F.xxhash64("body_key").alias("h")), "h"))
+    front = F.conv(F.hex(F.substring("body_key", 1, 7)), 16, 10).cast("long")
+    bits = spark.sparkContext.broadcast(bloom_bits(wanted.select(front.alias("front")), "front"))
 
     def of_interest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(body_key, compressed text) of the texts that some group holds or is queried with, once in a task."""
         told, pack = set(), zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            keep = np.flatnonzero(bloom_has(bits.value, b.column("h").to_numpy()))
+        for b in slices(batches):
+            texts = [t.encode("utf-8", "surrogatepass") for t in texts_of(b)]
+            found = [_digest(t) for t in texts]
             keys, bodies = [], []
-            for i in keep.tolist():
-                if (k := b.column("body_key")[i].as_py()) not in told:
+            for i in np.flatnonzero(bloom_has(bits.value, np.array([_front(k) for k in found], np.int64))).tolist():
+                if found[i] not in told:
                     if len(told) < 200_000:
-                        told.add(k)
-                    keys.append(k)
-                    bodies.append(pack.compress((b.column("text")[i].as_py() or "").encode("utf-8", "surrogatepass")))
+                        told.add(found[i])
+                    keys.append(found[i])
+                    bodies.append(pack.compress(texts[i]))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], ["body_key", "body"])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            keys = pa.array([_digest(t.encode("utf-8", "surrogatepass")) for t in texts_of(b)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("text"), keys], ["text", "body_key"])
-
-    texts = src.select("text").mapInArrow(keyed, "text string, body_key binary").withColumn("h", F.xxhash64("body_key"))
-    texts = texts.mapInArrow(of_interest, "body_key binary, body binary").dropDuplicates(["body_key"])
+    texts = src.select("text").mapInArrow(of_interest, "body_key binary, body binary").dropDuplicates(["body_key"])
     texts = written(wanted.join(texts, "body_key").select("key", "body"), "jaccard-texts")
 
     def blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, tuple[np.ndarray, ...]]]:

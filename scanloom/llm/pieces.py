@@ -270,6 +270,20 @@ class PieceEncoder:
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[take], pa.int32()))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: PieceVocabulary) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """(doc ids, lists of ids) of batches of (id, text), some hundred texts and about a million characters at a time."""
+    encoder = PieceEncoder(vocabulary)
+    for b in slices(batches, 300):
+        texts, at = texts_of(b), 0
+        while at < len(texts):
+            n, size = 0, 0
+            while at + n < len(texts) and (n == 0 or size < 1_000_000):
+                size += len(texts[at + n])
+                n += 1
+            yield b.column("id").slice(at, n), encoder.encode(texts[at : at + n])
+            at += n
+
+
 def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc id, ids array<int>): the SentencePiece ids of each whole text, without begin or end ids.
 
@@ -278,16 +292,8 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", id_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(PieceVocabulary(model))
-        for b in slices(batches, 300):
-            texts, at = texts_of(b), 0
-            while at < len(texts):
-                n, size = 0, 0
-                while at + n < len(texts) and (n == 0 or size < 4_000_000):
-                    size += len(texts[at + n])
-                    n += 1
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, n), encoder.encode(texts[at : at + n])], ["id", "ids"])
-                at += n
+        for doc, ids in _encoded(batches, PieceVocabulary(model)):
+            yield pa.RecordBatch.from_arrays([doc, ids], ["id", "ids"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
@@ -298,12 +304,23 @@ def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = PieceVocabulary(model)
-        for b in batches:
-            for at in range(0, b.num_rows, 400):
-                part = b.slice(at, 400)
-                ids = part.column("ids")
-                texts = v.decode(ids if ids.null_count == 0 else pa.array([x or [] for x in ids.to_pylist()], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([part.column("id"), ids, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+        for b in slices(batches, 400):
+            ids = b.column("ids")
+            texts = v.decode(ids if ids.null_count == 0 else pa.array([x or [] for x in ids.to_pylist()], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([b.column("id"), ids, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     src = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return src.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+
+
+def encode_and_decode(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """decode_pieces(encode_pieces(docs)), in one Python worker for each task instead of two that run at once: the ids of
+    a few hundred texts are decoded before the next texts are encoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = PieceVocabulary(model)
+        for doc, ids in _encoded(batches, v):
+            yield pa.RecordBatch.from_arrays([doc, ids, pa.array(v.decode(ids), pa.string())], ["id", "ids", "decoded"])
+
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)

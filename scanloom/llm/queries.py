@@ -68,7 +68,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = pieces.decode_pieces(pieces.encode_pieces(_table(spark, sf_dir, "documents"), model), model)
+    decoded = pieces.encode_and_decode(_table(spark, sf_dir, "documents"), model)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -1,5 +1,6 @@
 import random
 
+from scanloom.llm import near_dup
 from scanloom.llm.near_dup import _roots, near_duplicates
 from scanloom.llm.shingles import Shingler
 
@@ -174,3 +175,21 @@ def test_near_copies_of_many_smallest_shingles_meet_in_few_groups(docs_of, monke
             assert got(near_duplicates(docs_of(rows))) == brute(rows)
             asked.append(tables["jaccard-sets-asked"] + tables["jaccard-roots-asked"])
         assert asked[1] <= 3 * max(asked[0], 80), asked
+
+
+def test_texts_are_found_in_one_python_step(spark, docs_of, monkeypatch):
+    """The texts of groups are known and packed by one Python worker to a task, and their front is what SQL reads."""
+    key = near_dup._digest(b"some text")
+    front = near_dup._front(key)
+    assert spark.createDataFrame([(key,)], "k binary").selectExpr("cast(conv(hex(substring(k, 1, 7)), 16, 10) as long)").first()[0] == front
+    steps, write = {}, near_dup.written
+
+    def written(df, name):
+        steps[name] = df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+        return write(df, name)
+
+    monkeypatch.setattr(near_dup, "written", written)
+    text = " ".join(f"w{k}" for k in range(60))
+    out = near_dup.near_duplicates(docs_of([(1, text), (2, text + " end"), (3, "else")]))
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {1: 1, 2: 1, 3: 3}
+    assert steps["jaccard-texts"] == 1

@@ -41,3 +41,16 @@ def test_awkward_and_empty(docs_of, awkward, library):
 def test_null_lists(spark):
     out = decode_pieces(spark.createDataFrame([(1, None), (2, [306, 264])], "doc_id long, ids array<int>"), MODEL).collect()
     assert {r["doc_id"]: r["decoded"] for r in out} == {1: "", 2: "th a"}
+
+
+def test_one_worker_to_a_task(docs_of, awkward):
+    """Encoding and decoding together are one Python step, with the rows of the two."""
+    import corpus_pipeline
+    from scanloom.llm.pieces import encode_and_decode
+
+    docs = docs_of(awkward)
+    out = encode_and_decode(docs, MODEL)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(out) == rows(decode_pieces(encode_pieces(docs, MODEL), MODEL))
+    for plan in (out, corpus_pipeline.sentencepiece(docs.sparkSession, docs, "")):
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
