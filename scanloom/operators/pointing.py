@@ -6,10 +6,12 @@ Angles are radians. A boresight is (az, el, roll), as the rotation to longitude
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,22 +125,27 @@ def on_sky(az: Column, el: Column, roll: Column, t: Column, xi: Column, eta: Col
 
     @F.pandas_udf("lon double, lat double, psi double")
     def run(az: pd.Series, el: pd.Series, roll: pd.Series, t: pd.Series, xi: pd.Series, eta: pd.Series, gamma: pd.Series) -> pd.DataFrame:
-        az, el, roll, t, xi, eta, gamma = (x.to_numpy(float) for x in (az, el, roll, t, xi, eta, gamma))
-        turns = 0.7790572732640 + 1.00273781191135448 * (t - 946728000.0) / 86400
-        phi, theta = np.arctan2(-xi, -eta), np.arcsin(np.minimum(1.0, np.sqrt(xi * xi + eta * eta)))
-        q = _turned(2, (turns - np.floor(turns)) * (2 * math.pi) + longitude)
-        # the site, the boresight, the place on the focal plane
-        for axis, angle in ((1, math.pi / 2 - latitude), (2, math.pi), (2, -az), (1, math.pi / 2 - el), (2, roll), (2, phi), (1, theta), (2, gamma - phi)):
-            q = _after(q, axis, angle)
-        w, x, y, z = q
-        half, other = np.arctan2(z, w), np.arctan2(-x, y)
-        wound = lambda a: a - np.floor(a / (2 * math.pi) + 0.5) * (2 * math.pi)
-        lat = math.pi / 2 - 2 * np.arctan2(np.sqrt(x * x + y * y), np.sqrt(w * w + z * z))
-        return pd.DataFrame({"lon": wound(half + other), "lat": lat, "psi": wound(half - other)})
+        lon, lat, psi = _seen(*(x.to_numpy(float) for x in (az, el, roll, t, xi, eta, gamma)), latitude, longitude)
+        return pd.DataFrame({"lon": lon, "lat": lat, "psi": psi})
 
     return run(*(c.cast("double") for c in (az, el, roll, t, xi, eta, gamma)))
 
 
+def _seen(az: np.ndarray, el: np.ndarray, roll: np.ndarray | float, t: np.ndarray, xi: np.ndarray | float, eta: np.ndarray | float, gamma: np.ndarray | float, latitude: float = LATITUDE, longitude: float = LONGITUDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """on_sky() of arrays."""
+    turns = 0.7790572732640 + 1.00273781191135448 * (t - 946728000.0) / 86400
+    phi, theta = np.arctan2(-xi, -eta), np.arcsin(np.minimum(1.0, np.sqrt(xi * xi + eta * eta)))
+    q = _turned(2, (turns - np.floor(turns)) * (2 * math.pi) + longitude)
+    # the site, the boresight, the place on the focal plane
+    for axis, angle in ((1, math.pi / 2 - latitude), (2, math.pi), (2, -az), (1, math.pi / 2 - el), (2, roll), (2, phi), (1, theta), (2, gamma - phi)):
+        q = _after(q, axis, angle)
+    w, x, y, z = q
+    half, other = np.arctan2(z, w), np.arctan2(-x, y)
+    wound = lambda a: a - np.floor(a / (2 * math.pi) + 0.5) * (2 * math.pi)
+    lat = math.pi / 2 - 2 * np.arctan2(np.sqrt(x * x + y * y), np.sqrt(w * w + z * z))
+    return wound(half + other), lat, wound(half - other)
+
+
 def _turned(axis: int, angle: np.ndarray) -> list[np.ndarray]:
     """The quaternions (w, x, y, z) of rotations about an axis."""
     q = [np.cos(angle / 2), *(np.zeros_like(angle) for _ in range(3))]
@@ -220,3 +227,72 @@ def pixels(rows: DataFrame, at: str, by: str, samp: str, y0: float, x0: float, d
     lon = F.col("__first.lon") + rewind(F.col(f"{at}.lon") - F.col("__first.lon"), turn)
     psi = F.col("__first.psi") + rewind(F.col(f"{at}.psi") - F.col("__first.psi"), turn)
     return d.withColumns({"y": (F.col(f"{at}.lat") - y0) / dy, "x": (lon - x0) / dx, "psi": psi}).drop("__first")
+
+
+#: Samples whose scans are fitted abreast.
+_ABREAST = 1 << 15
+
+
+def fit_errors(scans: DataFrame, by: str, dets: Sequence[tuple[int, float, float]], dy: float, dx: float) -> DataFrame:
+    """(by, det, n, y, x): for each scan and detector (det, xi, eta) the samples, and how near (rms, in pixels of dy and dx)
+    pixels() of the fit come to those of exact pointing, with the fit made at all samples of the scan.
+
+    scans (by, t, az, el): a row for each, whose arrays are of one length. This is what on_sky(), pixels(), basis(),
+    fitted() and evaluated() are for one after another, but for scans of few samples: such a scan stays in its row, so that
+    nothing is shuffled, sorted or written, where those steps join each sample with its group several times. The fit is of
+    full precision here; the normal equations of fitted() keep half of the digits, too few for the scans of one elevation.
+    Scans without samples drop out; where an angle or a time is missing or not finite, or arrays differ in length, y and x
+    are null."""
+    source = scans.select(by, *(F.col(c).cast("array<double>").alias(c) for c in ("t", "az", "el"))).where(f"{by} is not null and size(t) > 0")
+    schema = source.select(by, F.lit(0).alias("det"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("y"), F.lit(0.0).alias("x")).schema
+    for c in ("y", "x"):
+        schema[c].nullable = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            sizes = [pc.fill_null(pc.list_value_length(batch.column(i)), -1).to_numpy(zero_copy_only=False) for i in (1, 2, 3)]
+            even = (sizes[0] == sizes[1]) & (sizes[0] == sizes[2])
+            off = np.full((len(keys), len(dets), 2), np.nan)
+            for n in np.unique(sizes[0][even]):
+                alike, step = np.flatnonzero(even & (sizes[0] == n)), max(1, _ABREAST // int(n))
+                for rows in (alike[i : i + step] for i in range(0, len(alike), step)):
+                    t, az, el = (pc.list_flatten(batch.column(i).take(pa.array(rows))).to_numpy(zero_copy_only=False).reshape(len(rows), n) for i in (1, 2, 3))
+                    whole = np.isfinite(t).all(axis=1) & np.isfinite(az).all(axis=1) & np.isfinite(el).all(axis=1)
+                    off[rows[whole]] = _scan_errors(t[whole], az[whole], el[whole], dets, dy, dx)
+            each, k = np.repeat(np.arange(len(keys)), len(dets)), len(dets)
+            flat = off.reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(each)), pa.array(np.tile([d for d, _, _ in dets], len(keys)).astype(np.int32)), pa.array(np.repeat(sizes[0], k).astype(np.int64))]
+                + [pa.array(flat[:, i], mask=np.isnan(flat[:, i])) for i in (0, 1)],
+                [by, "det", "n", "y", "x"],
+            )
+
+    return source.mapInArrow(run, schema)
+
+
+def _scan_errors(t: np.ndarray, az: np.ndarray, el: np.ndarray, dets: Sequence[tuple[int, float, float]], dy: float, dx: float) -> np.ndarray:
+    """(scan, detector, y and x): rms between fit and exact pointing, of scans whose samples are the columns."""
+    lon, lat, psi = _seen(az, el, 0.0, t, 0.0, 0.0, 0.0)
+    turn, start = 2 * math.pi, lon[:, :1]
+
+    def placed(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return lat / dy, (start + np.mod(lon - start + turn / 2, turn) - turn / 2) / dx
+
+    def unit(c: np.ndarray) -> np.ndarray:
+        lo, hi = c.min(axis=1, keepdims=True), c.max(axis=1, keepdims=True)
+        return np.where(hi == lo, c, (c - lo) / np.where(hi == lo, 1.0, hi - lo))
+
+    y, x = (unit(c) for c in placed(lon, lat))
+    u = np.broadcast_to(np.linspace(-1.0, 1.0, t.shape[1]), t.shape)
+    b = np.stack([np.ones_like(u), u, x, x * x, x * x * x, y, y * y, y * y * y, u * x, u * y, x * y], axis=-1)
+    # the fit at the samples is a projection; the matrix itself is taken apart, as its square would lose half of the digits
+    side, size, _ = np.linalg.svd(b, full_matrices=False)
+    side = side * (size > 1e-12 * size[:, :1])[:, None, :]
+    out = np.empty((len(t), len(dets), 2))
+    for k, (_, xi, eta) in enumerate(dets):
+        lon, lat, _ = _seen(az, el, 0.0, t, xi, eta, 0.0)
+        exact = np.stack(placed(lon, lat), axis=-1)
+        fit = side @ (np.swapaxes(side, 1, 2) @ exact)
+        out[:, k] = np.sqrt(np.mean((exact - fit) ** 2, axis=1))
+    return out

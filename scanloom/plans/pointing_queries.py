@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from scanloom.operators import pointing, sky
 from scanloom.plans.language_queries import DESCRIBED, described
 from scanloom.plans.sql_parts import q
-from scanloom.sources.shared import forget, written
 
 #: Small corrections, for all models; the pivot is an elevation.
 MODEL = {
@@ -42,28 +41,14 @@ def detector_directions(spark, d):
 def pointing_fit(spark, d):
     """How near the fit of each observation's scan comes to exact pointing at all its samples, in pixels of half a minute:
     16 moments of a scan, two detectors."""
-    k = F.col("samp")
-    # a row becomes 48, so that a file's single split would hold most of the work
+    # a scan is much work for one row, so that a file's single split would hold most of it
     obs = described(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "obs_key")
-    s = obs.withColumn("samp", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    s = s.select("obs_key", "samp", (F.col("ctime") + k * 20.0).alias("t"), (F.radians("baz") + F.radians("waz") / 2 * F.sin(k * 0.4)).alias("az"), F.radians("bel").alias("el"))
+    at = lambda f: F.array(*(f(k) for k in range(16)))
+    t, az = at(lambda k: F.col("ctime") + k * 20.0), at(lambda k: F.radians("baz") + F.radians("waz") / 2 * F.sin(F.lit(k * 0.4)))
+    scans = obs.select("obs_key", t.alias("t"), az.alias("az"), at(lambda k: F.radians("bel")).alias("el"))
     step = math.radians(0.5 / 60)
-
-    # detector -1 is the reference path; directions are worked out once, and what several steps read is written
-    dets = F.array(*(F.struct(F.lit(i).alias("det"), F.lit(x).alias("xi"), F.lit(y).alias("eta")) for i, x, y in ((-1, 0.0, 0.0), (0, 0.004, -0.003), (1, -0.006, 0.005))))
-    seen = s.withColumn("o", F.explode(dets)).select("obs_key", "samp", "t", "az", "el", "o.*")
-    at = pointing.on_sky(F.col("az"), F.col("el"), F.lit(0.0), F.col("t"), F.col("xi"), F.col("eta"), F.lit(0.0))
-    looks = written(seen.select("obs_key", "det", "samp", at.alias("p")), "pointing-looks")
-    placed = pointing.pixels(looks, "p", "obs_key", "samp", 0.0, 0.0, step, step)
-    placed = written(placed.select("obs_key", "det", "samp", "y", "x", "psi"), "pointing-pixels")
-    forget(looks)
-    exact = placed.where("det >= 0")
-    path = written(pointing.basis(placed.where("det < 0").drop("det"), "obs_key"), "pointing-path")
-    found = written(pointing.fitted(path, exact, "obs_key"), "pointing-fit")
-    near = pointing.evaluated(path, found, "obs_key").withColumnsRenamed({"y": "fy", "x": "fx", "psi": "fpsi"})
-    off = near.join(exact, ["obs_key", "det", "samp"])
-    rms = lambda c: F.round(F.sqrt(F.avg((F.col(c) - F.col("f" + c)) ** 2)), 2).alias(c)
-    return off.groupBy("obs_key", "det").agg(F.count("*").alias("n"), rms("y"), rms("x"))
+    off = pointing.fit_errors(scans, "obs_key", ((0, 0.004, -0.003), (1, -0.006, 0.005)), step, step)
+    return off.select("obs_key", "det", "n", *(F.round(c, 2).alias(c) for c in ("y", "x")))
 
 
 QUERIES = {f.__name__: f for f in (pointing_models, detector_directions, pointing_fit)}
